@@ -78,6 +78,7 @@ class Words:
     chars: np.ndarray  # uint8, all words joined
     offsets: np.ndarray  # word i is chars[offsets[i]:offsets[i + 1]]
     docs: np.ndarray  # text d has the words docs[d]:docs[d + 1]
+    places: np.ndarray  # where each word starts in the joined texts
 
     @property
     def counts(self) -> np.ndarray:
@@ -89,13 +90,13 @@ class Words:
         coded = words.dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
-    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """All words, each followed by one space, and where each starts and ends there."""
+    def joined(self, spaces: int = 1) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words, each followed by so many spaces, and where each starts and ends there."""
         n = len(self.offsets) - 1
         lengths = np.diff(self.offsets)
-        starts = self.offsets[:-1] + np.arange(n)
-        out = np.full(len(self.chars) + n, 0x20, np.uint8)
-        out[np.arange(len(self.chars)) + np.repeat(np.arange(n), lengths)] = self.chars
+        starts = self.offsets[:-1] + spaces * np.arange(n)
+        out = np.full(len(self.chars) + spaces * n, 0x20, np.uint8)
+        out[np.arange(len(self.chars)) + spaces * np.repeat(np.arange(n), lengths)] = self.chars
         return out.tobytes(), starts, starts + lengths
 
 
@@ -123,7 +124,7 @@ def split_words(texts: pa.Array, mapped: np.ndarray) -> Words:
     chars = u[keep]
     if mapped[0] == 0xFF:
         chars[chars == 0xFF] = 0
-    return Words(chars, np.append(before[starts] - 1, len(chars)), np.searchsorted(starts, offsets))
+    return Words(chars, np.append(before[starts] - 1, len(chars)), np.searchsorted(starts, offsets), starts)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

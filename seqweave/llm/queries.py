@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, line_dedup, packing, quality_rules, simhash
+from . import decontamination, hmm, licenses, line_dedup, packing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_simhash": simhash.op8_simhash,
+    "op9_lm_scoring": hmm.op9_lm_scoring,
+    "op10_license_scans": licenses.op10_license_scans,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -19,4 +23,5 @@ ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
+    "op10_license_scans": licenses.OP10_SQL,
 }
