@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, hmm, licenses, line_dedup, packing, quality_classifier, quality_rules, simhash, toxicity
+from . import decontamination, hmm, licenses, line_dedup, packing, quality_classifier, quality_rules, quotation, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_quotation": quotation.op4_quotation,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_quotation": quotation.OP4_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op10_license_scans": licenses.OP10_SQL,
 }
