@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .alleles import minimal_difference
-
 #: Bases on either side for composition, and for runs.
 FLANK, RUN_FLANK = 25, 100
 
@@ -41,27 +39,37 @@ def _trailing(seq: Column, base: Column) -> Column:
     return F.length(seq) - F.length(F.rtrim(seq, base))
 
 
-def context_columns(left: Column, here: Column, right: Column, pos: Column, ref: Column, alt: Column) -> dict[str, Column]:
+def changed_part(diff: Column, ref: Column, alt: Column) -> Column:
+    """The inserted or deleted bases; empty where the lengths are equal."""
+    return F.when(F.length(alt) > F.length(ref), diff["alt_mid"]).when(F.length(alt) < F.length(ref), diff["ref_mid"]).otherwise(F.lit(""))
+
+
+def uniform_base(seq: Column) -> Column:
+    return F.when((seq != "") & (F.length(F.replace(seq, F.substring(seq, 1, 1), F.lit(""))) == 0), F.substring(seq, 1, 1))
+
+
+def runs(left: Column, right: Column, ref: Column, diff: Column, base: Column) -> Column:
+    """struct(ref, alt) of the runs of base around the changed part on either allele."""
+    prefix = diff["prefix"]
+    before = F.concat(left, F.substring(ref, F.lit(1), prefix))
+    after = F.concat(F.substring(ref, prefix + 1 + F.length(diff["ref_mid"]), F.length(ref)), right)
+    return F.struct(run_around(before, diff["ref_mid"], after, base).alias("ref"), run_around(before, diff["alt_mid"], after, base).alias("alt"))
+
+
+def context_columns(left: Column, here: Column, right: Column, pos: Column, ref: Column, alt: Column, prefix: Column, base: Column, around: Column) -> dict[str, Column]:
     """The context of an allele from the reference before it, at it and after it (up to RUN_FLANK bases on each side).
+    prefix, base, around: of the minimal difference, `uniform_base` and `runs`.
 
     A homopolymer insertion or deletion has a uniform changed part and a run on both alleles; runs are null where the
     reference does not match or the changed part is not uniform.
     """
     local = F.concat(F.substring(F.concat(F.repeat(F.lit(" "), FLANK), left), -FLANK, FLANK), here, F.substring(right, 1, FLANK))
     local = F.trim(local)
-    diff = minimal_difference(ref, alt)
-    changed = F.when(F.length(alt) > F.length(ref), diff["alt_mid"]).when(F.length(alt) < F.length(ref), diff["ref_mid"]).otherwise(F.lit(""))
-    base = F.when((changed != "") & (F.length(F.replace(changed, F.substring(changed, 1, 1), F.lit(""))) == 0), F.substring(changed, 1, 1))
     match = here == ref
-    prefix = diff["prefix"]
-    before = F.concat(left, F.substring(ref, F.lit(1), prefix))
-    after = F.concat(F.substring(ref, prefix + 1 + F.length(diff["ref_mid"]), F.length(ref)), right)
-    ref_run = run_around(before, diff["ref_mid"], after, base)
-    alt_run = run_around(before, diff["alt_mid"], after, base)
     known = match & base.isNotNull()
-    ref_len, alt_len = F.when(known, ref_run["length"]), F.when(known, alt_run["length"])
+    ref_len, alt_len = F.when(known, around["ref"]["length"]), F.when(known, around["alt"]["length"])
     hp = F.coalesce((ref_len > 0) & (alt_len > 0), F.lit(False))
-    start0 = F.when(known, pos - 1 + prefix - ref_run["before"]).otherwise(pos - 1)
+    start0 = F.when(known, pos - 1 + prefix - around["ref"]["before"]).otherwise(pos - 1)
     return {
         "reference_match": match,
         "indel_type": F.when(F.length(alt) > F.length(ref), "insertion").when(F.length(alt) < F.length(ref), "deletion").otherwise("complex"),
@@ -74,41 +82,50 @@ def context_columns(left: Column, here: Column, right: Column, pos: Column, ref:
         "local_gc": gc_fraction(local),
         "local_entropy": entropy(local),
         "hp_start0": start0,
-        "hp_end0": F.when(known, start0 + ref_run["length"]).otherwise(pos - 1 + F.greatest(F.length(ref), F.lit(1))),
+        "hp_end0": F.when(known, start0 + around["ref"]["length"]).otherwise(pos - 1 + F.greatest(F.length(ref), F.lit(1))),
     }
 
 
-def anchored(pos: Column, ref: Column, alt: Column) -> Column:
-    """struct(pos, ref, alt) with the common suffix, then the common prefix cut off, one base kept of either allele."""
+def without_suffix(ref: Column, alt: Column) -> Column:
+    """How many bases to cut off both ends, one kept of either allele."""
     most = F.least(F.length(ref), F.length(alt)) - 1
     fits = lambda k: F.substring(F.reverse(ref), F.lit(1), k) == F.substring(F.reverse(alt), F.lit(1), k)
-    s = F.array_max(F.filter(F.sequence(F.lit(0), most), fits))
-    r, a = F.substring(ref, F.lit(1), F.length(ref) - s), F.substring(alt, F.lit(1), F.length(alt) - s)
-    most = F.least(F.length(r), F.length(a)) - 1
-    p = F.array_max(F.filter(F.sequence(F.lit(0), most), lambda k: F.substring(r, F.lit(1), k) == F.substring(a, F.lit(1), k)))
-    return F.struct((pos + p).alias("pos"), F.substring(r, p + 1, F.length(r)).alias("ref"), F.substring(a, p + 1, F.length(a)).alias("alt"))
+    return F.array_max(F.filter(F.sequence(F.lit(0), most), fits))
+
+
+def without_prefix(ref: Column, alt: Column) -> Column:
+    """How many bases to cut off both starts, one kept of either allele."""
+    most = F.least(F.length(ref), F.length(alt)) - 1
+    return F.array_max(F.filter(F.sequence(F.lit(0), most), lambda k: F.substring(ref, F.lit(1), k) == F.substring(alt, F.lit(1), k)))
+
+
+def rotation(ref: Column, alt: Column) -> Column:
+    """struct(unit, simple): the inserted or deleted bases, and whether one allele is the first base of the other."""
+    unit = F.when(F.length(alt) > F.length(ref), F.substring(alt, F.lit(2), F.length(alt))).otherwise(F.substring(ref, F.lit(2), F.length(ref)))
+    simple = (F.length(ref) != F.length(alt)) & (F.least(F.length(ref), F.length(alt)) == 1) & (F.substring(ref, 1, 1) == F.substring(alt, 1, 1))
+    return F.struct(unit.alias("unit"), simple.alias("simple"))
 
 
-def left_normalized(left: Column, pos: Column, ref: Column, alt: Column) -> Column:
-    """struct(pos, ref, alt) of an anchored indel (one allele is the first base of the other) moved left as far as it
-    goes within `left`, the reference before pos.
+def moves_left(left: Column, ref: Column, unit: Column) -> Column:
+    """How far an indel of `unit` after the first base of ref moves left within `left`, the reference before it.
 
-    Moving left by one turns the changed part round by one: that needs the anchor to equal its last base. So the number
-    of moves is how far the reference up to the anchor, read backwards, follows the changed part repeated, backwards.
+    Moving left by one turns the unit round by one: that needs the anchor to equal its last base. So the number of moves
+    is how far the reference up to the anchor, read backwards, follows the unit repeated, backwards.
     """
+    back, cycle, n = F.reverse(F.concat(left, F.substring(ref, 1, 1))), F.reverse(unit), F.length(unit)
+    repeated = F.repeat(cycle, (F.length(left) / n + 2).cast("int"))
+    room = F.length(left)
+    # The first place where they differ, by halving the length of the common prefix.
+    step = lambda s, w: F.when((s + w <= room) & (F.substring(back, F.lit(1), s + w) == F.substring(repeated, F.lit(1), s + w)), s + w).otherwise(s)
+    powers = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+    return F.aggregate(powers, F.lit(0), step)
+
+
+def moved_left(left: Column, pos: Column, ref: Column, alt: Column, unit: Column, moves: Column) -> Column:
+    """struct(pos, ref, alt) of the indel `moves` bases to the left."""
+    n, k = F.length(unit), moves % F.length(unit)
+    turned = F.concat(F.substring(unit, n - k + 1, n), F.substring(unit, F.lit(1), n - k))
+    start = F.substring(F.concat(left, F.substring(ref, 1, 1)), F.length(left) + 1 - moves, F.lit(1))
+    long_ = F.concat(start, turned)
     insertion = F.length(alt) > F.length(ref)
-    unit = F.when(insertion, F.substring(alt, F.lit(2), F.length(alt))).otherwise(F.substring(ref, F.lit(2), F.length(ref)))
-    anchor = F.substring(ref, 1, 1)
-    back = F.reverse(F.concat(left, anchor))
-    cycle = F.reverse(unit)
-    n = F.length(unit)
-    follows = lambda k: F.substring(back, k + 1, F.lit(1)) == F.substring(cycle, k % n + 1, F.lit(1))
-    room = F.least(F.length(left), pos - 1)
-    broken = F.filter(F.sequence(F.lit(0), F.greatest(room - 1, F.lit(0))), lambda k: ~follows(k))
-    moves = F.when(room > 0, F.coalesce(F.get(broken, F.lit(0)), room)).otherwise(F.lit(0))
-    turned = F.concat(F.substring(unit, n - moves % n + 1, n), F.substring(unit, F.lit(1), n - moves % n))
-    start = F.substring(back, moves + 1, F.lit(1))
-    long_, short = F.concat(start, turned), start
-    indel = F.length(ref) != F.length(alt)
-    simple = indel & (F.least(F.length(ref), F.length(alt)) == 1) & (F.substring(ref, 1, 1) == F.substring(alt, 1, 1))
-    return F.when(simple, F.struct((pos - moves).alias("pos"), F.when(insertion, short).otherwise(long_).alias("ref"), F.when(insertion, long_).otherwise(short).alias("alt"))).otherwise(F.struct(pos.alias("pos"), ref.alias("ref"), alt.alias("alt")))
+    return F.struct((pos - moves).alias("pos"), F.when(insertion, start).otherwise(long_).alias("ref"), F.when(insertion, long_).otherwise(start).alias("alt"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqweave.functions import reads as R
 from seqweave.functions.alleles import reverse_complement
 
-from .genome import CHUNK, normalized, windows
+from .genome import CHUNK, computed, normalized, windows
 from .intervals import BIN, coverage_at, joined
 
 ZP_NAMES = ("CF", "IE", "DR")
@@ -63,11 +63,11 @@ def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, fl
     totals = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("bam_coverage"), F.count_if(~back).alias("bam_forward_reads"), F.count_if(back).alias("bam_reverse_reads"))
     used = sampled(pairs, key, most)
     near = windows(used, genome, F.col("start0") - 10, F.col("end0") + 10, "chrom", size)
-    near = near.select("*", F.inline(F.array(F.struct(R.placed(F.col("cigar"), F.col("ref_start")).alias("__ops"), back.alias("__back")))))
+    near = computed(near, __ops=R.placed(F.col("cigar"), F.col("ref_start")), __back=back)
     n = F.length(F.coalesce("seq", F.lit("")))
-    near = near.withColumn("__q", R.query_position(F.col("__ops"), n, F.col("__back"), F.col("start0"), F.col("end0")))
+    near = computed(near, __q=R.query_position(F.col("__ops"), n, F.col("__back"), F.col("start0"), F.col("end0")))
     burden = R.burdens(F.col("__ops"), F.col("seq"), F.col("__seq"), F.col("__from").cast("int"), (F.col("end0") + 10).cast("int"))
-    near = near.withColumn("__burden", burden)
+    near = computed(near, __burden=burden)
     base = near.withColumns({
         "bam_mapq": F.col("mapq").cast("double"),
         "bam_softclip_base_fraction": R.softclip_fraction(F.col("cigar"), F.col("seq")),
@@ -80,10 +80,10 @@ def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, fl
     base = base.join(flow_orders.select("run", "rg", "fo"), ["run", "rg"], "left")
     able = F.lit(flow) & F.col("hp_base").isNotNull() & F.col("__q").isNotNull() & F.col("fo").isNotNull()
     seq = R.as_sequenced(F.col("seq"), F.col("__back"))
-    table = F.when(able, R.flow_table(seq, F.col("fo"), F.col("zf"), F.col("zm")))
-    base = base.select("*", F.inline(F.array(F.struct(table.alias("__table"), seq.alias("__sequenced")))))
+    base = computed(base, __sequenced=seq)
+    base = base.withColumn("__table", R.flow_table(F.when(able, F.col("__sequenced")), F.col("fo"), F.col("zf"), F.col("zm")))
     wanted = F.when(F.col("__back"), reverse_complement(F.col("hp_base"))).otherwise(F.col("hp_base"))
-    base = base.select("*", F.inline(F.array(F.struct(R.candidate_flow(F.col("__table"), F.col("__q"), wanted).alias("__at")))))
+    base = computed(base, __at=R.candidate_flow(F.col("__table"), F.col("__q"), wanted))
     signal = F.get("__table", F.col("__at"))["signal"]
     to_ref, to_alt = F.abs(signal - F.col("hp_ref_len")), F.abs(signal - F.col("hp_alt_len"))
     offsets = R.offset_signals(F.col("__table"), F.col("__at"), window)
@@ -112,7 +112,7 @@ def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, fl
 def read_events(reads: DataFrame, genome: DataFrame, most: int | None = 50, uniform: bool = False, size: int = CHUNK) -> DataFrame:
     """Each read's insertions and deletions as raw alleles: the read's columns, then chrom, pos, ref and alt."""
     ops = R.placed(F.col("cigar"), F.col("ref_start"))
-    found = reads.select(*reads.columns, F.inline(F.array(F.struct(ops.alias("__ops")))))
+    found = computed(reads, __ops=ops)
     found = found.select(*reads.columns, F.inline(R.indel_events(F.col("__ops"), F.col("seq"), most)))
     near = windows(found, genome, F.col("pos") - 1, F.col("pos") + F.coalesce("deleted", F.lit(0)), "contig", size)
     near = near.where(F.length("__seq") == 1 + F.coalesce("deleted", F.lit(0))).where(F.col("__seq").rlike("^[ACGTN]+$"))

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.functions.context import RUN_FLANK, anchored, context_columns, left_normalized
+from seqweave.functions.alleles import minimal_difference
+from seqweave.functions.context import RUN_FLANK, changed_part, context_columns, moved_left, moves_left, rotation, runs, uniform_base, without_prefix, without_suffix
 
 CHUNK = 4096
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns made once a row. They pass through a generator, as the optimizer would else put an expression's
+    copy wherever a later one uses it, also inside of lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def windows(rows: DataFrame, genome: DataFrame, start: Column, end: Column, contig: str = "contig", size: int = CHUNK) -> DataFrame:
     """rows with __seq, the reference in [max(start, 0), end) cut at the contig's end, and __from, where it starts. Only
     distinct windows are fetched, so rows at one place share them."""
@@ -32,8 +39,12 @@ def with_context(alleles: DataFrame, genome: DataFrame, contig: str = "chrom", s
     near = windows(alleles, genome, start - RUN_FLANK, end + RUN_FLANK, contig, size)
     before = (F.col("pos") - 1 - F.col("__from")).cast("int")
     near = near.withColumns({"__left": F.substring("__seq", F.lit(1), before), "__here": F.substring("__seq", before + 1, F.length("ref")), "__right": F.substring("__seq", before + 1 + F.length("ref"), F.lit(RUN_FLANK))})
-    out = context_columns(F.col("__left"), F.col("__here"), F.col("__right"), F.col("pos"), F.col("ref"), F.col("alt"))
-    return near.withColumns(out).drop("__left", "__here", "__right", "__seq", "__from")
+    ref, alt = F.col("ref"), F.col("alt")
+    near = computed(near, __diff=minimal_difference(ref, alt))
+    near = computed(near, __base=uniform_base(changed_part(F.col("__diff"), ref, alt)))
+    near = computed(near, __runs=runs(F.col("__left"), F.col("__right"), ref, F.col("__diff"), F.col("__base")))
+    out = context_columns(F.col("__left"), F.col("__here"), F.col("__right"), F.col("pos"), ref, alt, F.col("__diff.prefix"), F.col("__base"), F.col("__runs"))
+    return near.withColumns(out).drop("__left", "__here", "__right", "__seq", "__from", "__diff", "__base", "__runs")
 
 
 def normalized(alleles: DataFrame, genome: DataFrame, contig: str = "chrom", size: int = CHUNK, reach: int = 256) -> DataFrame:
@@ -42,15 +53,26 @@ def normalized(alleles: DataFrame, genome: DataFrame, contig: str = "chrom", siz
     Windows of `reach` bases are fetched for all; the few rows that use a whole window up are done again with one 16
     times as long, until none does.
     """
-    plain = alleles.withColumn("__a", anchored(F.col("pos"), F.upper("ref"), F.upper("alt")))
-    plain = plain.withColumns({"pos": F.col("__a.pos").cast("int"), "ref": F.col("__a.ref"), "alt": F.col("__a.alt")}).drop("__a")
+    upper = alleles.withColumns({"ref": F.upper("ref"), "alt": F.upper("alt")})
+    cut = computed(upper, __s=without_suffix(F.col("ref"), F.col("alt")))
+    cut = cut.withColumns({c: F.substring(c, F.lit(1), F.length(c) - F.col("__s")) for c in ("ref", "alt")}).drop("__s")
+    cut = computed(cut, __p=without_prefix(F.col("ref"), F.col("alt")))
+    cut = cut.withColumns({"pos": (F.col("pos") + F.col("__p")).cast("int"), **{c: F.substring(c, F.col("__p") + 1, F.length(c)) for c in ("ref", "alt")}}).drop("__p")
+    return _moved(cut, genome, contig, size, reach)
+
+
+def _moved(plain: DataFrame, genome: DataFrame, contig: str, size: int, reach: int) -> DataFrame:
+    names = plain.columns
     left = windows(plain, genome, F.col("pos") - 1 - reach, F.col("pos") - 1, contig, size)
-    moved = left.withColumn("__n", left_normalized(F.col("__seq"), F.col("pos"), F.col("ref"), F.col("alt")))
-    moved = moved.withColumn("__more", (F.col("pos") - F.col("__n.pos") == F.length("__seq")) & (F.col("__n.pos") > 1) & (F.length("__seq") > 0))
-    done = moved.withColumns({"pos": F.col("__n.pos").cast("int"), "ref": F.col("__n.ref"), "alt": F.col("__n.alt")}).drop("__n", "__seq", "__from")
+    left = computed(left, __r=rotation(F.col("ref"), F.col("alt")))
+    left = computed(left, __k=F.when(F.col("__r.simple"), moves_left(F.col("__seq"), F.col("ref"), F.col("__r.unit"))).otherwise(0))
+    more = (F.col("__k") == F.length("__seq")) & (F.col("__k") > 0) & (F.col("pos") - F.col("__k") > 1)
+    made = computed(left, __n=moved_left(F.col("__seq"), F.col("pos"), F.col("ref"), F.col("alt"), F.col("__r.unit"), F.col("__k")), __more=more)
+    as_is = F.col("__k") == 0
+    done = made.withColumns({c: F.when(as_is, F.col(c)).otherwise(F.col(f"__n.{c}")) for c in ("pos", "ref", "alt")})
     if reach >= 1 << 20:
-        return done.drop("__more")
-    again = done.where("__more").drop("__more")
+        return done.select(*names)
+    again = done.where("__more").select(*names)
     if again.isEmpty():
-        return done.drop("__more")
-    return done.where(~F.col("__more")).drop("__more").unionByName(normalized(again, genome, contig, size, reach * 16))
+        return done.select(*names)
+    return done.where(~F.col("__more")).select(*names).unionByName(_moved(again, genome, contig, size, reach * 16))
