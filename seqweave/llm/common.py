@@ -111,12 +111,26 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def split_words(texts: pa.Array, mapped: np.ndarray) -> Words:
+def _latin(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters of ASCII or of U+00C0 to U+024F."""
+    out = ((raw >= 0x41) & (raw <= 0x5A)) | ((raw >= 0x61) & (raw <= 0x7A))
+    lead = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC9))
+    lead = lead[~((raw[lead] == 0xC3) & ((raw[lead + 1] == 0x97) | (raw[lead + 1] == 0xB7)))]
+    out[lead] = True
+    out[lead + 1] = True
+    return out
+
+
+def split_words(texts: pa.Array, mapped: np.ndarray, marks: np.ndarray | None = None) -> Words:
+    """The texts' words. marks: a flag for each byte; if given, a word also ends between a Latin letter and a mark."""
     raw, offsets = text_bytes(texts)
     u = mapped[raw]
     keep = u != 0
     start = keep.copy()
     start[1:] &= ~keep[:-1]
+    if marks is not None:
+        letter, mark = _latin(raw), marks[raw]
+        start[1:] |= (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
     firsts = offsets[:-1][offsets[:-1] < len(raw)]
     start[firsts] = keep[firsts]
     starts = np.flatnonzero(start)

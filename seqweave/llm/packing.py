@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_SPLIT, documents, shared_dir, slices, split_words, stored
+from .common import SPACE_SPLIT, SPACE_SPLIT_LOWER, documents, shared_dir, slices, split_words, stored, text_bytes
 
 CAPACITY = 2048
 #: Bytes of text tokenised at once, so many that words repeat.
-TOKEN_BYTES = 6 << 20
+TOKEN_BYTES = 4 << 20
+#: Different words whose ids a task remembers before it starts afresh, and words encoded in one call.
+REMEMBERED, CALL = 400_000, 8192
+#: No token spans a letter and one of these. An apostrophe starts contractions, and special tokens hold < | >.
+MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;?@[]^_`{}~"))
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -126,28 +130,56 @@ class Slots:
         return sequence, offset
 
 
+class Encoder:
+    """Ids of words, each different one encoded once. Words are parts of a text that no token crosses."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[bytes]) -> None:
+        sizes, flat = [self.sizes], [self.flat]
+        for s in range(0, len(words), CALL):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[s : s + CALL]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin."""
+        # The tokenizer lower-cases, but not before it looks for special tokens.
+        special = b"<|" in text_bytes(texts)[0].tobytes()
+        words = split_words(texts, SPACE_SPLIT if special else SPACE_SPLIT_LOWER, MARKS)
+        codes, distinct = words.coded()
+        names = distinct.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        self._learn([w for w in names if w not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[codes] if len(codes) else codes
+        size = self.sizes[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return self.flat[np.repeat(self.starts[at] - ends[:-1], size) + np.arange(ends[-1])], ends[words.docs]
+
+
 def _pieces(keep: list[str], path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        encoder = Encoder(path)
         task = TaskContext.get().partitionId()
         for part, b in enumerate(slices(batches, "__text", TOKEN_BYTES)):
-            words = split_words(b.column("__text"), SPACE_SPLIT)
-            codes, distinct = words.coded()
-            # No token spans white space, so each distinct word is encoded once.
-            encoded = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in distinct.to_pylist()], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(starts[-1]))
-            size = sizes[codes]
-            ends = np.concatenate(([0], np.cumsum(size)))
-            ids = flat[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])]
-            bounds = ends[words.docs]
+            ids, bounds = encoder.ids(b.column("__text"))
             row, piece, start, length, crc, tokens = [], [], [], [], [], []
             for d in range(b.num_rows):
                 own = np.append(ids[bounds[d] : bounds[d + 1]], np.uint32(0)).astype("<u4")
