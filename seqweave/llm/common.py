@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and outlives a lost executor."""
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
