@@ -26,7 +26,7 @@ from .common import SPACE_SPLIT, SPACE_SPLIT_LOWER, documents, shared_dir, slice
 CAPACITY = 2048
 #: Bytes of text tokenised at once, so many that words repeat.
 TOKEN_BYTES = 4 << 20
-#: Different words whose ids a task remembers before it starts afresh, and words encoded in one call.
+#: Different words whose ids a worker remembers before it starts afresh, and words encoded in one call.
 REMEMBERED, CALL = 400_000, 8192
 #: No token spans a letter and one of these. An apostrophe starts contractions, and special tokens hold < | >.
 MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;?@[]^_`{}~"))
@@ -169,6 +169,17 @@ class Encoder:
         return self.flat[np.repeat(self.starts[at] - ends[:-1], size) + np.arange(ends[-1])], ends[words.docs]
 
 
+def _encoder(path: str) -> Encoder:
+    """The worker process's encoder, which so remembers words from task to task. It hangs on an imported module, as what
+    travels by value is made anew for each task."""
+    import tokenizers
+
+    made = tokenizers.__dict__.setdefault("_seqweave_encoders", {})
+    if path not in made:
+        made[path] = Encoder(path)
+    return made[path]
+
+
 def _pieces(keep: list[str], path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -176,7 +187,7 @@ def _pieces(keep: list[str], path: str, capacity: int, with_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         task = TaskContext.get().partitionId()
         for part, b in enumerate(slices(batches, "__text", TOKEN_BYTES)):
             ids, bounds = encoder.ids(b.column("__text"))
