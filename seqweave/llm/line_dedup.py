@@ -87,6 +87,9 @@ class LineRuns:
         frequent = self.frequent(at_least)
         if frequent is None:
             return _without(tagged.withColumn("__drop", F.lit(None).cast("array<int>")), text)
+        # As a table, the join deals out both sides itself, and can split what one frequent line holds.
+        self.written += 1
+        frequent = stored(frequent, f"{self.path}/frequent-{self.written}")
         lines = tagged.select("__t1", "__t2", F.posexplode(F.transform(lines_of(tagged[text]), line_key)).alias("__pos", "__key"))
         lines = lines.where(F.length("__key") >= 1).select("__t1", "__t2", "__pos", *two_hashes(F.col("__key"), "__h"))
         hits = lines.join(frequent, ["__h1", "__h2"], "left_semi").groupBy("__t1", "__t2").agg(F.collect_set("__pos").alias("__drop"))
