@@ -113,7 +113,7 @@ def moves_left(left: Column, ref: Column, unit: Column) -> Column:
     is how far the reference up to the anchor, read backwards, follows the unit repeated, backwards.
     """
     back, cycle, n = F.reverse(F.concat(left, F.substring(ref, 1, 1))), F.reverse(unit), F.length(unit)
-    repeated = F.repeat(cycle, (F.length(left) / n + 2).cast("int"))
+    repeated = F.repeat(cycle, (F.length(left) / F.greatest(n, F.lit(1)) + 2).cast("int"))
     room = F.length(left)
     # The first place where they differ, by halving the length of the common prefix.
     step = lambda s, w: F.when((s + w <= room) & (F.substring(back, F.lit(1), s + w) == F.substring(repeated, F.lit(1), s + w)), s + w).otherwise(s)
@@ -123,7 +123,8 @@ def moves_left(left: Column, ref: Column, unit: Column) -> Column:
 
 def moved_left(left: Column, pos: Column, ref: Column, alt: Column, unit: Column, moves: Column) -> Column:
     """struct(pos, ref, alt) of the indel `moves` bases to the left."""
-    n, k = F.length(unit), moves % F.length(unit)
+    n = F.length(unit)
+    k = moves % F.greatest(n, F.lit(1))
     turned = F.concat(F.substring(unit, n - k + 1, n), F.substring(unit, F.lit(1), n - k))
     start = F.substring(F.concat(left, F.substring(ref, 1, 1)), F.length(left) + 1 - moves, F.lit(1))
     long_ = F.concat(start, turned)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqweave.functions.alleles import end0, label_columns
 
 from .intervals import joined
+from .staging import staged
 
 KEY = ["chrom", "pos", "ref", "alt"]
 
@@ -26,6 +27,7 @@ def best_calls(calls: DataFrame, keys: list[str], scores: list[str], order: str)
 
 def labelled(candidates: DataFrame, synthetic: DataFrame, giab: DataFrame, benchmark: DataFrame) -> DataFrame:
     """candidates with label, label_name and truth_source. synthetic, giab: truth keys; benchmark: merged intervals."""
+    candidates = staged(candidates)
     flag = lambda truth, name: truth.select(*KEY).distinct().withColumn(name, F.lit(True))
     out = candidates.join(flag(synthetic, "__syn"), KEY, "left").join(flag(giab, "__giab"), KEY, "left")
     out = out.withColumns({"__start": F.col("pos") - 1, "__end": end0(F.col("pos"), F.col("ref"))})

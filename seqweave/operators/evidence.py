@@ -14,6 +14,7 @@ from seqweave.functions.alleles import reverse_complement
 
 from .genome import CHUNK, computed, normalized, windows
 from .intervals import BIN, coverage_at, joined
+from .staging import staged
 
 ZP_NAMES = ("CF", "IE", "DR")
 
@@ -58,7 +59,8 @@ def sampled(pairs: DataFrame, key: list[str], most: int | None, hashed: Column |
 def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, flow_orders: DataFrame, key: list[str], window: int = 5, most: int | None = None, flow: bool = True, size: int = CHUNK) -> DataFrame:
     """A row for each candidate (key, run, chrom, start0, end0, hp_base, hp_ref_len, hp_alt_len) with the BAM and flow
     summaries; without reads the counts are 0 and the rest null."""
-    pairs = spanning(candidates, reads, key)
+    candidates = staged(candidates)
+    pairs = staged(spanning(candidates, reads, key))
     back = R.is_reverse(F.col("flag"))
     totals = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("bam_coverage"), F.count_if(~back).alias("bam_forward_reads"), F.count_if(back).alias("bam_reverse_reads"))
     used = sampled(pairs, key, most)
@@ -136,6 +138,7 @@ def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq
     events = read_events(good.select("read_id", "flag", "mapq", "contig", "ref_start", "ref_end", "cigar", "seq"), genome, most, uniform, size)
     events = events.withColumns({"__a": F.col("pos") - 1, "__b": F.col("pos") - 1 + F.length("ref")})
     inside = joined(events, targets, "inner", False, "__a", "__b", "chrom").dropDuplicates(["read_id", "chrom", "pos", "ref", "alt", "__s"])
+    inside = staged(inside)
     back = R.is_reverse(F.col("flag"))
     raw = inside.groupBy("chrom", "pos", "ref", "alt", "__s", "__e", "mapq").agg(F.count(F.lit(1)).alias("n"), F.count_if(~back).alias("f"), F.count_if(back).alias("r"))
     if min_alt_fraction is not None:

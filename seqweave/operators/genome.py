@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seqweave.functions.alleles import minimal_difference
 from seqweave.functions.context import RUN_FLANK, changed_part, context_columns, moved_left, moves_left, rotation, runs, uniform_base, without_prefix, without_suffix
 
+from .staging import staged
+
 CHUNK = 4096
 
 
@@ -20,6 +22,7 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
 def windows(rows: DataFrame, genome: DataFrame, start: Column, end: Column, contig: str = "contig", size: int = CHUNK) -> DataFrame:
     """rows with __seq, the reference in [max(start, 0), end) cut at the contig's end, and __from, where it starts. Only
     distinct windows are fetched, so rows at one place share them."""
+    rows = staged(rows)  # used twice: for the distinct windows and for the join
     ranged = rows.withColumns({"__from": F.greatest(start, F.lit(0)).cast("long"), "__to": end.cast("long")})
     spans = ranged.select(F.col(contig).alias("__c"), F.col("__from").alias("__wf"), F.col("__to").alias("__wt")).distinct()
     pieces = spans.withColumn("__chunk", F.explode(F.sequence(F.floor(F.col("__wf") / size), F.floor((F.greatest(F.col("__wt"), F.col("__wf") + 1) - 1) / size))))

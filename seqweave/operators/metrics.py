@@ -97,7 +97,8 @@ def fp_budget_threshold(scored: DataFrame, by: list[str], budget: int = 0, label
     steps = _by_score(rows, by, label, score)
     eligible = F.when(F.col("cn") <= budget, F.struct("cp", (-F.col("cn")).alias("few"), "s"))
     best = steps.groupBy(*by).agg(F.max(eligible)["s"].alias("best"), F.max("s").alias("top"))
-    above = F.col("top") + F.greatest(F.abs("top"), F.lit(2.0**-1022)) * 2.0**-52
+    # Just over half a unit in the last place rounds to the next number.
+    above = F.col("top") + F.greatest(F.abs("top") * (2.0**-53 * (1 + 2.0**-52)), F.lit(5e-324))
     chosen = best.withColumn("threshold", F.coalesce("best", above)).drop("best", "top")
     groups = scored.select(*by).distinct()
     return groups.join(chosen, by, "left").withColumn("threshold", F.coalesce("threshold", F.lit(math.inf)))

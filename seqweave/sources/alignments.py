@@ -132,5 +132,5 @@ def read_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
     held = records.select(F.inline(F.array(F.struct(name.alias("contig"), seq.alias("whole")))))
     places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("whole") / size).cast("int") - 1, F.lit(0)))
-    out = held.select("contig", "whole", F.explode(places).cast("long").alias("chunk"))
+    out = held.select("contig", "whole", F.explode(places.cast("array<long>")).alias("chunk"))
     return out.select("contig", "chunk", F.substring("whole", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"))
