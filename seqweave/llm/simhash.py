@@ -267,10 +267,11 @@ def components(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
     before = None
     for k in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # As tables, so that the joins deal out both sides themselves and can split a hub.
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{path}/low-{k}")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = stored(large.distinct(), f"{path}/large-{k}")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), f"{path}/lower-{k}")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
         now = stored(small.distinct(), f"{path}/edges-{k}")
         after = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
