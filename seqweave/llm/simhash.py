@@ -35,8 +35,8 @@ BROADCAST_ROWS = 100_000
 _BYTES = np.uint64(0x0101010101010101)
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
-    """A bit is 1 if it is set in over half the XXH64 values (seed 42) of the text's shingles, repeats included."""
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 values (seed 42) of all texts' shingles, repeats included, and where each text's begin."""
     words = split_words(texts, SPACE_SPLIT_LOWER)
     joined, starts, ends = words.joined()
     counts = words.counts
@@ -46,6 +46,13 @@ def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     last = np.minimum(first + shingle, np.repeat(words.docs[1:], n_shingles)) - 1
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[first].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(first))
+    return h, bounds
+
+
+def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
+    """A bit is 1 if it is set in over half the hashes of the text's shingles."""
+    h, bounds = shingle_hashes(texts, shingle)
+    n_shingles = np.diff(bounds)
     out = np.zeros(len(texts), np.uint64)
     if not len(h):
         return out
@@ -294,6 +301,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, "__fp").select(F.col("__id").alias(doc_id), "__fp", "__component")
 
 
+def similarities(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
+    """Jaccard similarity of the two texts' sets of shingles, row by row; 1 where both have none."""
+    (x, xs), (y, ys) = shingle_hashes(a, shingle), shingle_hashes(b, shingle)
+    out = np.ones(len(a))
+    for k in range(len(a)):
+        p, q = np.unique(x[xs[k] : xs[k + 1]]), np.unique(y[ys[k] : ys[k + 1]])
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        if len(p) or len(q):
+            out[k] = both / (len(p) + len(q) - both)
+    return out
+
+
+def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, parts: int, similarity: float) -> DataFrame:
+    """The distinct ids (column doc_id) of documents whose component has a smaller id, and whose text is at least so
+    similar to that one's. Components nominate; the shingles themselves decide, so a chain of links drops no text that
+    differs from the one that stays."""
+    path = shared_dir(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(text, F.lit("")).alias("__a"))
+    groups = near_duplicates(rows, "__id", "__a", shingle, radius, parts)
+    named = stored(groups.where(F.col("__id") != F.col("__component")).select("__id", F.col("__component").alias("__to")).distinct(), f"{path}/named")
+    kept = named.select(F.col("__to").alias("__id")).distinct()
+    heads = stored(rows.join(kept, "__id", "left_semi").groupBy("__id").agg(F.min("__a").alias("__b")).withColumnRenamed("__id", "__to"), f"{path}/heads")
+    pairs = stored(rows.join(named, "__id"), f"{path}/pairs").join(heads, "__to").select("__id", "__a", "__b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "__a"):
+            near = similarities(b.column("__a"), b.column("__b"), shingle) >= similarity
+            yield pa.RecordBatch.from_arrays([b.column("__id").filter(pa.array(near))], ["__id"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return pairs.mapInArrow(run, f"__id {kind}").distinct().withColumnRenamed("__id", doc_id)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))

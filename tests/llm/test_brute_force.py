@@ -137,6 +137,16 @@ def test_simhash_components_with_split_blocks(spark, tmp_path):
     assert [[a == b for b in want] for a in want] == [[a == b for b in got] for a in got]
 
 
+def test_verified_copies(spark):
+    rng = random.Random(9)
+    base = [f"word{rng.randrange(900)}" for _ in range(300)]
+    docs = [(1, base), (2, base), (3, [*base[:150], "other", *base[151:]]), (4, [f"word{rng.randrange(900)}" for _ in range(300)]), (5, []), (6, [])]
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    assert {r[0] for r in simhash.verified_copies(rows, "doc_id", "text", 5, 7, 9, 0.8).collect()} == {2, 3, 6}
+    a, b = pa.array(["a b c d e f", "", "x"]), pa.array(["a b c d e g", "", "y"])
+    assert simhash.similarities(a, b, 5).tolist() == [1 / 3, 1.0, 0.0]
+
+
 def test_fingerprint():
     texts = ["", "One two", "the quick brown fox jumps over the lazy dog and runs away", "x y " * 500]
     for t, got in zip(texts, simhash.fingerprints_of(pa.array(texts)).tolist(), strict=True):
