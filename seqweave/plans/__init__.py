@@ -1 +1 @@
-
+"""Queries, dataset builders and trainers."""

@@ -27,7 +27,7 @@ CALLS = {
 INTERVALS = {"contig": "CAST(l_suppkey % 5 AS STRING)", "start": "l_partkey * 40", "end": "l_partkey * 40 + CAST(floor(l_quantity) AS BIGINT)"}
 #: Reads: an alignment of 32 bases with one of four shapes, flags and a quality.
 READS = {
-    "read_id": "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey",
+    "read_id": "(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + CAST(floor(l_quantity) AS BIGINT)",
     "run": "CAST(l_linenumber AS STRING)",
     "contig": "CAST(l_suppkey % 5 AS STRING)",
     "flag": "CASE WHEN l_orderkey % 11 = 0 THEN 1024 WHEN l_orderkey % 13 = 0 THEN 256 ELSE 0 END + CASE WHEN l_partkey % 2 = 0 THEN 16 ELSE 0 END",

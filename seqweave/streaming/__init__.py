@@ -1 +1 @@
-
+"""Empty: no operator in scope works on streams."""
