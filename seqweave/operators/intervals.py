@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 BIN = 1 << 14
 
 
-def merged(intervals: DataFrame, by: tuple[str, ...] = ("contig",)) -> DataFrame:
+def merged(intervals: DataFrame, by: tuple[str, ...] = ("contig",), width: int = BIN) -> DataFrame:
     """Overlapping and touching intervals as one; empty ones go.
 
-    Three narrow windows over one partitioning. For genomes with few contigs, `by` may add a bin of the start whose
-    edges no interval crosses.
+    Merged first among those that start in one bin, then over the contig: what overlaps much is small before the few
+    contigs' own tasks see it.
     """
+    some = intervals.where(F.col("end") > F.col("start")).select(*by, "start", "end")
+    local = _islands(some.withColumn("__bin", F.floor(F.col("start") / width)), (*by, "__bin"))
+    return _islands(local.select(*by, "start", "end"), by)
+
+
+def _islands(intervals: DataFrame, by: tuple[str, ...]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = intervals.where(F.col("end") > F.col("start")).select(*by, "start", "end").distinct()
-    islands = islands.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    islands = islands.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+    rows = intervals.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
 def in_order(intervals: DataFrame) -> DataFrame:
@@ -75,10 +80,18 @@ def coverage_at(reads: DataFrame, points: DataFrame, width: int = 1 << 10) -> Da
     return distinct.join(counts, ["contig", "p"], "left").select("contig", "p", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def depth_profile(reads: DataFrame) -> DataFrame:
-    """Runs (contig, start, end, depth) of equal positive coverage, by a sum over interval ends."""
+def depth_profile(reads: DataFrame, width: int = BIN) -> DataFrame:
+    """Runs (contig, start, end, depth) of equal positive coverage, by a sum over interval ends.
+
+    The sum runs within bins; a row a bin carries the depth over from those before it and where the next one starts.
+    """
     steps = reads.where(F.col("end") > F.col("start")).select("contig", F.inline(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))))
-    steps = steps.groupBy("contig", "p").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("contig").orderBy("p")
-    runs = steps.select("contig", F.col("p").alias("start"), F.lead("p").over(w).alias("end"), F.sum("d").over(w).alias("depth"))
+    steps = steps.groupBy("contig", "p").agg(F.sum("d").alias("d")).withColumn("__bin", F.floor(F.col("p") / width))
+    order = Window.partitionBy("contig").orderBy("__bin")
+    bins = steps.groupBy("contig", "__bin").agg(F.sum("d").alias("__d"), F.min("p").alias("__p"))
+    before = F.coalesce(F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("contig", "__bin", before.alias("__before"), F.lead("__p").over(order).alias("__next"))
+    w = Window.partitionBy("contig", "__bin").orderBy("p")
+    rows = steps.join(bins, ["contig", "__bin"])
+    runs = rows.select("contig", F.col("p").alias("start"), F.coalesce(F.lead("p").over(w), "__next").alias("end"), (F.sum("d").over(w) + F.col("__before")).alias("depth"))
     return runs.where("depth > 0")
