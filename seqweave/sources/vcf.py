@@ -26,7 +26,12 @@ def read_records(spark: SparkSession, path: str, sample: str = "", run: str = ""
     """sample, run, ord, contig, pos, ref, alts, qual, filters, info and format of the first sample. gz files are read as
     they are. INFO ends at its first FUNC= field, whose value may hold semicolons; a record of fewer than eight fields
     is an error."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    return parsed_records(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()), sample, run)
+
+
+def parsed_records(lines: DataFrame, sample: str = "", run: str = "") -> DataFrame:
+    """Records of lines (value, ord); header lines and empty ones go."""
+    lines = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     fields = lines.select("ord", "value", F.split("value", "\t").alias("f"))
     short = fields.where(F.size("f") < 8).limit(1).collect()
     if short:
