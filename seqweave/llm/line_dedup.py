@@ -93,6 +93,7 @@ class LineRuns:
         lines = tagged.select("__t1", "__t2", F.posexplode(F.transform(lines_of(tagged[text]), line_key)).alias("__pos", "__key"))
         lines = lines.where(F.length("__key") >= 1).select("__t1", "__t2", "__pos", *two_hashes(F.col("__key"), "__h"))
         hits = lines.join(frequent, ["__h1", "__h2"], "left_semi").groupBy("__t1", "__t2").agg(F.collect_set("__pos").alias("__drop"))
+        hits = stored(hits, f"{self.path}/hits-{self.written}")  # so that a text of many copies can be split, too
         return _without(tagged.join(hits, ["__t1", "__t2"], "left"), text)
 
     def admit(self, docs: DataFrame, at_least: int, text: str = "text") -> DataFrame:
