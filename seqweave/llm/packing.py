@@ -236,7 +236,8 @@ def packed(docs: DataFrame, keep: list[str], text: str = "text", capacity: int =
     for r in parts.groupBy("__length").agg(F.sum("__n").alias("n")).collect():  # a row for each length, capacity at most
         counts[r["__length"]] = r["n"]
     slots = Slots.of(best_two_fit(counts, capacity))
-    ranked = pieces.join(parts.drop("__n"), ["__length", "__part"])
+    # It grows with the corpus while its files, well compressed, look small: never broadcast.
+    ranked = pieces.join(parts.drop("__n").hint("merge"), ["__length", "__part"])
     ranked = ranked.select(*[c for c in pieces.columns if c not in ("__part", "__rank")], (F.col("__rank") + F.col("__before")).alias("__rank"))
     names = [c for c in ranked.columns if c != "__rank"]
 
