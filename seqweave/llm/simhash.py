@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = links(distinct.select("fp"), radius, parts, path)
     roots = components(found, path)
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of.groupBy("root").agg(F.min("least").alias("__component"))
+    named = stored(of.groupBy("root").agg(F.min("least").alias("__component")), f"{path}/named")
     of = stored(of.join(named, "root").select(F.col("fp").alias("__fp"), "__component"), f"{path}/components")
     return prints.join(of, "__fp").select(F.col("__id").alias(doc_id), "__fp", "__component")
 
