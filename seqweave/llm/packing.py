@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Bytes of text tokenised at once, so many that words repeat.
 TOKEN_BYTES = 4 << 20
 #: Different words whose ids a worker remembers before it starts afresh, and words encoded in one call.
-REMEMBERED, CALL = 400_000, 8192
+REMEMBERED, CALL = 800_000, 8192
 #: No token spans a letter and one of these. An apostrophe starts contractions, and special tokens hold < | >.
 MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;?@[]^_`{}~"))
 TOKENIZER = "word_bpe_49k.json"
