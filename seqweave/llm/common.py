@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -153,6 +154,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, where the C library can: a worker lives through many batches."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, stored
+from .common import documents, release, shared_dir, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
@@ -122,6 +122,7 @@ def _without(df: DataFrame, text: str) -> DataFrame:
                 out.append("\n".join(x for i, x in enumerate(s.split("\n")) if i not in gone) if gone else s)
             columns = [pa.array(out, texts.type) if c == text else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "__n_lines", "__n_dropped"])
+            release()
 
     return df.mapInArrow(run, f"{fields}, __n_lines long, __n_dropped long")
 
