@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_SPLIT_LOWER, documents, shared_dir, slices, split_words, stored
@@ -288,17 +288,18 @@ def components(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, parts: int = 6) -> DataFrame:
-    """doc_id, __fp and __component of every row: the smallest id among those that links of at most radius bits reach."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, parts: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `keep`, __fp and __component of every row: the smallest id among those that links of at most
+    radius bits reach."""
     path = shared_dir(docs.sparkSession)
-    prints = stored(fingerprints(docs.select(docs[doc_id].alias("__id"), docs[text].alias("text")), ["__id"], "text", shingle), f"{path}/prints")
+    prints = stored(fingerprints(docs.select(docs[doc_id].alias("__id"), docs[text].alias("text"), *keep), ["__id", *keep], "text", shingle), f"{path}/prints")
     distinct = stored(prints.groupBy("__fp").agg(F.min("__id").alias("least")).withColumnRenamed("__fp", "fp"), f"{path}/distinct")
     found = links(distinct.select("fp"), radius, parts, path)
     roots = components(found, path)
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(of.groupBy("root").agg(F.min("least").alias("__component")), f"{path}/named")
     of = stored(of.join(named, "root").select(F.col("fp").alias("__fp"), "__component"), f"{path}/components")
-    return prints.join(of, "__fp").select(F.col("__id").alias(doc_id), "__fp", "__component")
+    return prints.join(of, "__fp").select(F.col("__id").alias(doc_id), *keep, "__fp", "__component")
 
 
 def similarities(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
@@ -313,25 +314,59 @@ def similarities(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, parts: int, similarity: float) -> DataFrame:
-    """The distinct ids (column doc_id) of documents whose component has a smaller id, and whose text is at least so
-    similar to that one's. Components nominate; the shingles themselves decide, so a chain of links drops no text that
-    differs from the one that stays."""
-    path = shared_dir(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(text, F.lit("")).alias("__a"))
-    groups = near_duplicates(rows, "__id", "__a", shingle, radius, parts)
-    named = stored(groups.where(F.col("__id") != F.col("__component")).select("__id", F.col("__component").alias("__to")).distinct(), f"{path}/named")
-    kept = named.select(F.col("__to").alias("__id")).distinct()
-    heads = stored(rows.join(kept, "__id", "left_semi").groupBy("__id").agg(F.min("__a").alias("__b")).withColumnRenamed("__id", "__to"), f"{path}/heads")
-    pairs = stored(rows.join(named, "__id"), f"{path}/pairs").join(heads, "__to").select("__id", "__a", "__b")
+def _alike(pairs: DataFrame, keep: list[str], shingle: int, similarity: float) -> DataFrame:
+    """The columns `keep` of the pairs whose texts __a and __b are at least so similar."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__a"):
-            near = similarities(b.column("__a"), b.column("__b"), shingle) >= similarity
-            yield pa.RecordBatch.from_arrays([b.column("__id").filter(pa.array(near))], ["__id"])
+            near = pa.array(similarities(b.column("__a"), b.column("__b"), shingle) >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in keep], keep)
+
+    return pairs.select(*keep, "__a", "__b").mapInArrow(run, fields)
+
+
+def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, parts: int, similarity: float, most: int = 64) -> DataFrame:
+    """The distinct ids (column doc_id) of documents of which no text stays.
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return pairs.mapInArrow(run, f"__id {kind}").distinct().withColumnRenamed("__id", doc_id)
+    Components nominate; the shingles themselves decide. Equal texts are one, under their smallest id. Within a
+    component texts are taken by rising id: one stays unless it is at least so similar to one that stays before it. So a
+    chain of links drops no text that differs from all that stay, and no two that stay in a component are similar.
+
+    Every round takes the next texts of all components, one at first and twice as many each time, `most` at most; those
+    of them that stay are compared with all that wait, in rows that any task can take.
+    """
+    path = shared_dir(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(text, F.lit("")).alias("__a")).where("__id IS NOT NULL")
+    rows = rows.select("*", F.xxhash64("__a").alias("__t1"), F.xxhash64(F.lit(1), "__a").alias("__t2"))
+    key = ["__id", "__t1", "__t2"]
+    groups = stored(near_duplicates(rows, "__id", "__a", shingle, radius, parts, ("__t1", "__t2")).drop("__fp"), f"{path}/groups")
+    units = stored(groups.groupBy("__component", "__t1", "__t2").agg(F.min("__id").alias("__id")), f"{path}/units")
+    several = stored(units.groupBy("__component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__component"), f"{path}/several")
+    waiting = stored(units.join(several, "__component"), f"{path}/waiting")
+    waiting = stored(rows.join(waiting, key).dropDuplicates(key), f"{path}/waiting-0")
+    stays = units.join(several, "__component", "left_anti").select("__id")
+    k, take = 0, 1
+    while waiting.count():
+        k += 1
+        place = F.row_number().over(Window.partitionBy("__component").orderBy(*key))
+        taken = stored(waiting.select("__component", *key).withColumn("n", place).where(F.col("n") <= take), f"{path}/taken-{k}")
+        heads = stored(waiting.join(taken.drop("__component"), key), f"{path}/heads-{k}")
+        if take > 1:
+            # Of those taken, one goes if it is similar to an earlier one that stays.
+            earlier = heads.select("__component", F.col("n").alias("m"), F.col("__a").alias("__b"))
+            links = stored(_alike(heads.join(earlier, "__component").where("m < n"), ["__component", "n", "m"], shingle, similarity), f"{path}/links-{k}")
+            links = links.groupBy("__component").agg(F.sort_array(F.collect_list(F.struct("n", "m"))).alias("links"))
+            gone = F.aggregate("links", F.expr("CAST(array() AS ARRAY<INT>)"), lambda out, x: F.when(F.array_contains(out, x["m"]), out).otherwise(F.array_union(out, F.array(x["n"]))))
+            gone = stored(links.select("__component", F.explode(gone).alias("n")), f"{path}/gone-{k}")
+            heads = stored(heads.join(gone, ["__component", "n"], "left_anti"), f"{path}/first-{k}")
+        stays = stays.unionByName(heads.select("__id"))
+        rest = stored(waiting.join(taken.select(*key), key, "left_anti"), f"{path}/rest-{k}")
+        pairs = rest.join(heads.select("__component", F.col("__a").alias("__b")), "__component")
+        near = stored(_alike(pairs, key, shingle, similarity).distinct(), f"{path}/near-{k}")
+        waiting = stored(rest.join(near, key, "left_anti"), f"{path}/waiting-{k}")
+        take = min(2 * take, most)
+    return groups.join(stored(stays, f"{path}/stays"), "__id", "left_anti").select(F.col("__id").alias(doc_id)).distinct()
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,35 @@ def test_verified_copies(spark):
     assert simhash.similarities(a, b, 5).tolist() == [1 / 3, 1.0, 0.0]
 
 
+def test_verified_copies_unlike_the_head(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    word = lambda: f"word{rng.randrange(900)}"
+    base = [word() for _ in range(300)]
+    changed = lambda w, *places: [word() if k in places else x for k, x in enumerate(w)]
+    # a and b are linked but under 0.8; near is at least 0.8 to b only; a family drifts, each text like the next one only.
+    b = changed(base, *range(5, 300, 35))
+    docs = [(1, base), (2, b), (3, b), (4, changed(b, 150)), (5, b), (5, base)]
+    drift = [word() for _ in range(300)]
+    for k in range(12):
+        docs += [(10 + 2 * k, drift), (11 + 2 * k, drift)]
+        drift = changed(drift, *range(10 + 2 * k, 300, 60))
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    # All in one component, whatever the fingerprints say.
+    linked = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a: linked(*a).withColumn("__component", F.lit(1).cast("long")))
+    sets = [(k, " ".join(w), {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for k, w in docs]
+    kept: dict = {}
+    for k, t, s in sorted(sets, key=lambda x: x[0]):
+        if all(len(s & o) / len(s | o) < 0.8 for _, o in kept.values()):
+            kept[t] = (k, s)
+    stay = {k for k, _ in kept.values()}
+    assert {1, 2} <= stay and not {3, 4, 5} & stay and len(stay) > 6
+    for most in (1, 4, 64):
+        assert {r[0] for r in simhash.verified_copies(rows, "doc_id", "text", 5, 7, 9, 0.8, most).collect()} == {k for k, _ in docs} - stay
+
+
 def test_fingerprint():
     texts = ["", "One two", "the quick brown fox jumps over the lazy dog and runs away", "x y " * 500]
     for t, got in zip(texts, simhash.fingerprints_of(pa.array(texts)).tolist(), strict=True):
