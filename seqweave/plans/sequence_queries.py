@@ -368,7 +368,7 @@ def forced_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All BAM and flow summaries of homopolymer candidates."""
-    candidates = relation(spark, sf_dir, _CAND | {"hp_base": "'A'", "hp_ref_len": "3", "hp_alt_len": "2"}, "part").where("k % 20 = 0 AND end0 > start0")
+    candidates = relation(spark, sf_dir, _CAND | {"hp_base": "'A'", "hp_ref_len": "3", "hp_alt_len": "2"}, "part").where("end0 > start0")
     rows = reads(spark, sf_dir).withColumns({"rg": F.lit("g"), "zf": F.lit(1), "zm": F.expr(_SIGNALS), "zp": F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3)).cast("array<float>")})
     orders = spark.createDataFrame([(str(k), "g", FLOW_ORDER) for k in range(1, 8)], "run string, rg string, fo string")
     return EV.read_features(candidates, rows, genome(spark, sf_dir), orders, ["k", "run", "chrom", "start0", "end0", "hp_base", "hp_ref_len", "hp_alt_len"], most=30, size=CHUNK)

@@ -34,3 +34,10 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 6
+
+
+def test_read_features_of_every_candidate(spark, duck):
+    got = {r["k"]: (r["bam_coverage"], r["flow_candidate_signal_mean"]) for r in __spark_entry__.queries()["read_features"](spark, SF).collect()}
+    assert sorted(got) == sorted(r[0] for r in duck.sql("SELECT p_partkey FROM part").fetchall())
+    spanning = dict(duck.sql(ORACLES["spanning_reads"]).fetchall())
+    assert {k: n for k, (n, _) in got.items() if n} == spanning and any(x is not None for _, x in got.values())
