@@ -9,7 +9,7 @@ no state prefers. Everything that tasks hold of the model is states * classes nu
 The corpus is turned once into parts: the words of some texts as places in the part's own list of different words,
 64-bit hashes of those words, and their counts in training texts. Counts meet by hash, and go back to the parts that
 hold the word, so a word crosses the network once a part and not once an occurrence. Each Baum-Welch round reads the
-parts and sums expected counts over all of them; the first parameters come from rounds over one part (see `Shape`).
+parts and sums expected counts over all of them.
 
 Exactness: forward and backward run in segments. A segment's transfer matrix links its ends, so all segments of all
 texts advance together, and the result is the plain recursion's.
@@ -37,13 +37,11 @@ SEGMENT = 64
 
 @dataclass(frozen=True)
 class Shape:
-    """states and word classes (besides the end of text); Baum-Welch rounds over one part of the corpus, which give the
-    start, and over all of it."""
+    """states and word classes (besides the end of text); Baum-Welch rounds, each over all of the corpus."""
 
     states: int = 4
     classes: int = 4096
-    first_rounds: int = 12
-    rounds: int = 2
+    rounds: int = 14
     prior: float = 50.0
 
 
@@ -329,13 +327,6 @@ def train(parts: DataFrame, totals: DataFrame, shape: Shape) -> Model:
         params.ratio[:] = 1.0
         return Model(params, shape.classes, tokens, words, ends)
     columns = ["__part", "__learn", "__sizes", "__codes", "__kinds"]
-    # By its number first, so that one part alone comes to the driver.
-    chosen = parts.agg(F.min_by("__part", F.struct(F.xxhash64("__part"), "__part"))).first()[0]
-    first = parts.where(F.col("__part") == chosen).select(*columns).first()
-    segments = _learned_segments(first.asDict(), shape.classes)
-    if segments is not None:
-        for _ in range(shape.first_rounds):
-            params = updated(*segments.expected(params)[:3], base, shape)
     k, c = shape.states, shape.classes + 2
     for _ in range(shape.rounds):
         summed = np.zeros(k + k * k + c * k + 1)

@@ -211,6 +211,14 @@ def test_quotes_nest_and_thread(spark):
     assert got[1, 1]["__clean"] == "An answer comes now." and got[2, 0]["__parent"] is None
 
 
+def test_hidden_markov_learns_from_all_parts(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join(rng.choice("abcdefgh" if k % 2 else "stuvwxyz") for _ in range(40))) for k in range(30)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["__score"] for r in hmm.scored(x, ["doc_id"], x.doc_id % 5 > 0).collect()} for x in (rows.coalesce(1), rows.repartitionByRange(3, "doc_id")))
+    assert len(one) == 30 and many == pytest.approx(one, rel=1e-6)
+
+
 def test_hidden_markov_counts():
     rng = np.random.default_rng(0)
     p = hmm.Params(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.3, 0.3, 0.4]]), rng.random((9, 3)) * 2)
