@@ -32,6 +32,8 @@ from .common import SPACE_SPLIT_LOWER, documents, shared_dir, slices, split_word
 RUN_ROWS = 1 << 16
 #: Rows of a list small enough to broadcast.
 BROADCAST_ROWS = 100_000
+#: Characters of a component that a task judges, and of the texts of a component taken in a round.
+SALT_CHARS, TAKEN_CHARS = 1 << 19, 4 << 20
 _BYTES = np.uint64(0x0101010101010101)
 
 
@@ -302,71 +304,138 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, "__fp").select(F.col("__id").alias(doc_id), *keep, "__fp", "__component")
 
 
-def similarities(a: pa.Array, b: pa.Array, shingle: int) -> np.ndarray:
-    """Jaccard similarity of the two texts' sets of shingles, row by row; 1 where both have none."""
-    (x, xs), (y, ys) = shingle_hashes(a, shingle), shingle_hashes(b, shingle)
-    out = np.ones(len(a))
-    for k in range(len(a)):
-        p, q = np.unique(x[xs[k] : xs[k + 1]]), np.unique(y[ys[k] : ys[k + 1]])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        if len(p) or len(q):
-            out[k] = both / (len(p) + len(q) - both)
-    return out
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text, as hashes, and where each text's begin; without words one of its own kind."""
+    h, bounds = shingle_hashes(texts, shingle)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    none = np.flatnonzero(np.diff(bounds) == 0)
+    doc, h = np.concatenate((doc, none)), np.concatenate((h, np.zeros(len(none), np.uint64)))
+    by = np.lexsort((h, doc))
+    doc, h = doc[by], h[by]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+    return h[fresh], np.searchsorted(doc[fresh], np.arange(len(texts) + 1))
+
+
+class Leaders:
+    """Shingle sets that stay, with an index from shingle to set."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.sets, self.index = similarity, [], None
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.sets.append(shingles)
+        self.index = None
+
+    def like(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which sets (h between bounds) have a Jaccard similarity of at least `similarity` to one of these."""
+        n, k = len(bounds) - 1, len(self.sets)
+        if not n or not k:
+            return np.zeros(n, bool)
+        if self.index is None:
+            size = np.array([len(s) for s in self.sets])
+            flat, of = np.concatenate(self.sets), np.repeat(np.arange(k), size)
+            by = np.argsort(flat, kind="stable")
+            self.index = flat[by], of[by], size
+        flat, of, size = self.index
+        first, last = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+        shared = np.concatenate(([0], np.cumsum(last - first)))[bounds]
+        out = np.zeros(n, bool)
+        d = 0
+        while d < n:
+            # As many sets at once as share about a million shingles with these, one at least.
+            e = min(max(int(np.searchsorted(shared, shared[d] + (1 << 20), "right")) - 1, d + 1), n, d + max(1, (1 << 22) // k))
+            f = first[bounds[d] : bounds[e]]
+            g = last[bounds[d] : bounds[e]] - f
+            doc = np.repeat(np.repeat(np.arange(e - d), np.diff(bounds[d : e + 1])), g)
+            at = np.arange(g.sum()) - np.repeat(np.cumsum(g) - g, g) + np.repeat(f, g)
+            both = np.bincount(doc * k + of[at], minlength=(e - d) * k).reshape(e - d, k)
+            own = np.diff(bounds[d : e + 1])[:, None]
+            out[d:e] = (both >= self.similarity * (own + size[None, :] - both) - 1e-9).any(axis=1)
+            d = e
+        return out
 
 
-def _alike(pairs: DataFrame, keep: list[str], shingle: int, similarity: float) -> DataFrame:
-    """The columns `keep` of the pairs whose texts __a and __b are at least so similar."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema.fields)
+STAYS, GOES, WAITS = 0, 1, 2
+
+
+def _judged(shingle: int, similarity: float):
+    """For rows sorted by __component, __salt and __n: those with an __n are taken one by one and stay unless they are like
+    one that stays; then the others, which come after, go if they are like one that stays, else wait."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leaders = None, Leaders(similarity)
         for b in slices(batches, "__a"):
-            near = pa.array(similarities(b.column("__a"), b.column("__b"), shingle) >= similarity)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in keep], keep)
+            h, bounds = shingle_sets(b.column("__a"), shingle)
+            component, salt = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__component", "__salt"))
+            taken = b.column("__n").is_valid().to_numpy(zero_copy_only=False)
+            verdict = np.full(b.num_rows, WAITS, np.int32)
+            cut = np.flatnonzero((component[1:] != component[:-1]) | (salt[1:] != salt[:-1]) | (taken[1:] != taken[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+                if group != (component[s], salt[s]):
+                    group, leaders = (component[s], salt[s]), Leaders(similarity)
+                if not taken[s]:
+                    verdict[s:e][leaders.like(h[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s])] = GOES
+                    continue
+                gone = leaders.like(h[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s])
+                fresh = Leaders(similarity)
+                for d in range(s, e):
+                    own = h[bounds[d] : bounds[d + 1]]
+                    if not gone[d - s]:
+                        fresh.add(own)
+                        leaders.add(own)
+                        gone[d - s + 1 :] |= fresh.like(h[bounds[d + 1] : bounds[e]], bounds[d + 1 : e + 1] - bounds[d + 1])
+                        fresh = Leaders(similarity)
+                    verdict[d] = GOES if gone[d - s] else STAYS
+            # What is taken is judged under every salt, and told under the first.
+            keep = pa.array(~taken | (salt == 0))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(verdict)], [*b.schema.names, "__verdict"]).filter(keep)
 
-    return pairs.select(*keep, "__a", "__b").mapInArrow(run, fields)
+    return run
 
 
-def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, parts: int, similarity: float, most: int = 64) -> DataFrame:
+def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, parts: int, similarity: float, most: int = 512) -> DataFrame:
     """The distinct ids (column doc_id) of documents of which no text stays.
 
     Components nominate; the shingles themselves decide. Equal texts are one, under their smallest id. Within a
     component texts are taken by rising id: one stays unless it is at least so similar to one that stays before it. So a
     chain of links drops no text that differs from all that stay, and no two that stay in a component are similar.
 
-    Every round takes the next texts of all components, one at first and twice as many each time, `most` at most; those
-    of them that stay are compared with all that wait, in rows that any task can take.
+    Every round takes the next texts of all components, one at first, then eight times as many, `most` and `TAKEN_CHARS`
+    at most. Those of them that stay meet all that wait, as an index of their shingles that the others stream past: no
+    pair becomes a row. A component of more than `SALT_CHARS` is dealt out in so many parts, each with its own copy of
+    what was taken.
     """
     path = shared_dir(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(text, F.lit("")).alias("__a")).where("__id IS NOT NULL")
     rows = rows.select("*", F.xxhash64("__a").alias("__t1"), F.xxhash64(F.lit(1), "__a").alias("__t2"))
-    key = ["__id", "__t1", "__t2"]
-    groups = stored(near_duplicates(rows, "__id", "__a", shingle, radius, parts, ("__t1", "__t2")).drop("__fp"), f"{path}/groups")
-    units = stored(groups.groupBy("__component", "__t1", "__t2").agg(F.min("__id").alias("__id")), f"{path}/units")
-    several = stored(units.groupBy("__component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__component"), f"{path}/several")
-    waiting = stored(units.join(several, "__component"), f"{path}/waiting")
-    waiting = stored(rows.join(waiting, key).dropDuplicates(key), f"{path}/waiting-0")
-    stays = units.join(several, "__component", "left_anti").select("__id")
+    key, unit = ["__t1", "__t2"], ["__component", "__t1", "__t2"]
+    rows = rows.withColumn("__chars", F.length("__a"))
+    groups = stored(near_duplicates(rows, "__id", "__a", shingle, radius, parts, (*key, "__chars")).drop("__fp"), f"{path}/groups")
+    units = stored(groups.groupBy(*unit, "__chars").agg(F.min("__id").alias("__id")), f"{path}/units")
+    sizes = units.groupBy("__component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("__chars") / SALT_CHARS).cast("int").alias("__salts"))
+    several = stored(sizes.where("n > 1").select("__component", F.greatest("__salts", F.lit(1)).alias("__salts")), f"{path}/several")
+    kept = units.join(several, "__component", "left_anti").select("__id")
+    names = [*unit, "__chars", "__id", "__salts", "__a"]
+    nominated = units.join(several, "__component")
+    waiting = stored(rows.select("__id", *key, "__a").join(nominated, ["__id", *key]).dropDuplicates(["__id", *key]).select(*names), f"{path}/waiting")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema.fields) + ", __n int, __salt int, __verdict int"
     k, take = 0, 1
     while waiting.count():
         k += 1
-        place = F.row_number().over(Window.partitionBy("__component").orderBy(*key))
-        taken = stored(waiting.select("__component", *key).withColumn("n", place).where(F.col("n") <= take), f"{path}/taken-{k}")
-        heads = stored(waiting.join(taken.drop("__component"), key), f"{path}/heads-{k}")
-        if take > 1:
-            # Of those taken, one goes if it is similar to an earlier one that stays.
-            earlier = heads.select("__component", F.col("n").alias("m"), F.col("__a").alias("__b"))
-            links = stored(_alike(heads.join(earlier, "__component").where("m < n"), ["__component", "n", "m"], shingle, similarity), f"{path}/links-{k}")
-            links = links.groupBy("__component").agg(F.sort_array(F.collect_list(F.struct("n", "m"))).alias("links"))
-            gone = F.aggregate("links", F.expr("CAST(array() AS ARRAY<INT>)"), lambda out, x: F.when(F.array_contains(out, x["m"]), out).otherwise(F.array_union(out, F.array(x["n"]))))
-            gone = stored(links.select("__component", F.explode(gone).alias("n")), f"{path}/gone-{k}")
-            heads = stored(heads.join(gone, ["__component", "n"], "left_anti"), f"{path}/first-{k}")
-        stays = stays.unionByName(heads.select("__id"))
-        rest = stored(waiting.join(taken.select(*key), key, "left_anti"), f"{path}/rest-{k}")
-        pairs = rest.join(heads.select("__component", F.col("__a").alias("__b")), "__component")
-        near = stored(_alike(pairs, key, shingle, similarity).distinct(), f"{path}/near-{k}")
-        waiting = stored(rest.join(near, key, "left_anti"), f"{path}/waiting-{k}")
-        take = min(2 * take, most)
-    return groups.join(stored(stays, f"{path}/stays"), "__id", "left_anti").select(F.col("__id").alias(doc_id)).distinct()
+        place = F.row_number().over(Window.partitionBy("__component").orderBy("__id", *key))
+        taken = waiting.select(*unit, "__id", "__chars").withColumn("__n", place).where(F.col("__n") <= take)
+        running = F.sum("__chars").over(Window.partitionBy("__component").orderBy("__n"))
+        taken = stored(taken.withColumn("__sum", running).where((F.col("__n") == 1) | (F.col("__sum") <= TAKEN_CHARS)).select(*unit, "__n"), f"{path}/taken-{k}")
+        both = waiting.join(taken, unit, "left")
+        own = F.pmod(F.xxhash64(*key), F.col("__salts")).cast("int")
+        salts = F.when(F.col("__n").isNull(), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("__salts") - 1))
+        both = both.select(*names, "__n", F.explode(salts).alias("__salt"))
+        dealt = both.repartition("__component", "__salt").sortWithinPartitions("__component", "__salt", F.col("__n").asc_nulls_last())
+        judged = stored(dealt.mapInArrow(_judged(shingle, similarity), out), f"{path}/judged-{k}")
+        kept = kept.unionByName(judged.where(F.col("__verdict") == STAYS).select("__id"))
+        waiting = judged.where(F.col("__verdict") == WAITS).select(*names)
+        take = min(8 * take, most)
+    return groups.join(stored(kept, f"{path}/stays"), "__id", "left_anti").select(F.col("__id").alias(doc_id)).distinct()
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

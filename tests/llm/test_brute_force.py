@@ -143,8 +143,19 @@ def test_verified_copies(spark):
     docs = [(1, base), (2, base), (3, [*base[:150], "other", *base[151:]]), (4, [f"word{rng.randrange(900)}" for _ in range(300)]), (5, []), (6, [])]
     rows = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
     assert {r[0] for r in simhash.verified_copies(rows, "doc_id", "text", 5, 7, 9, 0.8).collect()} == {2, 3, 6}
-    a, b = pa.array(["a b c d e f", "", "x"]), pa.array(["a b c d e g", "", "y"])
-    assert simhash.similarities(a, b, 5).tolist() == [1 / 3, 1.0, 0.0]
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=12), max_size=7), st.lists(st.lists(st.integers(0, 3), max_size=12), max_size=7), st.sampled_from([0.3, 0.5, 0.8, 1.0]))
+@settings(max_examples=80, deadline=None)
+def test_leaders_find_all_similar_sets(first, others, similarity):
+    sets = lambda lists: [{tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} for w in lists]
+    texts = lambda lists: pa.array([" ".join("abcd"[x] for x in w) for w in lists], pa.string())
+    leaders = simhash.Leaders(similarity)
+    h, at = simhash.shingle_sets(texts(first), 2)
+    for s, e in pairwise(at.tolist()):
+        leaders.add(h[s:e])
+    want = [any(len(a & b) >= similarity * len(a | b) - 1e-9 for b in sets(first)) for a in sets(others)]
+    assert leaders.like(*simhash.shingle_sets(texts(others), 2)).tolist() == want
 
 
 def test_verified_copies_unlike_the_head(spark, monkeypatch):
