@@ -12,12 +12,15 @@ A null or empty text is the end token alone. Repeated rows are packed one by one
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +28,10 @@ from .common import SPACE_SPLIT, SPACE_SPLIT_LOWER, documents, shared_dir, slice
 
 CAPACITY = 2048
 #: Bytes of text tokenised at once, so many that words repeat.
-TOKEN_BYTES = 4 << 20
-#: Different words whose ids a worker remembers before it starts afresh, and words encoded in one call.
-REMEMBERED, CALL = 800_000, 8192
+TOKEN_BYTES = 2 << 20
+#: Different words whose ids a worker remembers before it starts afresh, the bytes that these may take, and words encoded
+#: in one call.
+REMEMBERED, REMEMBERED_BYTES, CALL = 800_000, 48 << 20, 8192
 #: No token spans a letter and one of these. An apostrophe starts contractions, and special tokens hold < | >.
 MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;?@[]^_`{}~"))
 TOKENIZER = "word_bpe_49k.json"
@@ -140,18 +144,18 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known = pa.array([], pa.large_binary())
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         sizes, flat = [self.sizes], [self.flat]
         for s in range(0, len(words), CALL):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[s : s + CALL]], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(s, CALL).cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.uint32, len(ids)))
             flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.known = pa.concat_arrays([self.known, words])
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin."""
@@ -159,22 +163,26 @@ class Encoder:
         special = b"<|" in text_bytes(texts)[0].tobytes()
         words = split_words(texts, SPACE_SPLIT if special else SPACE_SPLIT_LOWER, MARKS)
         codes, distinct = words.coded()
-        names = distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known.nbytes + self.flat.nbytes > REMEMBERED_BYTES:
             self.forget()
-        self._learn([w for w in names if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[codes] if len(codes) else codes
-        size = self.sizes[at]
+        place = pc.index_in(distinct, value_set=self.known)
+        missing = place.is_null()
+        n = len(self.known)
+        if missing.true_count:
+            self._learn(distinct.filter(missing))
+        at = place.to_numpy(zero_copy_only=False)
+        if missing.true_count:
+            at = np.where(missing.to_numpy(zero_copy_only=False), n + np.cumsum(missing.to_numpy(zero_copy_only=False)) - 1, np.nan_to_num(at))
+        at = at.astype(np.int64)[codes]
+        size = self.sizes[at].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(size)))
         return self.flat[np.repeat(self.starts[at] - ends[:-1], size) + np.arange(ends[-1])], ends[words.docs]
 
 
 def _encoder(path: str) -> Encoder:
-    """The worker process's encoder, which so remembers words from task to task. It hangs on an imported module, as what
+    """The worker process's encoder, which so remembers words from task to task. It hangs on a module of its own, as what
     travels by value is made anew for each task."""
-    import tokenizers
-
-    made = tokenizers.__dict__.setdefault("_seqweave_encoders", {})
+    made = sys.modules.setdefault("_seqweave_encoders", ModuleType("_seqweave_encoders")).__dict__
     if path not in made:
         made[path] = Encoder(path)
     return made[path]
