@@ -1,12 +1,13 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, as the set of its words; a template is the set of a notice's words. A block meets a
-template that it holds at least `CONTAINED` of. Template words are ordered by their frequency in the whole corpus,
-rarest first. Prefix filter: a block that meets a template of n words, of which it needs k, holds one of its first
-n - k + 1. Length filter: the block has at least k different words. Positional filter: the template's words from the
-shared one on, and the block's template words from there on, leave room for k. What is left is counted exactly, so no
-block that meets a template is missed. Words meet templates inside a task; nothing but one count for each template
-word is shuffled.
+A template is the set of a notice's words. A block is a run of `SLACK` times as many words as the notice has, wherever
+it starts, over line ends, as notices are wrapped; at a text's end it is shorter. A text meets a template if one of its
+blocks holds at least `CONTAINED` of it. Template words are ordered by their frequency in the whole corpus, rarest first. Prefix
+filter: a block that meets a template of n words, of which it needs k, holds one of its first n - k + 1. Length filter:
+the block holds at least k template words, repeats included. Positional filter: if the rarest one that it shares is the
+template's q-th, at most n - q + 1 are left, and those must reach k. What is left is counted exactly, so no block that
+meets a template is missed. Words meet templates inside a task; nothing but one count for each template word is
+shuffled.
 
 Null and empty texts have no word, no label and score 0. A label's score is 1 for a base phrase, else the largest
 contained share of the templates met. Repeated rows are judged alike; other columns play no part.
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SPLIT_LOWER, Words, documents, slices, split_words, text_bytes
+from .common import ALNUM_SPLIT_LOWER, Words, documents, slices, split_words
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -42,37 +43,32 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
-CONTAINED = 0.8
+CONTAINED, SLACK = 0.8, 1.25
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
 def words_of(text: str) -> list[bytes]:
-    """The different words of a text, in order."""
+    """The words of a text, in order."""
     found = split_words(pa.array([text], pa.string()), ALNUM_SPLIT_LOWER)
     codes, names = found.coded()
-    return list(dict.fromkeys(names[c].as_py() for c in codes.tolist()))
+    return [names[c].as_py() for c in codes.tolist()]
 
 
 def _word_list(templates: dict[str, str]) -> list[bytes]:
     return sorted({w for t in templates.values() for w in words_of(t)})
 
 
-def _blocks(texts: pa.Array, words: Words) -> np.ndarray:
-    """The number of each word's line, counted over all texts."""
-    raw, offsets = text_bytes(texts)
-    return np.searchsorted(np.flatnonzero(raw == 0x0A), words.places) + np.repeat(np.arange(len(texts)), words.counts)
-
-
 def frequencies(docs: DataFrame, templates: dict[str, str], text: str = "text") -> dict[bytes, int]:
-    """How many lines of the corpus hold each template word: a row a word, as many as the templates have."""
+    """How many texts of the corpus hold each template word: a row a word, as many as the templates have."""
     vocabulary = _word_list(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
         for b in slices(batches, "__text"):
-            pairs = _held(b.column("__text"), vocabulary)[0]
-            total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
+            words, listed, _, _ = _listed(b.column("__text"), vocabulary)
+            doc, at = np.repeat(np.arange(b.num_rows), words.counts), listed >= 0
+            total += np.bincount(np.unique(doc[at] * len(vocabulary) + listed[at]) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vocabulary))), pa.array(total)], ["word", "n"])
 
     rows = docs.select(docs[text].alias("__text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -80,51 +76,58 @@ def frequencies(docs: DataFrame, templates: dict[str, str], text: str = "text")
     return {w: counts.get(k, 0) for k, w in enumerate(vocabulary)}
 
 
-def _held(texts: pa.Array, vocabulary: list[bytes]) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray, pa.Array]:
-    """Sorted line * len(vocabulary) + word of each listed word that a line holds, with what they were made from."""
+def _listed(texts: pa.Array, vocabulary: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, pa.Array]:
+    """The texts' words, the place of each in the vocabulary (-1: none), and as places in the list of their own."""
     words = split_words(texts, ALNUM_SPLIT_LOWER)
     codes, names = words.coded()
     place = pc.fill_null(pc.index_in(names, pa.array(vocabulary, names.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    block = _blocks(texts, words)
-    listed = place[codes] if len(codes) else codes
-    at = listed >= 0
-    return np.unique(block[at] * len(vocabulary) + listed[at]), words, codes, block, names
+    return words, place[codes] if len(codes) else codes, codes, names
 
 
 class Templates:
     """Templates over words in the corpus's order, rarest first."""
 
-    def __init__(self, templates: dict[str, str], counts: dict[bytes, int], contained: float = CONTAINED):
+    def __init__(self, templates: dict[str, str], counts: dict[bytes, int], contained: float = CONTAINED, slack: float = SLACK):
         self.order = sorted(counts, key=lambda w: (counts[w], w))
         rank = {w: k for k, w in enumerate(self.order)}
         self.labels = sorted(templates)
-        self.sets = [np.array(sorted(rank[w] for w in words_of(templates[k])), np.int64) for k in self.labels]
+        self.sets = [np.array(sorted({rank[w] for w in words_of(templates[k])}), np.int64) for k in self.labels]
         self.need = [ceil(contained * len(s) - 1e-9) for s in self.sets]
+        self.width = [ceil(slack * len(words_of(templates[k])) - 1e-9) for k in self.labels]
 
-    def met(self, held: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(block, template, share) of every block that meets a template. held: sorted block * words + word; size: of
-        each block, how many different words it has at most."""
-        v = len(self.order)
-        block, word = held // v, held % v
-        # Of the block's listed words, how many come from each on.
-        ends = np.searchsorted(block, block, "right")
-        onward = ends - np.arange(len(held))
+    def met(self, words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, template, share) of every text that meets a template, with the largest share of its blocks. words: for
+        each word of all texts its place in the order, or -1; docs: its text."""
+        at = np.flatnonzero(words >= 0)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k, (words, need) in enumerate(zip(self.sets, self.need, strict=True)):
-            prefix = words[: len(words) - need + 1]
-            at = np.flatnonzero(np.isin(word, prefix))
-            at = at[size[block[at]] >= need]
-            room = np.minimum(len(words) - np.searchsorted(words, word[at]), onward[at])
-            # The first shared word decides: before it the block holds none of the template.
-            at, room = at[np.append(True, block[at][1:] != block[at][:-1])[: len(at)]], room[np.append(True, block[at][1:] != block[at][:-1])[: len(at)]]
-            candidates = block[at[room >= need]]
-            if not len(candidates):
+        for k, (own, need, width) in enumerate(zip(self.sets, self.need, self.width, strict=True)):
+            place = np.full(len(self.order) + 1, -1)
+            place[own] = np.arange(len(own))
+            q = place[words[at]]
+            q, here = q[q >= 0], at[q >= 0]
+            doc = docs[here]
+            v = here + doc * width  # no block spans two texts
+            rare = v[q <= len(own) - need]
+            if not len(rare):
                 continue
-            keys = (candidates[:, None] * v + words[None, :]).ravel()
-            where = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-            shared = (held[where] == keys).reshape(len(candidates), -1).sum(axis=1)
-            good = shared >= need
-            found.append((candidates[good], np.full(good.sum(), k), shared[good] / len(words)))
+            # What has a word of the prefix within a block's width, before or after it.
+            after = np.searchsorted(rare, v)
+            near = (rare[np.minimum(after, len(rare) - 1)] - v < width) & (after < len(rare)) | (after > 0) & (v - rare[np.maximum(after - 1, 0)] < width)
+            v, q, doc = v[near], q[near], doc[near]
+            until = np.searchsorted(v, v + width)
+            start = np.flatnonzero(until - np.arange(len(v)) >= need)
+            by = np.argsort(q, kind="stable")
+            before = np.full(len(v), -1)  # the same word's place before this one
+            before[by[1:]] = np.where(q[by[1:]] == q[by[:-1]], by[:-1], -1)
+            for s in range(0, len(start), 1 << 14):
+                first = start[s : s + (1 << 14), None]
+                block = first + np.arange(width)[None, :]
+                inside = block < until[first]
+                block = np.minimum(block, len(v) - 1)
+                least = np.where(inside, q[block], len(own)).min(axis=1)
+                shared = (inside & (before[block] < first)).sum(axis=1)
+                good = (len(own) - least >= need) & (shared >= need)
+                found.append((doc[first[good, 0]], np.full(good.sum(), k), shared[good] / len(own)))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -132,7 +135,7 @@ class Templates:
 
 def scan(texts: pa.Array, templates: Templates) -> list[pa.Array]:
     n = len(texts)
-    held, words, codes, block, names = _held(texts, templates.order)
+    words, listed, codes, names = _listed(texts, templates.order)
     counts = words.counts
     doc = np.repeat(np.arange(n), counts)
     places: list[np.ndarray] = []
@@ -156,15 +159,12 @@ def scan(texts: pa.Array, templates: Templates) -> list[pa.Array]:
     first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
     np.minimum.at(first, doc[at], within)
     np.maximum.at(last, doc[at], within)
-    size = np.bincount(block, minlength=int(block[-1]) + 1 if len(block) else 0)
     labels = [set(s) for s in base]
     score = np.where(n_base > 0, 1.0, 0.0)
-    if len(held):
-        blocks, which, share = templates.met(held, size)
-        owner = doc[np.searchsorted(block, blocks)]
-        np.maximum.at(score, owner, share)
-        for d, k in zip(owner.tolist(), which.tolist(), strict=True):
-            labels[d].add(templates.labels[k])
+    owner, which, share = templates.met(listed, doc)
+    np.maximum.at(score, owner, share)
+    for key in np.unique(owner * len(templates.labels) + which).tolist():
+        labels[key // len(templates.labels)].add(templates.labels[key % len(templates.labels)])
     none = n_base == 0
     text = lambda s: ",".join(sorted(s))
     return [pa.array(counts), pa.array(n_base), pa.array(first, mask=none), pa.array(last, mask=none), pa.array([text(s) for s in base]), pa.array([text(s) for s in labels]), pa.array(score)]
@@ -205,11 +205,12 @@ WITH d AS (
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY doc_id
 ), tpl AS (
-  SELECT label, list_distinct(regexp_extract_all({_LOWER.format("text")}, '{_WORD}')) AS s FROM (VALUES {_TEMPLATE_ROWS}) AS x(label, text)
-), blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(l, '{_WORD}')) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  SELECT label, list_distinct(v) AS s, len(v) AS n FROM (SELECT label, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') AS v FROM (VALUES {_TEMPLATE_ROWS}) AS x(label, text))
+), able AS (
+  SELECT doc_id, w, label, s, ceil({CONTAINED} * len(s) - 1e-9) AS need, CAST(ceil({SLACK} * n - 1e-9) AS BIGINT) AS width FROM w, tpl WHERE len(list_intersect(w, s)) >= ceil({CONTAINED} * len(s) - 1e-9)
 ), met AS (
-  SELECT doc_id, label, len(list_intersect(b, s)) / len(s) AS share FROM blocks, tpl WHERE len(list_intersect(b, s)) >= ceil({CONTAINED} * len(s) - 1e-9)
+  SELECT doc_id, label, max(len(list_intersect(w[i : i + width - 1], s)) / len(s)) AS share FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM able)
+  WHERE len(list_intersect(w[i : i + width - 1], s)) >= need GROUP BY doc_id, label
 ), lab AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION ALL SELECT doc_id, label FROM met) GROUP BY doc_id
 ), best AS (
