@@ -4,7 +4,8 @@ A seed is a hash of the words that a mask picks from a place on; words that the
 masks hit every aligned window of 13 words in which at most two differ, wherever those are. Seeds of all texts join
 those of all items; around each hit, windows of 13 aligned words are compared word by word, and one with 11 equal
 words is a leak. A seed's row holds 24 bytes; where the benchmark has more than `BROADCAST_SEEDS`, seeds meet by a
-shuffled join instead of a broadcast.
+shuffled join of key, place and seed instead of a broadcast, and the words of the texts that were hit are fetched after
+it. Places of an item with the same seed and the same words around it are one, so repetitive items don't multiply hits.
 
 Words are runs of letters and digits, lower-cased. Null or empty texts, texts or items of fewer than 13 words and an
 empty benchmark give no leaks. Repeated rows of one key are one row of the result. Other columns play no part.
@@ -12,6 +13,9 @@ empty benchmark give no leaks. Repeated rows of one key are one row of the resul
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +34,18 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, __words, place __i and __seed, for each place and mask."""
+def _seeds(hashed: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep`, place __i and __seed, for each place and mask."""
     n = F.size("__words")
     places = F.when(n >= WINDOW, F.sequence(F.lit(0), n - SPAN)).otherwise(F.array().cast("array<int>"))
-    at = hashed.select(*keys, "__words", F.explode(places).alias("__i"))
+    at = hashed.select(*dict.fromkeys([*keep, "__words"]), F.explode(places).alias("__i"))
     seeds = F.array(*(F.xxhash64(F.lit(k), *(F.get("__words", F.col("__i") + o) for o in mask)) for k, mask in enumerate(MASKS)))
-    return at.select(*keys, "__words", "__i", F.explode(seeds).alias("__seed"))
+    return at.select(*keep, "__i", F.explode(seeds).alias("__seed"))
+
+
+def _near() -> Column:
+    """The words around a hit: windows of 13 that hold the seed start up to 13 - SPAN words before it."""
+    return F.transform(F.sequence(F.lit(SPAN - WINDOW), F.lit(WINDOW - 1)), lambda p: F.get("__words", F.col("__i") + p))
 
 
 def leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -44,13 +53,16 @@ def leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text"
     a window), for each pair of a text and an item that it leaks."""
     doc = docs.select(*keys, word_hashes(docs[text]).alias("__words"))
     item = items.select(items[item_id].alias("__item"), word_hashes(items[item_text]).alias("__words"))
-    bench = _seeds(item, ["__item"]).select("__seed", "__item", F.col("__i").alias("__j")).distinct()
+    bench = _seeds(item, ["__item", "__words"]).groupBy("__seed", "__item", _near().alias("__around")).agg(F.min("__i").alias("__j")).drop("__around")
     small = bench.count() <= BROADCAST_SEEDS
-    hits = _seeds(doc, keys).join(F.broadcast(bench) if small else bench, "__seed")
-    # The hit's surroundings only: windows of 13 that hold the seed start up to 13 - SPAN words before it.
+    if small:
+        hits = _seeds(doc, [*keys, "__words"]).join(F.broadcast(bench), "__seed")
+    else:
+        found = _seeds(doc, keys).join(bench, "__seed").select(*(F.col(k).alias(f"__key{n}") for n, k in enumerate(keys)), "__item", "__i", "__j").distinct()
+        same = [doc[k].eqNullSafe(found[f"__key{n}"]) for n, k in enumerate(keys)]
+        hits = doc.join(found, reduce(and_, same))
     back = WINDOW - SPAN
-    near = F.transform(F.sequence(F.lit(-back), F.lit(WINDOW - 1)), lambda p: F.get("__words", F.col("__i") + p))
-    hits = hits.select(*keys, "__item", "__i", "__j", near.alias("__near"))
+    hits = hits.select(*keys, "__item", "__i", "__j", _near().alias("__near"))
     item = item.where(F.size("__words") >= WINDOW).withColumnRenamed("__words", "__theirs")
     pairs = hits.join(F.broadcast(item) if small else item, "__item")
     # A place outside either text makes every window that holds it fail.
