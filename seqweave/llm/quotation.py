@@ -2,9 +2,9 @@
 
 A line's quote level is the number of `>` before its text. Lines of one level in a row are a passage; a line of level
 0 that ends in `wrote:` right before a quote introduces it and goes with it. Passages and the messages' own text are
-cut into sentences, normalised to lower-case words, and hashed. A quoted sentence links to the first message of its
-conversation to say it, if that came before. A message replies to the message that most of its sentences of the lowest
-linked level come from, the latest of several. Replies form threads; the smallest turn of a thread and the depth
+cut into sentences, normalised to lower-case words, and hashed, and so is the whole of each. A quoted sentence or passage
+links to the first message of its conversation to say it, if that came before. A message replies to the message that most of what it quotes at the lowest
+linked level comes from, the latest of several. Replies form threads; the smallest turn of a thread and the depth
 follow by pointer doubling, whose rounds are tables in the shared folder.
 
 Sorting by (conv_id, root_turn, turn) gives each conversation in reply order, as a reply comes after what it quotes;
@@ -13,7 +13,7 @@ sentence) or (conversation, turn) against one row a key.
 
 Defined cases: null and empty texts have no line and an empty clean text. A message with a null conversation or turn
 links to nothing and is its own root. Repeated rows of a message share its links. Sentences of fewer than `MIN_WORDS`
-words don't link. Other columns pass by unused.
+words don't link unless they are a whole passage that quotes a whole message. Other columns pass by unused.
 """
 
 from __future__ import annotations
@@ -29,11 +29,15 @@ INTRODUCES = r"(?i)\b(wrote|writes|said):[ \t\r]*$"
 _MARK, _LEVEL = "\u0001", "\u0002"
 
 
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of at least MIN_WORDS words."""
-    cut = F.split(F.lower(text), r"[.!?]+(?:\s+|$)")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
-    return F.filter(plain, lambda s: F.size(F.split(s, " ")) >= MIN_WORDS)
+    """Normalised sentences of at least MIN_WORDS words, and the whole text normalised."""
+    plain = F.transform(F.split(text, r"[.!?]+(?:\s+|$)"), _plain)
+    whole = F.filter(F.array(_plain(text)), lambda s: s != "")
+    return F.array_union(F.filter(plain, lambda s: F.size(F.split(s, " ")) >= MIN_WORDS), whole)
 
 
 def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -126,14 +130,20 @@ WITH RECURSIVE l AS (
   SELECT conv_id, turn, v AS level, string_agg(regexp_replace(x, '^[ \t]*(?:>[ \t]*)*', ''), ' ' ORDER BY i) AS p FROM runs WHERE v > 0 GROUP BY conv_id, turn, run, v
 ), said AS (
   SELECT conv_id, s, min(turn) AS parent FROM (
-    SELECT conv_id, turn, trim(regexp_replace(s, '[^\p{L}\p{N}]+', ' ', 'g')) AS s
+    SELECT conv_id, turn, trim(regexp_replace(s, '[^\p{L}\p{N}]+', ' ', 'g')) AS s, 2 AS least
     FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(replace(clean_text, chr(10), ' ')), '[.!?]+(?:\s+|$)')) AS s FROM own)
-  ) WHERE len(string_split(s, ' ')) >= 2 GROUP BY conv_id, s
+    UNION ALL
+    SELECT conv_id, turn, trim(regexp_replace(lower(clean_text), '[^\p{L}\p{N}]+', ' ', 'g')), 1 FROM own
+  ) WHERE s <> '' AND len(string_split(s, ' ')) >= least GROUP BY conv_id, s
 ), quoted AS (
-  SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(s, '[^\p{L}\p{N}]+', ' ', 'g')) AS s
-  FROM (SELECT conv_id, turn, level, unnest(regexp_split_to_array(lower(p), '[.!?]+(?:\s+|$)')) AS s FROM passages)
+  SELECT DISTINCT conv_id, turn, level, s FROM (
+    SELECT conv_id, turn, level, trim(regexp_replace(s, '[^\p{L}\p{N}]+', ' ', 'g')) AS s, 2 AS least
+    FROM (SELECT conv_id, turn, level, unnest(regexp_split_to_array(lower(p), '[.!?]+(?:\s+|$)')) AS s FROM passages)
+    UNION ALL
+    SELECT conv_id, turn, level, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')), 1 FROM passages
+  ) WHERE s <> '' AND len(string_split(s, ' ')) >= least
 ), best AS (
-  SELECT conv_id, turn, parent FROM (SELECT conv_id, turn, level, parent, count(*) AS n FROM quoted JOIN said USING (conv_id, s) WHERE parent < turn AND len(string_split(s, ' ')) >= 2 GROUP BY ALL)
+  SELECT conv_id, turn, parent FROM (SELECT conv_id, turn, level, parent, count(*) AS n FROM quoted JOIN said USING (conv_id, s) WHERE parent < turn GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, parent DESC) = 1
 ), up AS (
   SELECT conv_id, turn, parent, parent AS root, CAST(1 AS BIGINT) AS depth FROM best
