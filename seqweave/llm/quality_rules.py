@@ -54,7 +54,8 @@ def suffix_ranks(codes: np.ndarray, docs: np.ndarray) -> tuple[list[np.ndarray],
     last = np.append(docs[1:] != docs[:-1], True) if n else np.zeros(0, bool)
     ends = np.flatnonzero(last)
     end = ends[np.searchsorted(ends, np.arange(n))] + 1 if n else np.zeros(0, np.int64)
-    levels, h = [rank], 1
+    small = np.int32 if n < 1 << 31 else np.int64  # a level is kept for each doubling
+    levels, h = [rank.astype(small)], 1
     while True:
         same = ~new
         open_ = same.copy()
@@ -74,7 +75,7 @@ def suffix_ranks(codes: np.ndarray, docs: np.ndarray) -> tuple[list[np.ndarray],
         new[at] = differs
         rank = rank.copy()
         rank[who] = np.maximum.accumulate(np.where(differs, at, 0))
-        levels.append(rank)
+        levels.append(rank.astype(small))
         h *= 2
 
 
