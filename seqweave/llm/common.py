@@ -28,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which executors and driver share; a temporary one where it is unset."""
+    """A new folder below spark.checkpoint.dir, which executors and driver share. Where it is unset, a temporary one in
+    local mode, and an error on a cluster."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = sc._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined() and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = set_dir.get() if set_dir.isDefined() else f"file://{tempfile.mkdtemp(prefix='seqweave-')}"
         if not set_dir.isDefined():
             sc.setCheckpointDir(root)
@@ -46,8 +49,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def held_out_by(doc_id, divisor: int, remainder: int):
-    """Whether crc32 of the id as text leaves the given remainder."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % divisor == remainder
+    """Whether crc32 of the id as text leaves the given remainder; a null id is held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor == remainder, F.lit(True))
 
 
 def byte_table(separators: Iterable[int], lower: bool) -> np.ndarray:

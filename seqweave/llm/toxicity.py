@@ -2,15 +2,16 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. A window of the normalised text is
 compressed with the ordinary dictionary and with both dictionaries one after the other; the difference of the two
-lengths, in bytes, is how much toxic text helps to say it. Ordinary windows come out alike under both. A text's counts
-and rates of windows over fixed lengths saved are turned into a probability by weights fitted on the sample.
+lengths, in bytes, is how much toxic text helps to say it. Ordinary windows come out alike under both. The decision is
+calibrated on the sample: a text's counts and rates of windows over fixed thresholds of bytes saved, weighted.
 
-The toxic dictionary is trained on the words that toxic texts hold at a clearly higher rate than ordinary ones (lower
-bound of the one against a multiple of the upper bound of the other), as whole toxic texts are mostly ordinary words.
+The toxic dictionary is trained on what toxic texts hold at a clearly higher rate than ordinary ones (lower bound of the
+one against a multiple of the upper bound of the other). Toxic texts are mostly ordinary words: trained on them whole,
+the dictionaries differ by chance more than by toxic words (README).
 
 Learning uses a bounded sample (`Bounds`); scoring covers every row and its whole text. Null and empty texts have no
-window and get the score that the weights give to none. Without rows of both labels every score is the share of label
-1, or 0.5 without labels. Repeated rows are scored alike; other columns play no part.
+window and get the score that the weights give to none. Without rows of both labels, or with too few for zstandard to
+train on, every score is the share of label 1, or 0.5 without labels. Repeated rows are scored alike; other columns play no part.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SAVED = (2, 3, 4, 6, 8)
 LEVEL, MIN_MATCH = 2, 7
 ORDINARY_BYTES, TOXIC_BYTES = 48 << 10, 2 << 10
 RATE_RATIO = 4.0
+#: The most that a dictionary holds before its content: eight bytes and 256 of tables.
+HEADER = 8 + 256
 
 
 @dataclass(frozen=True)
@@ -58,12 +61,12 @@ def _compressor(content: bytes) -> zstd.ZstdCompressor:
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """The content of a dictionary trained on the samples; the samples' end where they are too few to train on."""
+    """The content of a dictionary trained on the samples, at most so many bytes. What zstandard puts before it (magic
+    number, id and entropy tables, `HEADER` bytes at most) ends where the samples' own bytes begin. ZstdError: too few
+    samples to train on."""
     samples = [s for s in samples if len(s) > 8]
-    try:
-        return zstd.train_dictionary(size + 512, samples, k=16, d=6).as_bytes()[-size:]
-    except zstd.ZstdError:
-        return b"".join(samples)[-size:]
+    made, text = zstd.train_dictionary(size + HEADER, samples, k=16, d=6).as_bytes(), b"".join(samples)
+    return made[next((at for at in range(8, HEADER) if made[at : at + 8] in text), HEADER) :][-size:]
 
 
 def _distinct_words(texts: list[str]) -> list[list[bytes]]:
@@ -106,7 +109,10 @@ class Model:
         telling = telling_words(words[1], words[0])
         space = b" " * SPACES
         bag = lambda ws, inside: space + space.join(w for w in ws if (w in telling) == inside) + space
-        model = cls(_trained([bag(w, False) for w in words[0]], ORDINARY_BYTES), _trained([bag(w, True) for w in words[1]], TOXIC_BYTES), None, share)
+        try:
+            model = cls(_trained([bag(w, False) for w in words[0]], ORDINARY_BYTES), _trained([bag(w, True) for w in words[1]], TOXIC_BYTES), None, share)
+        except zstd.ZstdError:
+            return cls(b"", b"", None, share)
         x = model.features(pa.array([t for t, _ in rows], pa.string()))
         sampled = {k: int((y == k).sum()) for k in (0, 1)}
         weight = np.where(y == 1, counts[1] / sampled[1], counts[0] / sampled[0])
@@ -136,7 +142,7 @@ class Model:
         windows = np.maximum(np.bincount(doc, minlength=rows), 1)
         mean = np.bincount(doc, weights=saved, minlength=rows) / windows
         total = np.bincount(doc, weights=np.maximum(saved, 0), minlength=rows)
-        return np.column_stack([*(np.log1p(c) for c in counts), *(np.sqrt(c / windows) for c in counts), mean, most / 10, np.log1p(total), np.log1p(windows)])
+        return np.column_stack([*(np.log1p(c) for c in counts), *(np.sqrt(c / windows) for c in counts), mean, most / 10, np.log1p(total)])
 
     def _compressors(self):
         if not hasattr(self, "_made"):
