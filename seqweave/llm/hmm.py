@@ -41,7 +41,7 @@ class Shape:
 
     states: int = 4
     classes: int = 4096
-    rounds: int = 14
+    rounds: int = 8
     prior: float = 50.0
 
 
@@ -58,8 +58,8 @@ def first_params(base: np.ndarray, shape: Shape) -> Params:
     rng = np.random.default_rng(17)
     emit = base[:, None] * np.exp(0.5 * rng.standard_normal((len(base), k)))
     emit /= np.maximum(emit.sum(axis=0), 1e-300)
-    move = np.full((k, k), 0.05 / max(k - 1, 1))
-    np.fill_diagonal(move, 0.95 if k > 1 else 1.0)
+    move = np.full((k, k), 0.01 / max(k - 1, 1))
+    np.fill_diagonal(move, 0.99 if k > 1 else 1.0)
     return Params(np.full(k, 1 / k), move, ratio_of(emit, base))
 
 
@@ -88,30 +88,30 @@ class Segments:
         self.docs_of = [np.flatnonzero(per > j) for j in range(int(per.max(initial=0)))]
         self.observed, self.texts = observed, len(n)
 
-    def at(self, t: int) -> np.ndarray:
-        return self.observed[self.begin[: self.active[t]] + t]
+    def likelihoods(self, p: Params) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each step the classes of all segments that long, and what each state makes of them."""
+        seen = [self.observed[self.begin[:a] + t] for t, a in enumerate(self.active) if a]
+        return seen, [p.ratio[s] for s in seen]
 
-    def transfers(self, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    def transfers(self, p: Params, made: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Each segment's transfer matrix, scaled, and the log of its scale. A text's first segment takes no move."""
         k = len(p.start)
         m = np.where((self.index == 0)[:, None, None], np.eye(k), p.move)
         log = np.zeros(len(m))
-        for t in range(SEGMENT):
-            a = self.active[t]
-            if not a:
-                break
+        for t, step in enumerate(made):
+            a = len(step)
             if t:
                 m[:a] = (m[:a].reshape(-1, k) @ p.move).reshape(a, k, k)
-            m[:a] *= p.ratio[self.at(t)][:, None, :]
+            m[:a] *= step[:, None, :]
             if t % 8 == 7:
                 top = m[:a].max(axis=(1, 2))
                 m[:a] /= top[:, None, None]
                 log[:a] += np.log(top)
         return m, log
 
-    def forward(self, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forward(self, p: Params, made: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The log likelihood ratio of each text, the state before each segment, and the transfer matrices."""
-        m, log = self.transfers(p)
+        m, log = self.transfers(p, self.likelihoods(p)[1] if made is None else made)
         total = np.zeros(self.texts)
         before = np.zeros((len(m), len(p.start)))
         now = np.tile(p.start, (self.texts, 1))
@@ -126,47 +126,46 @@ class Segments:
     def expected(self, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of start states, moves and emissions, and the summed log likelihood ratio."""
         k = len(p.start)
-        total, before, m = self.forward(p)
+        each = np.ones((k, 1))  # a product with it sums over states
+        seen, made = self.likelihoods(p)
+        total, before, m = self.forward(p, made)
         behind = np.ones((len(m), k))
         now = np.ones((self.texts, k))
         for segments, docs in zip(self.of[::-1], self.docs_of[::-1], strict=True):
             behind[segments] = now[docs]
             back = np.einsum("nij,nj->ni", m[segments], now[docs])
             now[docs] = back / back.sum(axis=1)[:, None]
+        head = self.index == 0
         ahead: list[np.ndarray] = []
         alpha = before
-        for t in range(SEGMENT):
-            a = self.active[t]
-            if not a:
-                break
-            step = alpha[:a] @ p.move
+        for t, like in enumerate(made):
+            step = alpha[: len(like)] @ p.move
             if t == 0:
-                head = self.index == 0
                 step[head] = before[head]
-            step *= p.ratio[self.at(t)]
-            step /= step.sum(axis=1)[:, None]
+            step *= like
+            step /= step @ each
             ahead.append(step)
             alpha = step
         moves, starts = np.zeros((k, k)), np.zeros(k)
         emissions = np.zeros((len(p.ratio), k))
         beta = behind
         for t in range(len(ahead) - 1, -1, -1):
-            a = self.active[t]
-            seen = self.at(t)
+            a = len(made[t])
             gamma = ahead[t] * beta[:a]
-            gamma /= gamma.sum(axis=1)[:, None]
+            gamma /= gamma @ each
             for s in range(k):
-                emissions[:, s] += np.bincount(seen, weights=gamma[:, s], minlength=len(p.ratio))
-            right = p.ratio[seen] * beta[:a]
+                emissions[:, s] += np.bincount(seen[t], weights=gamma[:, s], minlength=len(p.ratio))
+            right = made[t] * beta[:a]
+            back = right @ p.move.T
             left = ahead[t - 1][:a] if t else before
             if t == 0:
-                head = self.index == 0
                 starts += gamma[head].sum(axis=0)
                 left, right = left[~head], right[~head]
-            norm = np.einsum("ni,ij,nj->n", left, p.move, right)
-            moves += p.move * ((left / norm[:, None]).T @ right)
-            back = (p.ratio[seen] * beta[:a]) @ p.move.T
-            beta[:a] = back / back.sum(axis=1)[:, None]
+                norm = (left * back[~head]) @ each
+            else:
+                norm = (left * back) @ each
+            moves += p.move * ((left / norm).T @ right)
+            beta[:a] = back / (back @ each)
         return starts, moves, emissions, float(total.sum())
 
 
