@@ -22,8 +22,10 @@ def inputs_of(spark: SparkSession, args: argparse.Namespace) -> builders.Inputs:
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     genome = alignments.read_genome(spark, args.fasta).withColumn("contig", tables.canonical_chrom(F.col("contig")))
     is_bam = lambda p: p.endswith(".bam")
-    reads = union([(alignments.read_bam(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else spark.read.parquet(r["bam"]).withColumn("run", F.lit(r["run"]))) for r in rows])
-    orders = union([(alignments.flow_orders(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else spark.createDataFrame([], "run string, rg string, fo string")) for r in rows])
+    own = lambda df, r: df.withColumns({"sample": F.lit(r["sample"]), "run": F.lit(r["run"])})
+    no_orders = spark.createDataFrame([], "run string, rg string, fo string")
+    reads = union([own(alignments.read_bam(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else spark.read.parquet(r["bam"]), r) for r in rows])
+    orders = union([own(alignments.flow_orders(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else no_orders, r) for r in rows])
     truth = lambda p, gt: vcf.truth_keys(vcf.read_records(spark, p), genome, gt)
     genome = staged(genome)
     return builders.Inputs(

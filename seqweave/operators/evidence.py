@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,7 @@ from .genome import CHUNK, computed, normalized, windows
 from .intervals import BIN, coverage_at, joined
 from .staging import staged
 
+#: Names of the three phase parameters.
 ZP_NAMES = ("CF", "IE", "DR")
 
 
@@ -27,12 +30,12 @@ def summaries(name: str, value: Column | None = None) -> list[Column]:
     return [F.avg(x).alias(f"{name}_mean"), q(0.5).alias(f"{name}_median"), F.stddev_pop(x).alias(f"{name}_sd"), (q(0.75) - q(0.25)).alias(f"{name}_iqr")]
 
 
-def spanning(candidates: DataFrame, reads: DataFrame, key: list[str], width: int = BIN) -> DataFrame:
-    """Pairs of a candidate (key, run, chrom, start0, end0) and a usable read of its run that covers it whole."""
+def spanning(candidates: DataFrame, reads: DataFrame, key: list[str], width: int = BIN, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Pairs of a candidate (key, `by`, chrom, start0, end0) and a usable read with the same `by` that covers it whole."""
     sides = reads.where(R.usable(F.col("flag"))).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("ref_start") / width), F.floor((F.greatest("ref_end", F.col("ref_start") + 1) - 1) / width))))
-    wanted = candidates.withColumn("__cbin", F.floor(F.col("start0") / width)).withColumnRenamed("run", "__run")
-    on = (wanted["__run"] == sides["run"]) & (wanted["chrom"] == sides["contig"]) & (wanted["__cbin"] == sides["__bin"]) & (sides["ref_start"] <= wanted["start0"]) & (sides["ref_end"] >= wanted["end0"])
-    return wanted.join(sides, on).drop("__run", "__cbin", "__bin")
+    wanted = candidates.withColumn("__cbin", F.floor(F.col("start0") / width)).withColumnsRenamed({c: f"__{c}" for c in by})
+    on = (wanted["chrom"] == sides["contig"]) & (wanted["__cbin"] == sides["__bin"]) & (sides["ref_start"] <= wanted["start0"]) & (sides["ref_end"] >= wanted["end0"])
+    return wanted.join(sides, reduce(and_, (wanted[f"__{c}"] == sides[c] for c in by), on)).drop(*(f"__{c}" for c in by), "__cbin", "__bin")
 
 
 def _blake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +59,11 @@ def sampled(pairs: DataFrame, key: list[str], most: int | None, hashed: Column |
     return pairs.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= most).drop("__rank", "__score")
 
 
-def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, flow_orders: DataFrame, key: list[str], window: int = 5, most: int | None = None, flow: bool = True, size: int = CHUNK) -> DataFrame:
-    """A row for each candidate (key, run, chrom, start0, end0, hp_base, hp_ref_len, hp_alt_len) with the BAM and flow
+def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, flow_orders: DataFrame, key: list[str], window: int = 5, most: int | None = None, flow: bool = True, size: int = CHUNK, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """A row for each candidate (key, `by`, chrom, start0, end0, hp_base, hp_ref_len, hp_alt_len) with the BAM and flow
     summaries; without reads the counts are 0 and the rest null."""
     candidates = staged(candidates)
-    pairs = staged(spanning(candidates, reads, key))
+    pairs = staged(spanning(candidates, reads, key, by=by))
     back = R.is_reverse(F.col("flag"))
     totals = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("bam_coverage"), F.count_if(~back).alias("bam_forward_reads"), F.count_if(back).alias("bam_reverse_reads"))
     used = sampled(pairs, key, most)
@@ -79,7 +82,7 @@ def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, fl
         "bam_local_indel_burden": F.col("__burden.indel"),
         **{f"flow_{name}": F.get("zp", F.lit(k)).cast("double") for k, name in enumerate(ZP_NAMES)},
     })
-    base = base.join(flow_orders.select("run", "rg", "fo"), ["run", "rg"], "left")
+    base = base.join(flow_orders.select(*by, "rg", "fo"), [*by, "rg"], "left")
     able = F.lit(flow) & F.col("hp_base").isNotNull() & F.col("__q").isNotNull() & F.col("fo").isNotNull()
     seq = R.as_sequenced(F.col("seq"), F.col("__back"))
     base = computed(base, __sequenced=seq)
@@ -127,31 +130,34 @@ def read_events(reads: DataFrame, genome: DataFrame, most: int | None = 50, unif
     return near.select(*reads.columns, F.col("contig").alias("chrom"), F.col("pos"), ref.alias("ref"), alt.alias("alt"))
 
 
-def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq: int = 20, min_support: int = 2, most: int | None = 50, min_alt_fraction: float | None = None, uniform: bool = False, size: int = CHUNK) -> DataFrame:
-    """Alleles that reads of one run show in the merged targets (contig, start, end), with support by strand, depth at
-    the anchor and mapping qualities.
+def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq: int = 20, min_support: int = 2, most: int | None = 50, min_alt_fraction: float | None = None, uniform: bool = False, size: int = CHUNK, by: tuple[str, ...] = ()) -> DataFrame:
+    """Alleles that reads show in the merged targets (contig, start, end), with support by strand, depth at the anchor and
+    mapping qualities, for each value of `by`.
 
     Raw alleles are counted once a read and interval, then the distinct ones are moved left and their counts merged:
     sums of support, the greatest depth, and mapping qualities as a histogram, whose percentiles are exact.
     """
     good = reads.where(R.usable(F.col("flag")) & (F.col("mapq") >= min_mapq))
-    events = read_events(good.select("read_id", "flag", "mapq", "contig", "ref_start", "ref_end", "cigar", "seq"), genome, most, uniform, size)
+    events = read_events(good.select(*by, "read_id", "flag", "mapq", "contig", "ref_start", "ref_end", "cigar", "seq"), genome, most, uniform, size)
     events = events.withColumns({"__a": F.col("pos") - 1, "__b": F.col("pos") - 1 + F.length("ref")})
-    inside = joined(events, targets, "inner", False, "__a", "__b", "chrom").dropDuplicates(["read_id", "chrom", "pos", "ref", "alt", "__s"])
+    inside = joined(events, targets, "inner", False, "__a", "__b", "chrom").dropDuplicates([*by, "read_id", "chrom", "pos", "ref", "alt", "__s"])
     inside = staged(inside)
     back = R.is_reverse(F.col("flag"))
-    raw = inside.groupBy("chrom", "pos", "ref", "alt", "__s", "__e", "mapq").agg(F.count(F.lit(1)).alias("n"), F.count_if(~back).alias("f"), F.count_if(back).alias("r"))
+    raw = inside.groupBy(*by, "chrom", "pos", "ref", "alt", "__s", "__e", "mapq").agg(F.count(F.lit(1)).alias("n"), F.count_if(~back).alias("f"), F.count_if(back).alias("r"))
     if min_alt_fraction is not None:
         # Depth is the coverage within the interval at the anchor base; an anchor outside has none.
-        points = raw.where((F.col("pos") - 1 >= F.col("__s")) & (F.col("pos") - 1 < F.col("__e"))).select(F.col("chrom").alias("contig"), (F.col("pos") - 1).alias("p")).distinct()
-        depth = coverage_at(good.select("contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("end")), points)
-        depth = depth.select(F.col("contig").alias("chrom"), (F.col("p") + 1).alias("pos"), "depth")
-        raw = raw.join(depth, ["chrom", "pos"], "left").withColumn("depth", F.when((F.col("pos") - 1 >= F.col("__s")) & (F.col("pos") - 1 < F.col("__e")), F.col("depth")).otherwise(0))
+        place = lambda contig: F.concat_ws("\x01", *by, contig)  # noqa: E731  contigs of each `by` apart
+        within = (F.col("pos") - 1 >= F.col("__s")) & (F.col("pos") - 1 < F.col("__e"))
+        raw = raw.withColumn("__place", place("chrom"))
+        points = raw.where(within).select(F.col("__place").alias("contig"), (F.col("pos") - 1).alias("p")).distinct()
+        depth = coverage_at(good.select(place("contig").alias("contig"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end")), points)
+        depth = depth.select(F.col("contig").alias("__place"), (F.col("p") + 1).alias("pos"), "depth")
+        raw = raw.join(depth, ["__place", "pos"], "left").withColumn("depth", F.when(within, F.col("depth")).otherwise(0))
     else:
         raw = raw.withColumn("depth", F.lit(0))
-    raw = raw.select("chrom", F.col("pos").cast("int").alias("pos"), "ref", "alt", "mapq", "n", "f", "r", F.coalesce("depth", F.lit(0)).alias("depth"))
+    raw = raw.select(*by, "chrom", F.col("pos").cast("int").alias("pos"), "ref", "alt", "mapq", "n", "f", "r", F.coalesce("depth", F.lit(0)).alias("depth"))
     moved = normalized(raw, genome, "chrom", size)
-    out = moved.groupBy("chrom", "pos", "ref", "alt").agg(
+    out = moved.groupBy(*by, "chrom", "pos", "ref", "alt").agg(
         F.sum("n").alias("bam_alt_support"), F.sum("f").alias("bam_alt_forward_reads"), F.sum("r").alias("bam_alt_reverse_reads"), F.max("depth").alias("bam_discovery_depth"),
         (F.sum(F.col("mapq") * F.col("n")) / F.sum("n")).alias("bam_alt_mapq_mean"), F.percentile(F.col("mapq").cast("double"), F.lit(0.5), F.col("n")).alias("bam_alt_mapq_median"),
     )
@@ -159,17 +165,17 @@ def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq
     return out if min_alt_fraction is None else out.where(F.col("bam_alt_fraction") >= min_alt_fraction)
 
 
-def forced_counts(keys: DataFrame, reads: DataFrame, genome: DataFrame, min_mapq: int = 20, size: int = CHUNK) -> DataFrame:
-    """Coverage by spanning reads and support by reads that show the normalised allele, for each key (run, chrom, pos,
+def forced_counts(keys: DataFrame, reads: DataFrame, genome: DataFrame, min_mapq: int = 20, size: int = CHUNK, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """Coverage by spanning reads and support by reads that show the normalised allele, for each key (`by`, chrom, pos,
     ref, alt). The fraction may pass 1, as support does not ask for spanning."""
-    names = ["run", "chrom", "pos", "ref", "alt"]
+    names = [*by, "chrom", "pos", "ref", "alt"]
     good = reads.where(R.usable(F.col("flag")) & (F.col("mapq") >= min_mapq))
     wanted = keys.select(*names).distinct().withColumns({"start0": F.col("pos") - 1, "end0": F.col("pos") - 1 + F.greatest(F.length("ref"), F.lit(1))})
-    coverage = spanning(wanted, good, names).groupBy(*names).agg(F.count(F.lit(1)).alias("coverage"))
+    coverage = spanning(wanted, good, names, by=by).groupBy(*names).agg(F.count(F.lit(1)).alias("coverage"))
     longest = keys.agg(F.max(F.greatest(F.length("ref"), F.length("alt")))).first()[0] or 0
-    events = read_events(good.select("run", "read_id", "flag", "contig", "ref_start", "cigar", "seq"), genome, max(50, longest), False, size)
+    events = read_events(good.select(*by, "read_id", "flag", "contig", "ref_start", "cigar", "seq"), genome, max(50, longest), False, size)
     events = events.where(F.greatest(F.length("ref"), F.length("alt")) - 1 <= max(50, longest))
-    moved = normalized(events.withColumn("pos", F.col("pos").cast("int")), genome, "chrom", size).dropDuplicates(["run", "read_id", "chrom", "pos", "ref", "alt"])
+    moved = normalized(events.withColumn("pos", F.col("pos").cast("int")), genome, "chrom", size).dropDuplicates([*by, "read_id", "chrom", "pos", "ref", "alt"])
     back = R.is_reverse(F.col("flag"))
     support = moved.join(keys.select(*names).distinct(), names, "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("alt_support"), F.count_if(~back).alias("alt_forward_reads"), F.count_if(back).alias("alt_reverse_reads"))
     out = wanted.select(*names).join(coverage, names, "left").join(support, names, "left")

@@ -19,12 +19,14 @@ from seqweave.sources import vcf as V
 
 KEY = ["chrom", "pos", "ref", "alt"]
 IDENTITY = ["sample", "run", "locus_id"]
-SPAN = ["run", "chrom", "start0", "end0", "hp_base", "hp_ref_len", "hp_alt_len"]
+#: Runs of several samples may share a name.
+BY = ("sample", "run")
+SPAN = [*BY, "chrom", "start0", "end0", "hp_base", "hp_ref_len", "hp_alt_len"]
 
 
 @dataclass
 class Inputs:
-    """manifest: sample, run, truth_profile. records: of `read_records` over all runs. reads, flow_orders: with run.
+    """manifest: sample, run, truth_profile. records: of `read_records` over all runs. reads, flow_orders: with sample and run.
     synthetic, giab: truth keys. benchmark, targets: merged intervals. genome: chunks of `size` bases."""
 
     manifest: DataFrame
@@ -53,9 +55,9 @@ def _labelled(frame: DataFrame, inputs: Inputs) -> DataFrame:
 
 
 def _with_reads(frame: DataFrame, inputs: Inputs, window: int, most: int | None, flow: bool) -> DataFrame:
-    spans = frame.select(F.col("run"), F.col("chrom"), F.greatest(F.lit(0), F.col("hp_start0")).cast("int").alias("start0"), F.greatest(F.col("hp_end0"), F.greatest(F.lit(0), F.col("hp_start0")) + 1).cast("int").alias("end0"), "hp_base", "hp_ref_len", "hp_alt_len", "locus_id")
-    found = EV.read_features(spans, inputs.reads, inputs.genome, inputs.flow_orders, [*SPAN, "locus_id"], window, most, flow, inputs.size)
-    return frame.join(found.drop(*(c for c in SPAN if c != "run")), ["run", "locus_id"], "left")
+    spans = frame.select(*BY, F.col("chrom"), F.greatest(F.lit(0), F.col("hp_start0")).cast("int").alias("start0"), F.greatest(F.col("hp_end0"), F.greatest(F.lit(0), F.col("hp_start0")) + 1).cast("int").alias("end0"), "hp_base", "hp_ref_len", "hp_alt_len", "locus_id")
+    found = EV.read_features(spans, inputs.reads, inputs.genome, inputs.flow_orders, [*SPAN, "locus_id"], window, most, flow, inputs.size, BY)
+    return frame.join(found.drop(*(c for c in SPAN if c not in BY)), [*BY, "locus_id"], "left")
 
 
 def caller_dataset(inputs: Inputs, window: int = 5, most_reads: int | None = None, most_candidates: int = 0, flow: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,21 +75,26 @@ def caller_dataset(inputs: Inputs, window: int = 5, most_reads: int | None = Non
 def hotspot_dataset(inputs: Inputs, min_hp_length: int = 4, min_mapq: int = 20, window: int = 5, most_reads: int = 50, flow: bool = True) -> dict[str, DataFrame]:
     """features: targeted homopolymer rows with read evidence and control differences; truth: rows of the synthetic truth
     in AOHC runs; baseline_fp: called reference rows; checks."""
-    found = V.candidates(inputs.records, inputs.targets, inputs.genome, hotspots=True).withColumn("candidate_source", F.lit("FORCED_HOTSPOT"))
+    found = staged(V.candidates(inputs.records, inputs.targets, inputs.genome, hotspots=True)).withColumn("candidate_source", F.lit("FORCED_HOTSPOT"))
     rows = G.with_context(_labelled(_profiles(found, inputs), inputs), inputs.genome, size=inputs.size)
     targeted = A.targeted_homopolymer(F.col("reference_match"), F.col("is_homopolymer_indel"), F.col("hp_ref_len"), F.col("hp_alt_len"), min_hp_length)
     rows = rows.withColumns({"original_called": A.call_positive(F.col("vcf_FILTER"), F.col("vcf_GT")), "targeted_hp": targeted, "evaluation_stratum": A.stratum(targeted)})
     rows = staged(rows)
     truth = rows.where(F.col("truth_profile") == "AOHC").join(inputs.synthetic.select(*KEY).distinct(), KEY, "left_semi")
     baseline = rows.where("original_called AND label = 0")
-    forced = EV.forced_counts(rows.where("targeted_hp").select("run", *KEY), inputs.reads, inputs.genome, min_mapq, inputs.size)
+    forced = EV.forced_counts(rows.where("targeted_hp").select(*BY, *KEY), inputs.reads, inputs.genome, min_mapq, inputs.size, BY)
     names = {c: f"bam_forced_{c}" for c in ("coverage", "alt_support", "alt_forward_reads", "alt_reverse_reads", "alt_fraction")}
-    features = rows.where("targeted_hp").join(forced.withColumnsRenamed(names), ["run", *KEY], "left")
+    features = rows.where("targeted_hp").join(forced.withColumnsRenamed(names), [*BY, *KEY], "left")
     features = staged(_with_reads(staged(features), inputs, window, most_reads, flow).drop("hp_start0", "hp_end0"))
     features = C.with_control_deltas(features, C.evidence_columns(features))
     loci = truth.agg(F.count_distinct("locus_id").alias("l"), F.count(F.lit(1)).alias("n"))
     runs = inputs.manifest.agg(F.count_if(F.col("truth_profile") == "AOHC").alias("r"))
-    kept = features.agg(F.bool_and(F.col("original_called") == A.call_positive(F.col("vcf_FILTER"), F.col("vcf_GT"))).alias("original_calls_never_redefined"))
+    was = found.select(*IDENTITY, A.call_positive(F.col("vcf_FILTER"), F.col("vcf_GT")).alias("__was"))
+    kept = features.join(was, IDENTITY, "left").agg(
+        F.bool_and(F.coalesce(F.col("original_called") == F.col("__was"), F.lit(False))).alias("original_calls_never_redefined"), F.bool_and((F.col("label_name") == A.UNKNOWN) == F.col("label").isNull()).alias("unknown_rows_unlabelled"),
+        F.bool_and((F.col("evaluation_stratum") == "HP") & (F.col("candidate_source") == "FORCED_HOTSPOT")).alias("all_rows_forced_homopolymers"),
+    )
+    kept = kept.select(*(F.coalesce(c, F.lit(True)).alias(c) for c in kept.columns))
     one = lambda a, b: a.join(b, F.lit(True))  # noqa: E731  of one row each
     checks = one(one(one(M.checks(features, IDENTITY), loci), runs), kept).withColumn("truth_observations_complete", (F.col("l") > 0) & (F.col("n") == F.col("l") * F.col("r"))).drop("l", "n", "r")
     return {"features": features, "truth": truth, "baseline_fp": baseline.select(*IDENTITY, "truth_profile", *KEY, "label", "evaluation_stratum"), "checks": checks}
@@ -96,13 +103,7 @@ def hotspot_dataset(inputs: Inputs, min_hp_length: int = 4, min_mapq: int = 20,
 def rescue_dataset(inputs: Inputs, min_mapq: int = 20, min_support: int = 2, min_alt_fraction: float | None = 0.10, min_hp_length: int = 4, most_length: int = 50, window: int = 5, most_reads: int = 30, flow: bool = True) -> dict[str, DataFrame]:
     """features: labelled blind candidates; truth: homopolymer truth loci of each run with forced counts; baseline_fp.
     Discovery never looks at the truth."""
-    parts = []
-    for run in inputs.manifest.select("sample", "run").collect():  # a row a run
-        found = EV.discovered(inputs.reads.where(F.col("run") == run["run"]), inputs.genome, inputs.targets, min_mapq, min_support, most_length, min_alt_fraction, True, inputs.size)
-        parts.append(found.select(F.lit(run["sample"]).alias("sample"), F.lit(run["run"]).alias("run"), "*"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = EV.discovered(inputs.reads, inputs.genome, inputs.targets, min_mapq, min_support, most_length, min_alt_fraction, True, inputs.size, BY)
     is_target = A.targeted_homopolymer(F.col("reference_match"), F.col("is_homopolymer_indel"), F.col("hp_ref_len"), F.col("hp_alt_len"), min_hp_length)
     rows = rows.withColumns({"locus_id": A.locus_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")), "candidate_source": F.lit("BLIND_BAM")})
     rows = G.with_context(_labelled(_profiles(rows, inputs), inputs), inputs.genome, size=inputs.size).where(is_target & F.col("label").isNotNull())
@@ -121,8 +122,12 @@ def rescue_dataset(inputs: Inputs, min_mapq: int = 20, min_support: int = 2, min
     by_profile = by_profile.withColumn("truth_source", A.truth_sources(syn & (F.col("truth_profile") == "AOHC"), giab))
     truth = runs.join(by_profile, "truth_profile").withColumn("locus_id", A.locus_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
     truth = staged(truth).select("sample", "run", "truth_profile", *KEY, "locus_id", "truth_source").join(called, IDENTITY, "left").withColumn("original_called", F.coalesce("original_called", F.lit(False)))
-    forced = EV.forced_counts(truth.select("run", *KEY), inputs.reads, inputs.genome, min_mapq, inputs.size)
-    truth = truth.join(forced.withColumnsRenamed({c: f"forced_{c}" for c in forced.columns if c not in ("run", *KEY)}), ["run", *KEY], "left").withColumn("diagnostic_only", F.lit(True))
+    forced = EV.forced_counts(truth.select(*BY, *KEY), inputs.reads, inputs.genome, min_mapq, inputs.size, BY)
+    truth = truth.join(forced.withColumnsRenamed({c: f"forced_{c}" for c in forced.columns if c not in (*BY, *KEY)}), [*BY, *KEY], "left").withColumn("diagnostic_only", F.lit(True))
     callers = G.with_context(_labelled(_profiles(original.where("called"), inputs), inputs), inputs.genome, size=inputs.size).where(is_target & (F.col("label") == 0))
     features, truth = staged(features), staged(truth)
-    return {"features": features, "truth": truth, "baseline_fp": callers.select(*IDENTITY, "truth_profile", *KEY, "label").withColumn("evaluation_stratum", F.lit("HP")), "checks": M.checks(features, IDENTITY)}
+    told = truth.agg(F.coalesce(F.bool_and("diagnostic_only"), F.lit(True)).alias("truth_is_diagnostic_only"), F.count_distinct(*IDENTITY).alias("seen"), F.count(F.lit(1)).alias("n"))
+    due = runs.join(by_profile.groupBy("truth_profile").agg(F.count(F.lit(1)).alias("c")), "truth_profile").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("due"))
+    checks = M.checks(features, IDENTITY).join(told, F.lit(True)).join(due, F.lit(True))  # of one row each
+    checks = checks.withColumn("truth_loci_complete", (F.col("n") == F.col("due")) & (F.col("seen") == F.col("n"))).drop("n", "seen", "due")
+    return {"features": features, "truth": truth, "baseline_fp": callers.select(*IDENTITY, "truth_profile", *KEY, "label").withColumn("evaluation_stratum", F.lit("HP")), "checks": checks}

@@ -215,11 +215,11 @@ def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.stratified_group_folds(calls(spark, sf_dir, "run", "locus_id", "ord", "label"))
 
 
-@query(f"""{CTE}, t AS (SELECT DISTINCT run, locus_id FROM c WHERE is_truth AND locus_id % 10 = 0), p AS (SELECT run, locus_id, max(probability) AS probability FROM c GROUP BY run, locus_id)
+@query(f"""{CTE}, t AS (SELECT DISTINCT run, locus_id FROM c WHERE is_truth), p AS (SELECT run, locus_id, max(probability) AS probability FROM c GROUP BY run, locus_id)
 SELECT t.run, t.locus_id, coalesce(p.probability, 0) AS probability, coalesce(p.probability >= 0.5, false) AS rescued FROM t LEFT JOIN p USING (run, locus_id)""")
 def truth_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = calls(spark, sf_dir, "run", "locus_id", "is_truth", "probability")
-    truth = rows.where("is_truth AND locus_id % 10 = 0").select("run", "locus_id").distinct()
+    truth = rows.where("is_truth").select("run", "locus_id").distinct()
     best = rows.groupBy("run", "locus_id").agg(F.max("probability").alias("probability"))
     out = M.one_to_one(truth, best, ["run", "locus_id"])
     return out.select("run", "locus_id", F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce(F.col("probability") >= 0.5, F.lit(False)).alias("rescued"))

@@ -293,13 +293,13 @@ _SIGNALS = "transform(sequence(0, 159), i -> CAST((i * 37 + read_id) % 512 AS SM
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads(spark, sf_dir).where("read_id % 7 = 1")
+    rows = reads(spark, sf_dir)
     seq = R.as_sequenced(F.col("seq"), R.is_reverse(F.col("flag")))
     made = R.flow_table(seq, F.lit(FLOW_ORDER), F.lit(1), F.expr(_SIGNALS))
     return rows.select("read_id", made.alias("flows"), seq.alias("sequenced"))
 
 
-_FL = f"""{_RD}, rs AS (SELECT read_id, CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGTN', 'TGCAN')) ELSE seq END AS s FROM rd WHERE read_id % 7 = 1),
+_FL = f"""{_RD}, rs AS (SELECT read_id, CASE WHEN flag & 16 <> 0 THEN reverse(translate(seq, 'ACGTN', 'TGCAN')) ELSE seq END AS s FROM rd),
 fl AS (SELECT read_id, s, 1 AS i, length(s) - length(ltrim(s, 'A')) AS n, 0 AS q FROM rs
   UNION ALL SELECT read_id, s, i + 1, length(substr(s, q + n + 1)) - length(ltrim(substr(s, q + n + 1), substr('{FLOW_ORDER}', i + 2, 1))), q + n FROM fl WHERE q + n < length(s) AND i + 1 < 160)"""
 
@@ -330,23 +330,23 @@ def flow_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Discovery and forced counts
 
-_EV = f"""{_GEN}, {_RD}, good AS (SELECT * FROM rd WHERE {_OK} AND mapq >= 20 AND run = '1'),
-e0 AS (SELECT read_id, flag, mapq, contig, ref_start + 12 AS pos, substr(seq, 16, 2) AS unit, true AS ins FROM good WHERE shape = 1 UNION ALL SELECT read_id, flag, mapq, contig, ref_start + 10, NULL, false FROM good WHERE shape = 2
-  UNION ALL SELECT read_id, flag, mapq, contig, ref_start + 27, substr(seq, 23, 4), true FROM good WHERE shape = 3),
-e1 AS (SELECT read_id, flag, mapq, contig, pos, CASE WHEN ins THEN unit ELSE substr(g, pos + 1, 3) END AS unit, ins FROM e0 JOIN contigs USING (contig)),
+_EV = f"""{_GEN}, {_RD}, good AS (SELECT * FROM rd WHERE {_OK} AND mapq >= 20),
+e0 AS (SELECT run, read_id, flag, mapq, contig, ref_start + 12 AS pos, substr(seq, 16, 2) AS unit, true AS ins FROM good WHERE shape = 1 UNION ALL SELECT run, read_id, flag, mapq, contig, ref_start + 10, NULL, false FROM good WHERE shape = 2
+  UNION ALL SELECT run, read_id, flag, mapq, contig, ref_start + 27, substr(seq, 23, 4), true FROM good WHERE shape = 3),
+e1 AS (SELECT run, read_id, flag, mapq, contig, pos, CASE WHEN ins THEN unit ELSE substr(g, pos + 1, 3) END AS unit, ins FROM e0 JOIN contigs USING (contig)),
 w AS (SELECT DISTINCT contig, pos, unit, ins, pos AS p0, unit AS u0 FROM e1 UNION ALL SELECT w.contig, w.pos - 1, right(unit, 1) || left(unit, length(unit) - 1), ins, p0, u0 FROM w JOIN contigs USING (contig) WHERE w.pos > 1 AND substr(g, w.pos, 1) = right(unit, 1)),
 n AS (SELECT contig, ins, p0, u0, min(pos) AS pos, arg_min(unit, pos) AS unit FROM w GROUP BY contig, ins, p0, u0),
 ev AS (SELECT e1.*, n.pos AS npos, n.unit AS nunit, substr(g, n.pos, 1) AS a FROM e1 JOIN n ON n.contig = e1.contig AND n.ins = e1.ins AND n.p0 = e1.pos AND n.u0 = e1.unit JOIN contigs ON contigs.contig = e1.contig),
-al AS (SELECT read_id, flag, mapq, contig AS chrom, npos AS pos, CASE WHEN ins THEN a ELSE a || nunit END AS ref, CASE WHEN ins THEN a || nunit ELSE a END AS alt FROM ev)"""
+al AS (SELECT run, read_id, flag, mapq, contig AS chrom, npos AS pos, CASE WHEN ins THEN a ELSE a || nunit END AS ref, CASE WHEN ins THEN a || nunit ELSE a END AS alt FROM ev)"""
 
 
-@query(f"""WITH RECURSIVE {_EV} SELECT chrom, CAST(pos AS INT) AS pos, ref, alt, count(*) AS support, count(*) FILTER (flag & 16 = 0) AS forward, count(*) FILTER (flag & 16 <> 0) AS backward, round(avg(mapq), 6) AS mapq_mean, quantile_cont(mapq, 0.5) AS mapq_median
-  FROM al GROUP BY chrom, pos, ref, alt HAVING count(*) >= 2""")
+@query(f"""WITH RECURSIVE {_EV} SELECT run, chrom, CAST(pos AS INT) AS pos, ref, alt, count(*) AS support, count(*) FILTER (flag & 16 = 0) AS forward, count(*) FILTER (flag & 16 <> 0) AS backward, round(avg(mapq), 6) AS mapq_mean, quantile_cont(mapq, 0.5) AS mapq_median
+  FROM al GROUP BY run, chrom, pos, ref, alt HAVING count(*) >= 2""")
 def discover_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame([(str(k), 0, 1 << 28) for k in range(5)], "contig string, start long, end long")
     # One interval holds each contig whole, so its bins are wide.
-    out = EV.discovered(reads(spark, sf_dir).where("run = '1'"), genome(spark, sf_dir), _clipped(targets, genome(spark, sf_dir)), size=CHUNK)
-    return out.select("chrom", "pos", "ref", "alt", F.col("bam_alt_support").alias("support"), F.col("bam_alt_forward_reads").alias("forward"), F.col("bam_alt_reverse_reads").alias("backward"), F.round("bam_alt_mapq_mean", 6).alias("mapq_mean"), F.col("bam_alt_mapq_median").alias("mapq_median"))
+    out = EV.discovered(reads(spark, sf_dir), genome(spark, sf_dir), _clipped(targets, genome(spark, sf_dir)), size=CHUNK, by=("run",))
+    return out.select("run", "chrom", "pos", "ref", "alt", F.col("bam_alt_support").alias("support"), F.col("bam_alt_forward_reads").alias("forward"), F.col("bam_alt_reverse_reads").alias("backward"), F.round("bam_alt_mapq_mean", 6).alias("mapq_mean"), F.col("bam_alt_mapq_median").alias("mapq_median"))
 
 
 def _clipped(targets: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -355,14 +355,14 @@ def _clipped(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     return targets.join(ends, "contig").select("contig", "start", F.least("end", "size").alias("end"))
 
 
-@query(f"""WITH RECURSIVE {_EV}, d AS (SELECT chrom, pos, ref, alt, count(*) AS support, count(*) FILTER (flag & 16 = 0) AS fw, count(*) FILTER (flag & 16 <> 0) AS bw FROM al WHERE length(ref) = 4 GROUP BY chrom, pos, ref, alt),
-c AS (SELECT d.chrom, d.pos, d.ref, d.alt, count(good.read_id) AS coverage FROM d LEFT JOIN good ON good.contig = d.chrom AND good.ref_start <= d.pos - 1 AND good.ref_end >= d.pos - 1 + length(d.ref) GROUP BY d.chrom, d.pos, d.ref, d.alt)
-SELECT chrom, CAST(pos AS INT) AS pos, ref, alt, coverage, support AS alt_support, fw AS alt_forward_reads, bw AS alt_reverse_reads, round(CASE WHEN coverage > 0 THEN support / coverage END, 9) AS alt_fraction FROM d JOIN c USING (chrom, pos, ref, alt)""")
+@query(f"""WITH RECURSIVE {_EV}, d AS (SELECT run, chrom, pos, ref, alt, count(*) AS support, count(*) FILTER (flag & 16 = 0) AS fw, count(*) FILTER (flag & 16 <> 0) AS bw FROM al GROUP BY run, chrom, pos, ref, alt),
+c AS (SELECT d.run, d.chrom, d.pos, d.ref, d.alt, count(good.read_id) AS coverage FROM d LEFT JOIN good ON good.run = d.run AND good.contig = d.chrom AND good.ref_start <= d.pos - 1 AND good.ref_end >= d.pos - 1 + length(d.ref) GROUP BY d.run, d.chrom, d.pos, d.ref, d.alt)
+SELECT run, chrom, CAST(pos AS INT) AS pos, ref, alt, coverage, support AS alt_support, fw AS alt_forward_reads, bw AS alt_reverse_reads, round(CASE WHEN coverage > 0 THEN support / coverage END, 9) AS alt_fraction FROM d JOIN c USING (run, chrom, pos, ref, alt)""")
 def forced_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, chunks = reads(spark, sf_dir).where("run = '1'"), genome(spark, sf_dir)
+    rows, chunks = reads(spark, sf_dir), genome(spark, sf_dir)
     targets = _clipped(spark.createDataFrame([(str(k), 0, 1 << 28) for k in range(5)], "contig string, start long, end long"), chunks)
-    keys = EV.discovered(rows, chunks, targets, min_support=1, size=CHUNK).where("length(ref) = 4").select(F.lit("1").alias("run"), "chrom", "pos", "ref", "alt")
-    return EV.forced_counts(keys, rows, chunks, size=CHUNK).drop("run").withColumn("alt_fraction", F.round("alt_fraction", 9))
+    keys = EV.discovered(rows, chunks, targets, min_support=1, size=CHUNK, by=("run",)).select("run", "chrom", "pos", "ref", "alt")
+    return EV.forced_counts(keys, rows, chunks, size=CHUNK).withColumn("alt_fraction", F.round("alt_fraction", 9))
 
 
 @query()

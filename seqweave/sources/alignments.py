@@ -127,8 +127,9 @@ def flow_orders(spark: SparkSession, path: str, run: str = "") -> DataFrame:
 
 def read_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
     """contig, chunk and seq of a FASTA file: each record as one text, cut into chunks of `size` bases."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
+    # A record begins with > at a line's start; further ones in its header are text.
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    name = F.regexp_extract("value", r"^>?(\S+)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
     held = records.select(F.inline(F.array(F.struct(name.alias("contig"), seq.alias("whole")))))
     places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("whole") / size).cast("int") - 1, F.lit(0)))

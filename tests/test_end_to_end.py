@@ -73,6 +73,23 @@ def test_bam_and_fasta(spark, files):
     assert "".join(r["seq"] for r in chunks) == SEQ
 
 
+def test_fasta_headers_hold_marks(spark, tmp_path):
+    (tmp_path / "g.fa").write_text(">chr1 c.76A>C patch\nACGT\nAC\n>chr2 >x\nGG\n")
+    rows = alignments.read_genome(spark, f"{tmp_path}/g.fa", 4).orderBy("contig", "chunk").collect()
+    assert [tuple(r) for r in rows] == [("chr1", 0, "ACGT"), ("chr1", 1, "AC"), ("chr2", 0, "GG")]
+
+
+def test_samples_may_share_a_run_name(spark, files, tmp_path):
+    manifest = tmp_path / "m.tsv"
+    rows = (files / "m.tsv").read_text().replace("x.bam", f"{files}/x.bam").replace("calls.vcf", f"{files}/calls.vcf")
+    manifest.write_text(rows.replace("\tR2\t", "\tR1\t"))
+    for program in ("build-caller", "build-hotspot", "build-rescue"):
+        run(files, program)
+        run(files, program, "--manifest", str(manifest), "--output-dir", f"{tmp_path}/{program}")
+        apart, shared = (spark.read.parquet(f"{d}/{program}/features.parquet").drop("run") for d in (files, tmp_path))
+        assert shared.count() == apart.count() > 0 and shared.select(*apart.columns).exceptAll(apart).isEmpty()
+
+
 def test_records(spark, files):
     assert vcf.read_contigs(spark, f"{files}/calls.vcf") == ["chr1"]
     rows = vcf.read_records(spark, f"{files}/calls.vcf", "S", "R")

@@ -132,3 +132,30 @@ def test_burdens_half_open(spark):
     df = spark.createDataFrame([([(0, 4), (1, 3), (0, 4)], "ACGTTTTACGA")], f"c {CIGAR}, s string")
     made = lambda end: first(df.select(R.burdens(R.placed(F.col("c"), F.lit(0)), F.col("s"), F.lit("ACGTACGT"[:end]), F.lit(0), F.lit(end))))
     assert made(4)["indel"] == 0.0 and made(8)["indel"] == pytest.approx(3 / 11) and made(8)["mismatch"] == pytest.approx(1 / 8)
+
+
+def test_flow_tables_of_many_reads():
+    import random
+
+    import pyarrow as pa
+
+    def plain(seq, order, zf, zm):
+        if None in (seq, order, zf) or zm is None or not 0 <= zf < min(len(order), len(zm)):
+            return None
+        rows = []
+        for k in range(zf, min(len(order), len(zm))):
+            left = seq.lstrip(order[k].upper())
+            rows.append((k, order[k].upper(), zm[k] / 256, len(seq) - len(left)))
+            seq = left
+            if not seq:
+                break
+        return rows
+
+    rng = random.Random(1)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    for size in (0, 1, 300):
+        rows = [(rng.choice([None, some(12, "ACGTN"), "AAACC"]), rng.choice([None, "TACG" * rng.randint(0, 6), "tacgTG"]), rng.choice([None, 0, 1, 3, 30, -1]), rng.choice([None, [rng.randint(-5, 700) for _ in range(rng.randint(0, 24))]])) for _ in range(size)]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int16()))
+        got = R._walked(*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))).to_pylist()
+        assert [g and [(x["flow_index"], x["flow_base"], x["signal"], x["called"]) for x in g] for g in got] == [plain(*r) for r in rows]
+        assert all(x["query_end"] - x["query_start"] == x["called"] for g in got if g for x in g)
