@@ -365,10 +365,48 @@ def forced_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.forced_counts(keys, rows, chunks, size=CHUNK).withColumn("alt_fraction", F.round("alt_fraction", 9))
 
 
+_CANDIDATES = _CAND | {"hp_base": "'A'", "hp_ref_len": "3", "hp_alt_len": "2"}
+#: What a read says about a candidate, by output name.
+_SAID = {
+    "bam_mapq": "mapq", "bam_softclip_base_fraction": "clip", "bam_candidate_read_position": "place / 31", "bam_distance_to_read_end": "least(place, 31 - place)", "bam_local_mismatch_burden": "wrong / nullif(aligned, 0)",
+    "bam_local_indel_burden": "gaps / nullif(aligned + gaps, 0)", "flow_candidate_signal": "signal", "flow_ref_residual": "abs(signal - 3)", "flow_alt_residual": "abs(signal - 2)", "flow_residual_difference": "abs(signal - 3) - abs(signal - 2)",
+    "flow_neighbor_noise": "noise", "flow_CF": "CAST(CAST(0.1 AS FLOAT) AS DOUBLE)", "flow_m1_signal": "m1", "flow_p1_signal": "p1",
+}
+#: Signals are 256ths, whose means often end in a 5 right behind the ninth digit: a little more rounds them alike.
+_UP = 1e-11
+_SUMMED = ", ".join(f"round(avg({x}) + {_UP}, 9) AS {n}_mean, round(quantile_cont({x}, 0.5) + {_UP}, 9) AS {n}_median, round(stddev_pop({x}) + {_UP}, 9) AS {n}_sd, round(quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) + {_UP}, 9) AS {n}_iqr" for n, x in _SAID.items())
+_COUNTS = ["bam_coverage", "bam_forward_reads", "bam_reverse_reads", "bam_reads_used", "flow_reads"]
+_SHARES = ["bam_mapq_ge30_fraction", "bam_softclip_read_fraction", "flow_read_fraction", "flow_reconstructed_fraction", "flow_fraction_alt_closer"]
+
+
+@query(f"""WITH RECURSIVE {_GEN}, {_FL}, c AS ({selected(_CANDIDATES, 'part')}), a AS ({_ALIGNED}),
+pr AS (SELECT k, start0, end0, greatest(0, start0 - 10) AS lo, end0 + 10 AS hi, rd.* FROM c JOIN rd ON rd.run = c.run AND rd.contig = c.chrom AND ref_start <= start0 AND ref_end >= end0 WHERE {_OK}),
+bs AS (SELECT k, pr.read_id, a.q, pr.ref_start + a.r AS p, start0, end0, lo, hi, substr(pr.seq, a.q + 1, 1) AS ours, substr(g, CAST(pr.ref_start + a.r + 1 AS BIGINT), 1) AS theirs FROM pr JOIN a USING (read_id) JOIN contigs ON contigs.contig = pr.contig),
+mid AS (SELECT k, read_id, list_sort(list(q) FILTER (p >= start0 AND p < end0)) AS l, arg_min(q, (abs(2 * p - start0 - end0 + 1), q)) AS near, count(*) FILTER (p >= lo AND p < hi AND theirs <> '') AS aligned, count(*) FILTER (p >= lo AND p < hi AND theirs <> '' AND ours <> theirs) AS wrong FROM bs GROUP BY k, read_id),
+e AS (SELECT pr.k, pr.read_id, flag, mapq, CASE WHEN flag & 16 <> 0 THEN 31 - coalesce(l[len(l) // 2 + 1], near) ELSE coalesce(l[len(l) // 2 + 1], near) END AS place, aligned, wrong, CASE shape WHEN 1 THEN 3 / 32 WHEN 3 THEN 4 / 32 ELSE 0 END AS clip,
+  CASE WHEN shape = 1 AND ref_start + 12 >= lo AND ref_start + 12 < hi THEN 2 WHEN shape = 3 AND ref_start + 27 >= lo AND ref_start + 27 < hi THEN 4 WHEN shape = 2 THEN greatest(least(ref_start + 13, hi) - greatest(ref_start + 10, lo), 0) ELSE 0 END AS gaps FROM pr LEFT JOIN mid USING (k, read_id)),
+sg AS (SELECT read_id, i, n, q, CAST(((i * 37 + read_id) % 512) AS DOUBLE) / 256 AS signal, substr('{FLOW_ORDER}', i + 1, 1) AS b FROM fl), whole AS (SELECT read_id, max(q + n) = any_value(length(s)) AS whole FROM fl GROUP BY read_id),
+away AS (SELECT k, read_id, i, CASE WHEN place >= q AND place < q + n THEN -1 WHEN place < q THEN q - place ELSE place - (q + n) + 1 END AS d FROM e JOIN sg USING (read_id) WHERE b = CASE WHEN flag & 16 <> 0 THEN 'T' ELSE 'A' END),
+best AS (SELECT k, read_id, arg_min(i, (d, i)) AS i FROM away GROUP BY k, read_id HAVING min(d) <= 3),
+fs AS (SELECT k, best.read_id, max(signal) FILTER (sg.i = best.i) AS signal, max(signal) FILTER (sg.i = best.i - 1) AS m1, max(signal) FILTER (sg.i = best.i + 1) AS p1, stddev_pop(signal - n) FILTER (sg.i <> best.i) AS noise FROM best JOIN sg ON sg.read_id = best.read_id AND sg.i BETWEEN best.i - 5 AND best.i + 5 GROUP BY k, best.read_id),
+r AS (SELECT e.*, fs.signal, m1, p1, noise, whole FROM e LEFT JOIN fs USING (k, read_id) LEFT JOIN whole USING (read_id))
+SELECT c.k, count(read_id) AS bam_coverage, count(read_id) FILTER (flag & 16 = 0) AS bam_forward_reads, count(read_id) FILTER (flag & 16 <> 0) AS bam_reverse_reads, count(read_id) AS bam_reads_used, count(signal) AS flow_reads,
+  round(avg(CAST(mapq >= 30 AS INT)) + {_UP}, 9) AS bam_mapq_ge30_fraction, round(avg(CAST(clip > 0 AS INT)) + {_UP}, 9) AS bam_softclip_read_fraction, round(count(signal) / nullif(count(read_id), 0) + {_UP}, 9) AS flow_read_fraction, round(avg(CAST(whole AS INT)) + {_UP}, 9) AS flow_reconstructed_fraction,
+  round(avg(CAST(abs(signal - 2) < abs(signal - 3) AS INT)) + {_UP}, 9) AS flow_fraction_alt_closer, {_SUMMED.replace("CAST(CAST(0.1 AS FLOAT) AS DOUBLE)", "CASE WHEN read_id IS NOT NULL THEN CAST(CAST(0.1 AS FLOAT) AS DOUBLE) END")} FROM c LEFT JOIN r ON r.k = c.k GROUP BY c.k""")
+def read_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of all reads of homopolymer candidates."""
+    out = _features(spark, sf_dir, None)
+    return out.select("k", *_COUNTS, *(F.round(F.col(c) + _UP, 9).alias(c) for c in [*_SHARES, *(f"{n}_{s}" for n in _SAID for s in ("mean", "median", "sd", "iqr"))]))
+
+
 @query()
 def read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All BAM and flow summaries of homopolymer candidates."""
-    candidates = relation(spark, sf_dir, _CAND | {"hp_base": "'A'", "hp_ref_len": "3", "hp_alt_len": "2"}, "part").where("end0 > start0")
+    """All BAM and flow summaries of homopolymer candidates, of 30 reads each at most."""
+    return _features(spark, sf_dir, 30)
+
+
+def _features(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
+    candidates = relation(spark, sf_dir, _CANDIDATES, "part").where("end0 > start0")
     rows = reads(spark, sf_dir).withColumns({"rg": F.lit("g"), "zf": F.lit(1), "zm": F.expr(_SIGNALS), "zp": F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3)).cast("array<float>")})
     orders = spark.createDataFrame([(str(k), "g", FLOW_ORDER) for k in range(1, 8)], "run string, rg string, fo string")
-    return EV.read_features(candidates, rows, genome(spark, sf_dir), orders, ["k", "run", "chrom", "start0", "end0", "hp_base", "hp_ref_len", "hp_alt_len"], most=30, size=CHUNK)
+    return EV.read_features(candidates, rows, genome(spark, sf_dir), orders, ["k", "run", "chrom", "start0", "end0", "hp_base", "hp_ref_len", "hp_alt_len"], most=most, size=CHUNK)

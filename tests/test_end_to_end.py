@@ -79,17 +79,6 @@ def test_fasta_headers_hold_marks(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("chr1", 0, "ACGT"), ("chr1", 1, "AC"), ("chr2", 0, "GG")]
 
 
-def test_samples_may_share_a_run_name(spark, files, tmp_path):
-    manifest = tmp_path / "m.tsv"
-    rows = (files / "m.tsv").read_text().replace("x.bam", f"{files}/x.bam").replace("calls.vcf", f"{files}/calls.vcf")
-    manifest.write_text(rows.replace("\tR2\t", "\tR1\t"))
-    for program in ("build-caller", "build-hotspot", "build-rescue"):
-        run(files, program)
-        run(files, program, "--manifest", str(manifest), "--output-dir", f"{tmp_path}/{program}")
-        apart, shared = (spark.read.parquet(f"{d}/{program}/features.parquet").drop("run") for d in (files, tmp_path))
-        assert shared.count() == apart.count() > 0 and shared.select(*apart.columns).exceptAll(apart).isEmpty()
-
-
 def test_records(spark, files):
     assert vcf.read_contigs(spark, f"{files}/calls.vcf") == ["chr1"]
     rows = vcf.read_records(spark, f"{files}/calls.vcf", "S", "R")
@@ -136,6 +125,18 @@ def test_rescue_dataset(spark, files):
     assert [(t["run"], t["pos"], t["forced_alt_support"]) for t in truth] == [("R1", 7, 6)]
 
 
+def test_samples_may_share_a_run_name(spark, files, tmp_path):
+    manifest = tmp_path / "m.tsv"
+    rows = (files / "m.tsv").read_text().replace("x.bam", f"{files}/x.bam").replace("calls.vcf", f"{files}/calls.vcf")
+    manifest.write_text(rows.replace("\tR2\t", "\tR1\t"))
+    for program in ("build-caller", "build-hotspot", "build-rescue"):
+        if not (files / program / "features.parquet").exists():
+            run(files, program)
+        run(files, program, "--manifest", str(manifest), "--output-dir", f"{tmp_path}/{program}")
+        apart, shared = (spark.read.parquet(f"{d}/{program}/features.parquet").drop("run") for d in (files, tmp_path))
+        assert shared.count() == apart.count() > 0 and shared.select(*apart.columns).exceptAll(apart).isEmpty()
+
+
 def test_trainers(spark):
     rows = [(f"s{k % 2}", f"r{k % 4}", f"l{k % 40}", int(k % 40 < 14), k % 5 == 0, float(k % 40 < 14) + (k * 37 % 11) / 9, None if k % 9 else 1.0, "x" if k % 3 else None, True, True, 5, 4) for k in range(160)]
     df = spark.createDataFrame(rows, "sample string, run string, locus_id string, label int, original_called boolean, vcf_AF double, flow_x double, vcf_TYPE string, reference_match boolean, is_homopolymer_indel boolean, hp_ref_len int, hp_alt_len int").cache()
