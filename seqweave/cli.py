@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.operators.intervals import merged
-from seqweave.operators.metrics import strata_metrics
+from seqweave.operators.metrics import inconsistent_loci
 from seqweave.operators.staging import staged
 from seqweave.plans import builders, models
 from seqweave.sources import alignments, tables, vcf
@@ -72,8 +72,8 @@ def parser() -> argparse.ArgumentParser:
     program("build-rescue", six, output_dir="output/rescue", min_mapq=20, min_support=2, min_alt_fraction=0.10, min_hp_length=4, max_indel_length=50, flow_window=5, max_reads_per_candidate=30, no_flow=False)
     program("build-hotspot", six, output_dir="output/hotspot", min_hp_length=4, min_mapq=20, flow_window=5, max_reads_per_candidate=50, no_flow=False)
     program("train-caller", ("dataset",), output_dir="output/models", test_size=0.25, random_state=17, threshold=0.5, matched_recall=float, min_hp_length=2, include_context=False, trees=300)
-    program("train-rescue", ("dataset",), output_dir="output/rescue_models", folds=5, threshold=0.5, min_positive_loci=5, bootstrap_iterations=2000, random_state=17, trees=300)
-    program("train-hotspot", ("dataset",), output_dir="output/hotspot_models", folds=5, inner_folds=4, inner_fp_budget=0, random_state=17, trees=300)
+    program("train-rescue", ("dataset",), output_dir="output/rescue_models", folds=5, threshold=0.5, min_positive_loci=5, positive_source=str, bootstrap_iterations=2000, random_state=17, trees=300)
+    program("train-hotspot", ("dataset",), output_dir="output/hotspot_models", folds=5, inner_folds=4, inner_fp_budget=0, required_rescues=8, allowed_additional_fp=1, random_state=17, trees=300)
     return out
 
 
@@ -98,18 +98,24 @@ def main(argv: list[str] | None = None) -> None:
         results, scored = models.train_ablation(_gated(spark, args.dataset, "VALIDATION_PASSED.json"), args.test_size, args.random_state, args.threshold, args.matched_recall, args.min_hp_length, args.include_context, args.trees)
         tables.write_frame(results, f"{out}/ablation_results")
         tables.write_frame(scored, f"{out}/predictions")
+        tables.write_marker(spark, f"{out}/EXPERIMENT_COMPLETE.json", {"complete": True, "parameters": given})
     elif args.program == "train-rescue":
-        rows = _gated(spark, args.dataset, "VALIDATION_PASSED.json")
-        results, scored = models.train_rescue(rows, spark.read.parquet(f"{args.dataset}/truth.parquet"), args.folds, args.threshold, args.random_state, args.bootstrap_iterations, args.min_positive_loci, args.trees)
-        tables.write_frame(results, f"{out}/end_to_end_metrics")
-        tables.write_frame(scored, f"{out}/candidate_oof_predictions")
+        rows, truth, baseline = (_gated(spark, args.dataset, "VALIDATION_PASSED.json"), *(spark.read.parquet(f"{args.dataset}/{n}.parquet") for n in ("truth", "baseline_fp")))
+        made = models.train_rescue(rows, truth, baseline, args.folds, args.threshold, args.random_state, args.bootstrap_iterations, args.min_positive_loci, args.trees, None, args.positive_source, out)
+        for name, table in made.items():
+            tables.write_frame(table, f"{out}/{name}")
+        tables.write_marker(spark, f"{out}/feature_sets.json", models.feature_sets(rows.columns, "rescue"))
+        tables.write_marker(spark, f"{out}/EXPERIMENT_COMPLETE.json", {"complete": True, "locus_leakage": False, "parameters": given, "truth_observations": truth.count(), "candidate_rows": rows.count(), "mixed_label_loci": inconsistent_loci(rows).count()})
     else:
-        rows = _gated(spark, args.dataset, "VALIDATION_PASSED.json")
-        scored, thresholds = models.train_addon(rows, args.folds, args.inner_folds, args.inner_fp_budget, args.random_state, args.trees)
+        rows, truth, baseline = (_gated(spark, args.dataset, "VALIDATION_PASSED.json"), *(spark.read.parquet(f"{args.dataset}/{n}.parquet") for n in ("truth", "baseline_fp")))
+        scored, thresholds = models.train_addon(rows, args.folds, args.inner_folds, args.inner_fp_budget, args.random_state, args.trees, None, out)
+        scored = staged(scored)
         tables.write_frame(scored, f"{out}/oof_predictions")
         tables.write_frame(thresholds, f"{out}/nested_fold_thresholds")
-        strata = strata_metrics(scored.withColumn("is_truth", F.col("label") == 1), {"ORIGINAL": "original_called", "ADDON": "final_called"})
-        tables.write_frame(strata, f"{out}/addon_metrics")
+        for name, table in models.addon_reports(scored, truth, baseline, args.required_rescues, args.allowed_additional_fp).items():
+            tables.write_frame(table, f"{out}/{name}")
+        tables.write_marker(spark, f"{out}/feature_sets.json", models.feature_sets(rows.columns, "hotspot"))
+        tables.write_marker(spark, f"{out}/EXPERIMENT_COMPLETE.json", {"complete": True, "original_calls_retained": True, "unknown_rows_excluded": True, "parameters": given})
 
 
 if __name__ == "__main__":

@@ -4,9 +4,11 @@ import gzip
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqweave import cli
-from seqweave.plans import models
+from seqweave.operators import metrics as M
+from seqweave.plans import models, reports
 from seqweave.sources import alignments, tables, vcf
 
 SEQ = "GATTACA" + "CCCC" + "GTCAGT" + "AAAAA" + "GCTGCATGCTAGCTAGGATCCATG" * 3
@@ -144,3 +146,33 @@ def test_trainers(spark):
     assert results.count() == 3 and scored.where("probability_M1_VCF BETWEEN 0 AND 1").count() == scored.count() > 0
     out, thresholds = models.train_addon(df, folds=2, inner_folds=2, trees=2, models=["A1_VCF_CONTEXT"])
     assert out.count() == 160 and thresholds.count() == 2 and out.where("original_called AND NOT final_called").isEmpty()
+
+
+def test_rescue_experiment(spark):
+    rows = [(f"s{k % 2}", f"r{k % 4}", f"l{k % 40}", int(k % 40 < 14), "AOHC_SYNTHETIC" if k % 40 < 9 else "GIAB_HG002", float(k % 40 < 14) + (k * 37 % 11) / 9) for k in range(160)]
+    df = spark.createDataFrame(rows, "sample string, run string, locus_id string, label int, truth_source string, bam_alt_support double").withColumn("flow_x", F.col("bam_alt_support") + 1)
+    truth = df.where("label = 1").select("sample", "run", "locus_id", "truth_source").dropDuplicates(["sample", "run", "locus_id"]).withColumn("original_called", F.col("locus_id") == "l3")
+    baseline = df.where("locus_id = 'l20'").select("sample", "run", "locus_id")
+    made = models.train_rescue(df.dropDuplicates(["sample", "run", "locus_id"]), truth, baseline, folds=2, bootstrap=20, trees=2, models=["R0_DISCOVERY"])
+    got = {r["system"]: r for r in made["end_to_end_metrics"].collect()}
+    first, own, n = got["ORIGINAL"], got["R0_DISCOVERY"], truth.count()
+    assert (first["TP"], first["FP"], first["truth_total"], first["sensitivity_gain_vs_original"], first["feature_count"]) == (truth.where("original_called").count(), baseline.count(), n, 0, 0)
+    assert own["TP"] - first["TP"] == own["rescued_original_fn"] - own["lost_original_tp"] and 0 <= own["sensitivity_ci95_low_locus_bootstrap"] <= own["sensitivity_ci95_high_locus_bootstrap"] <= 1 and own["candidate_pr_auc"] > 0.5
+    assert own["meets_exploratory_success_gate"] == (own["sensitivity_gain_vs_original"] >= 0.1 and own["additional_fp_per_run_vs_original"] <= 2)
+    for name in ("per_run_metrics", "per_sample_metrics"):
+        assert {r["system"]: r["t"] for r in made[name].groupBy("system").agg(F.sum("truth_total").alias("t")).collect()} == {"ORIGINAL": n, "R0_DISCOVERY": n}
+    assert made["posthoc_fp_budget_metrics"].first()["FP"] <= baseline.count() + 8 and made["truth_end_to_end_predictions"].count() == n
+    with pytest.raises(ValueError):
+        models.train_rescue(df, truth, baseline, positive_source="nowhere")
+
+
+def test_addon_reports(spark):
+    scored = spark.createDataFrame([("A", "s", "r1", f"l{k}", int(k < 4), k == 0, 0.9 - k / 10, 0.45, "AOHC", "HP" if k % 2 else "NON_HP") for k in range(8)], "system string, sample string, run string, locus_id string, label int, original_called boolean, probability double, threshold double, truth_profile string, evaluation_stratum string")
+    scored = M.addon_calls(scored, F.col("threshold"))
+    truth = scored.where("label = 1").select("sample", "run", "locus_id", "original_called", "evaluation_stratum").unionByName(spark.createDataFrame([("s", "r1", "l9", False, "HP")], "sample string, run string, locus_id string, original_called boolean, evaluation_stratum string"))
+    baseline = spark.createDataFrame([("s", "r1", "b", "HP")], "sample string, run string, locus_id string, evaluation_stratum string")
+    out = {(r["system"], r["evaluation_stratum"]): r for r in models.addon_reports(scored, truth, baseline, required=3)["addon_ablation_metrics"].collect()}
+    r = out["A", "ALL"]
+    assert (r["TP"], r["FN"], r["baseline_FP"], r["additional_FP"], r["rescued_original_fn"], r["meets_predefined_gate"]) == (4, 1, 1, 1, 3, True)
+    assert out["ORIGINAL", "ALL"]["TP"] == 1 and out["ORIGINAL", "HP"]["truth_total"] == 3 and not out["A", "HP"]["meets_predefined_gate"]
+    assert [x["system"] for x in reports.ordered_systems(spark.createDataFrame([("b",), ("a",), ("c",)], "system string"), ["a", "b"]).collect()] == ["a", "b"]
