@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def parser() -> argparse.ArgumentParser:
 
     six = ("manifest", "aohc-truth", "giab-truth", "giab-bed", "target-bed", "fasta")
     program("build-caller", six, output_dir="output", flow_window=5, max_reads_per_candidate=int, max_candidates=0, no_flow=False)
-    program("build-rescue", six, output_dir="output/rescue", min_mapq=20, min_support=2, min_alt_fraction=0.10, min_hp_length=4, max_indel_length=50, flow_window=5, max_reads_per_candidate=30, no_flow=False)
+    program("build-rescue", six, output_dir="output/rescue", min_mapq=20, min_support=2, min_alt_fraction=0.10, min_hp_length=4, max_indel_length=50, flow_window=5, max_reads_per_candidate=30, no_flow=False, pileups=str)
     program("build-hotspot", six, output_dir="output/hotspot", min_hp_length=4, min_mapq=20, flow_window=5, max_reads_per_candidate=50, no_flow=False)
     program("train-caller", ("dataset",), output_dir="output/models", test_size=0.25, random_state=17, threshold=0.5, matched_recall=float, min_hp_length=2, include_context=False, trees=300)
     program("train-rescue", ("dataset",), output_dir="output/rescue_models", folds=5, threshold=0.5, min_positive_loci=5, positive_source=str, bootstrap_iterations=2000, random_state=17, trees=300)
@@ -88,11 +89,15 @@ def main(argv: list[str] | None = None) -> None:
         _checked(spark, checks, f"{out}/VALIDATION_PASSED.json", given, False)
     elif args.program in ("build-rescue", "build-hotspot"):
         if args.program == "build-rescue":
-            made = builders.rescue_dataset(inputs_of(spark, args), args.min_mapq, args.min_support, args.min_alt_fraction, args.min_hp_length, args.max_indel_length, args.flow_window, args.max_reads_per_candidate, not args.no_flow)
+            inputs = inputs_of(spark, args)
+            # Where given, candidates are read from a pileup caller's files: a path with {sample} and {run}.
+            files = [vcf.read_records(spark, args.pileups.format(sample=r["sample"], run=r["run"]), r["sample"], r["run"]) for r in inputs.manifest.collect()] if args.pileups else []  # a row a run
+            pileups = reduce(DataFrame.unionByName, files) if files else None
+            made = builders.rescue_dataset(inputs, args.min_mapq, args.min_support, args.min_alt_fraction, args.min_hp_length, args.max_indel_length, args.flow_window, args.max_reads_per_candidate, not args.no_flow, pileups)
         else:
             made = builders.hotspot_dataset(inputs_of(spark, args), args.min_hp_length, args.min_mapq, args.flow_window, args.max_reads_per_candidate, not args.no_flow)
-        for name in ("features", "truth", "baseline_fp"):
-            tables.write_frame(made[name], f"{out}/{name}")
+        for name in ("features", "truth", "baseline_fp", "qc"):
+            tables.write_frame(made[name], f"{out}/{name if name != 'qc' else 'qc_summary'}")
         _checked(spark, made["checks"], f"{out}/VALIDATION_PASSED.json", given, True)
     elif args.program == "train-caller":
         results, scored = models.train_ablation(_gated(spark, args.dataset, "VALIDATION_PASSED.json"), args.test_size, args.random_state, args.threshold, args.matched_recall, args.min_hp_length, args.include_context, args.trees)

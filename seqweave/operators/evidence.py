@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqweave.functions import reads as R
 from seqweave.functions.alleles import reverse_complement
 
-from .genome import CHUNK, computed, normalized, windows
+from .genome import CHUNK, computed, normalized, windows, with_context
 from .intervals import BIN, coverage_at, joined
 from .staging import staged
 
@@ -130,8 +130,8 @@ def read_events(reads: DataFrame, genome: DataFrame, most: int | None = 50, unif
     return near.select(*reads.columns, F.col("contig").alias("chrom"), F.col("pos"), ref.alias("ref"), alt.alias("alt"))
 
 
-def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq: int = 20, min_support: int = 2, most: int | None = 50, min_alt_fraction: float | None = None, uniform: bool = False, size: int = CHUNK, by: tuple[str, ...] = ()) -> DataFrame:
-    """Alleles that reads show in the merged targets (contig, start, end), with support by strand, depth at the anchor and
+def shown_alleles(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq: int = 20, most: int | None = 50, with_depth: bool = False, uniform: bool = False, size: int = CHUNK, by: tuple[str, ...] = ()) -> DataFrame:
+    """Alleles that reads show in the merged targets (contig, start, end), with support by strand, depth at the anchor,
     mapping qualities, for each value of `by`.
 
     Raw alleles are counted once a read and interval, then the distinct ones are moved left and their counts merged:
@@ -144,7 +144,7 @@ def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq
     inside = staged(inside)
     back = R.is_reverse(F.col("flag"))
     raw = inside.groupBy(*by, "chrom", "pos", "ref", "alt", "__s", "__e", "mapq").agg(F.count(F.lit(1)).alias("n"), F.count_if(~back).alias("f"), F.count_if(back).alias("r"))
-    if min_alt_fraction is not None:
+    if with_depth:
         # Depth is the coverage within the interval at the anchor base; an anchor outside has none.
         place = lambda contig: F.concat_ws("\x01", *by, contig)  # noqa: E731  contigs of each `by` apart
         within = (F.col("pos") - 1 >= F.col("__s")) & (F.col("pos") - 1 < F.col("__e"))
@@ -161,10 +161,42 @@ def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq
         F.sum("n").alias("bam_alt_support"), F.sum("f").alias("bam_alt_forward_reads"), F.sum("r").alias("bam_alt_reverse_reads"), F.max("depth").alias("bam_discovery_depth"),
         (F.sum(F.col("mapq") * F.col("n")) / F.sum("n")).alias("bam_alt_mapq_mean"), F.percentile(F.col("mapq").cast("double"), F.lit(0.5), F.col("n")).alias("bam_alt_mapq_median"),
     )
-    out = out.withColumn("bam_alt_fraction", F.when(F.col("bam_discovery_depth") > 0, F.col("bam_alt_support") / F.col("bam_discovery_depth"))).where(F.col("bam_alt_support") >= min_support)
+    return out.withColumn("bam_alt_fraction", F.when(F.col("bam_discovery_depth") > 0, F.col("bam_alt_support") / F.col("bam_discovery_depth")))
+
+
+def discovered(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq: int = 20, min_support: int = 2, most: int | None = 50, min_alt_fraction: float | None = None, uniform: bool = False, size: int = CHUNK, by: tuple[str, ...] = ()) -> DataFrame:
+    """The shown alleles with enough support and, if asked for, a large enough share of the depth."""
+    out = shown_alleles(reads, genome, targets, min_mapq, most, min_alt_fraction is not None, uniform, size, by).where(F.col("bam_alt_support") >= min_support)
     return out if min_alt_fraction is None else out.where(F.col("bam_alt_fraction") >= min_alt_fraction)
 
 
+def discovery_counts(reads: DataFrame, genome: DataFrame, targets: DataFrame, min_mapq: int = 20, min_support: int = 2, most: int | None = 50, min_alt_fraction: float | None = None, min_hp_length: int | None = None, size: int = CHUNK, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """What discovery keeps and drops at each step, in long form: by, metric, value. A read counts once for each target
+    that it overlaps."""
+    known = genome.select("contig").distinct()
+    groups = reads.select(*by).distinct()
+    wanted = targets.join(known.withColumn("__known", F.lit(True)), "contig", "left").agg(F.count(F.lit(1)).alias("target_intervals"), F.count_if(F.col("__known").isNull()).alias("unresolved_target_intervals"))
+    able = targets.join(known, "contig", "left_semi")
+    fetched = joined(reads.select(*by, "flag", "mapq", "contig", "ref_start", F.greatest("ref_end", F.col("ref_start") + 1).alias("__to")), able, "inner", False, "ref_start", "__to")
+    good = R.usable(F.col("flag"))
+    fetched = fetched.groupBy(*by).agg(F.count(F.lit(1)).alias("reads_fetched"), F.count_if(good).alias("reads_usable"), F.count_if(good & (F.col("mapq") < min_mapq)).alias("reads_mapq_filtered"))
+    alleles = staged(shown_alleles(reads, genome, able, min_mapq, most, min_alt_fraction is not None, min_hp_length is not None, size, by))
+    supported = F.col("bam_alt_support") >= min_support
+    shared = supported if min_alt_fraction is None else supported & F.coalesce(F.col("bam_alt_fraction") >= min_alt_fraction, F.lit(False))
+    if min_hp_length is None:
+        alleles = alleles.withColumns({"__hp": F.lit(True), "__long": F.lit(True)})
+    else:
+        described = with_context(alleles.select("chrom", "pos", "ref", "alt").distinct(), genome, size=size).select("chrom", "pos", "ref", "alt", F.col("is_homopolymer_indel").alias("__hp"), (F.greatest("hp_ref_len", "hp_alt_len") >= min_hp_length).alias("__long"))
+        alleles = alleles.join(described, ["chrom", "pos", "ref", "alt"], "left").fillna(False, ["__hp", "__long"])
+    kept = alleles.groupBy(*by).agg(
+        F.sum("bam_alt_support").alias("raw_indel_observations"), F.count(F.lit(1)).alias("alleles_before_support_filter"), F.count_if(supported).alias("alleles_after_support_before_hp_filter"), F.count_if(supported & ~shared).alias("alleles_fraction_filtered"),
+        F.count_if(shared & ~F.col("__hp")).alias("alleles_non_hp_filtered"), F.count_if(shared & F.col("__hp") & ~F.col("__long")).alias("alleles_short_hp_filtered"), F.count_if(shared & F.col("__hp") & F.col("__long")).alias("alleles_after_support_filter"),
+    )
+    wide = groups.crossJoin(wanted).join(fetched, [*by], "left").join(kept, [*by], "left")  # of one row of targets
+    names = [c for c in wide.columns if c not in by]
+    return wide.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias("value")) for c in names))))
+
+
 def forced_counts(keys: DataFrame, reads: DataFrame, genome: DataFrame, min_mapq: int = 20, size: int = CHUNK, by: tuple[str, ...] = ("run",)) -> DataFrame:
     """Coverage by spanning reads and support by reads that show the normalised allele, for each key (`by`, chrom, pos,
     ref, alt). The fraction may pass 1, as support does not ask for spanning."""

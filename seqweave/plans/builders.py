@@ -97,13 +97,20 @@ def hotspot_dataset(inputs: Inputs, min_hp_length: int = 4, min_mapq: int = 20,
     kept = kept.select(*(F.coalesce(c, F.lit(True)).alias(c) for c in kept.columns))
     one = lambda a, b: a.join(b, F.lit(True))  # noqa: E731  of one row each
     checks = one(one(one(M.checks(features, IDENTITY), loci), runs), kept).withColumn("truth_observations_complete", (F.col("l") > 0) & (F.col("n") == F.col("l") * F.col("r"))).drop("l", "n", "r")
-    return {"features": features, "truth": truth, "baseline_fp": baseline.select(*IDENTITY, "truth_profile", *KEY, "label", "evaluation_stratum"), "checks": checks}
-
-
-def rescue_dataset(inputs: Inputs, min_mapq: int = 20, min_support: int = 2, min_alt_fraction: float | None = 0.10, min_hp_length: int = 4, most_length: int = 50, window: int = 5, most_reads: int = 30, flow: bool = True) -> dict[str, DataFrame]:
-    """features: labelled blind candidates; truth: homopolymer truth loci of each run with forced counts; baseline_fp.
-    Discovery never looks at the truth."""
-    rows = EV.discovered(inputs.reads, inputs.genome, inputs.targets, min_mapq, min_support, most_length, min_alt_fraction, True, inputs.size, BY)
+    return {"features": features, "truth": truth, "baseline_fp": baseline.select(*IDENTITY, "truth_profile", *KEY, "label", "evaluation_stratum"), "checks": checks, "qc": M.quality_counts(features, list(BY), {"targeted_hp_positive": F.col("label") == 1, "targeted_hp_reference": F.col("label") == 0, "targeted_hp_unknown": F.col("label").isNull()})}
+
+
+def rescue_dataset(inputs: Inputs, min_mapq: int = 20, min_support: int = 2, min_alt_fraction: float | None = 0.10, min_hp_length: int = 4, most_length: int = 50, window: int = 5, most_reads: int = 30, flow: bool = True, pileups: DataFrame | None = None) -> dict[str, DataFrame]:
+    """features: labelled blind candidates; truth: homopolymer truth loci of each run with forced counts; baseline_fp;
+    qc. Candidates come from the reads, or from the records of a pileup caller (pileups: of `read_records`, with sample and
+    run), which has no mapping qualities. Discovery never looks at the truth."""
+    if pileups is None:
+        rows = EV.discovered(inputs.reads, inputs.genome, inputs.targets, min_mapq, min_support, most_length, min_alt_fraction, True, inputs.size, BY)
+        counts = EV.discovery_counts(inputs.reads, inputs.genome, inputs.targets, min_mapq, min_support, most_length, min_alt_fraction, min_hp_length, inputs.size, BY)
+    else:
+        rows = V.pileup_candidates(pileups, inputs.genome, inputs.targets, min_support, min_hp_length, inputs.size)
+        rows = rows.select(*BY, *KEY, *(c for c in rows.columns if c.startswith("bam_"))).withColumns({c: F.lit(None).cast("double") for c in ("bam_alt_mapq_mean", "bam_alt_mapq_median")})
+        counts = rows.groupBy(*BY).agg(F.lit("retained_candidates").alias("metric"), F.count(F.lit(1)).alias("value"))
     is_target = A.targeted_homopolymer(F.col("reference_match"), F.col("is_homopolymer_indel"), F.col("hp_ref_len"), F.col("hp_alt_len"), min_hp_length)
     rows = rows.withColumns({"locus_id": A.locus_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")), "candidate_source": F.lit("BLIND_BAM")})
     rows = G.with_context(_labelled(_profiles(rows, inputs), inputs), inputs.genome, size=inputs.size).where(is_target & F.col("label").isNotNull())
@@ -126,8 +133,11 @@ def rescue_dataset(inputs: Inputs, min_mapq: int = 20, min_support: int = 2, min
     truth = truth.join(forced.withColumnsRenamed({c: f"forced_{c}" for c in forced.columns if c not in (*BY, *KEY)}), [*BY, *KEY], "left").withColumn("diagnostic_only", F.lit(True))
     callers = G.with_context(_labelled(_profiles(original.where("called"), inputs), inputs), inputs.genome, size=inputs.size).where(is_target & (F.col("label") == 0))
     features, truth = staged(features), staged(truth)
+    labels = {"labeled_blind_candidates": F.lit(True), "positive_blind_candidates": F.col("label") == 1, "negative_blind_candidates": F.col("label") == 0}
+    qc = counts.select(*BY, F.concat(F.lit("discovery_"), "metric").alias("metric"), F.col("value").cast("string").alias("value")).unionByName(M.quality_counts(features, list(BY), labels).where("metric <> 'rows'"))
+    qc = qc.unionByName(M.quality_counts(truth, list(BY), {"truth_hp_loci": F.lit(True), "truth_originally_called": F.col("original_called")}).where("metric <> 'rows'"))
     told = truth.agg(F.coalesce(F.bool_and("diagnostic_only"), F.lit(True)).alias("truth_is_diagnostic_only"), F.count_distinct(*IDENTITY).alias("seen"), F.count(F.lit(1)).alias("n"))
     due = runs.join(by_profile.groupBy("truth_profile").agg(F.count(F.lit(1)).alias("c")), "truth_profile").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("due"))
     checks = M.checks(features, IDENTITY).join(told, F.lit(True)).join(due, F.lit(True))  # of one row each
     checks = checks.withColumn("truth_loci_complete", (F.col("n") == F.col("due")) & (F.col("seen") == F.col("n"))).drop("n", "seen", "due")
-    return {"features": features, "truth": truth, "baseline_fp": callers.select(*IDENTITY, "truth_profile", *KEY, "label").withColumn("evaluation_stratum", F.lit("HP")), "checks": checks}
+    return {"features": features, "truth": truth, "baseline_fp": callers.select(*IDENTITY, "truth_profile", *KEY, "label").withColumn("evaluation_stratum", F.lit("HP")), "checks": checks, "qc": qc}

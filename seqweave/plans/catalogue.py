@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metric_queries, model_queries, sequence_queries
+from . import metric_queries, model_queries, report_queries, sequence_queries, table_queries
 
-_MODULES = (metric_queries, sequence_queries, model_queries)
+_MODULES = (metric_queries, sequence_queries, model_queries, report_queries, table_queries)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -139,6 +139,17 @@ def test_samples_may_share_a_run_name(spark, files, tmp_path):
         assert shared.count() == apart.count() > 0 and shared.select(*apart.columns).exceptAll(apart).isEmpty()
 
 
+def test_rescue_from_pileups(spark, files):
+    for sample, r in (("S1", "R1"), ("S2", "R2")):
+        (files / f"{sample}.{r}.vcf").write_text(HEADER + "chr1\t7\t.\tA\tAC,<*>\t.\t.\t.\tGT:AD:ADF:ADR:DP\t0/1:98,2,0:49,1,0:49,1,0:100\nchr1\t8\t.\tC\tCC\t.\t.\t.\tGT:AD:ADF:ADR:DP\t0/1:99,1:50,1:49,0:100\n")
+    run(files, "build-rescue", "--pileups", f"{files}/{{sample}}.{{run}}.vcf", "--output-dir", f"{files}/piled")
+    rows = {r["run"]: r for r in spark.read.parquet(f"{files}/piled/features.parquet").collect()}
+    r = rows["R1"]
+    assert len(rows) == 2 and (r["pos"], r["bam_alt_support"], r["bam_alt_forward_reads"], r["bam_alt_reverse_reads"], r["bam_alt_fraction"], r["hp_ref_len"], r["hp_alt_len"], r["bam_alt_mapq_mean"]) == (7, 2, 1, 1, 0.02, 4, 5, None)
+    qc = {(r["run"], r["metric"]): r["value"] for r in spark.read.parquet(f"{files}/piled/qc_summary.parquet").collect()}
+    assert qc["R1", "discovery_retained_candidates"] == "1" and qc["R1", "positive_blind_candidates"] == "1"
+
+
 def test_trainers(spark):
     rows = [(f"s{k % 2}", f"r{k % 4}", f"l{k % 40}", int(k % 40 < 14), k % 5 == 0, float(k % 40 < 14) + (k * 37 % 11) / 9, None if k % 9 else 1.0, "x" if k % 3 else None, True, True, 5, 4) for k in range(160)]
     df = spark.createDataFrame(rows, "sample string, run string, locus_id string, label int, original_called boolean, vcf_AF double, flow_x double, vcf_TYPE string, reference_match boolean, is_homopolymer_indel boolean, hp_ref_len int, hp_alt_len int").cache()
