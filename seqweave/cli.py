@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from seqweave.operators.intervals import merged
 from seqweave.operators.metrics import inconsistent_loci
-from seqweave.operators.staging import staged
+from seqweave.operators.staging import clear, staged
 from seqweave.plans import builders, models
 from seqweave.sources import alignments, tables, vcf
 
 
 def inputs_of(spark: SparkSession, args: argparse.Namespace) -> builders.Inputs:
-    manifest = tables.load_manifest(spark, args.manifest)
+    manifest = tables.load_manifest(spark, args.manifest, must_exist=True)
     rows = manifest.collect()  # a row a run
     if not rows:
         raise ValueError("the manifest is empty")
@@ -81,6 +81,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("seqweave").getOrCreate()
+    try:
+        _run(spark, args)
+    finally:
+        clear(spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     given, out = vars(args), args.output_dir
     if args.program == "build-caller":
         rows, counts, checks = builders.caller_dataset(inputs_of(spark, args), args.flow_window, args.max_reads_per_candidate, args.max_candidates, not args.no_flow)

@@ -53,8 +53,8 @@ def with_context(alleles: DataFrame, genome: DataFrame, contig: str = "chrom", s
 def normalized(alleles: DataFrame, genome: DataFrame, contig: str = "chrom", size: int = CHUNK, reach: int = 256) -> DataFrame:
     """alleles with pos, ref and alt trimmed and, for indels, moved left as far as they go.
 
-    Windows of `reach` bases are fetched for all; the few rows that use a whole window up are done again with one 16
-    times as long, until none does.
+    Windows of `reach` bases are fetched for all; the few rows that use a whole window up go on from there with one 16
+    times as long, a million bases at most, until none does. An allele on a contig that the reference lacks stays as it is.
     """
     upper = alleles.withColumns({"ref": F.upper("ref"), "alt": F.upper("alt")})
     cut = computed(upper, __s=without_suffix(F.col("ref"), F.col("alt")))
@@ -73,9 +73,8 @@ def _moved(plain: DataFrame, genome: DataFrame, contig: str, size: int, reach: i
     made = computed(left, __n=moved_left(F.col("__seq"), F.col("pos"), F.col("ref"), F.col("alt"), F.col("__r.unit"), F.col("__k")), __more=more)
     as_is = F.col("__k") == 0
     done = made.withColumns({c: F.when(as_is, F.col(c)).otherwise(F.col(f"__n.{c}")) for c in ("pos", "ref", "alt")})
-    if reach >= 1 << 20:
-        return done.select(*names)
+    done = staged(done)
     again = done.where("__more").select(*names)
     if again.isEmpty():
         return done.select(*names)
-    return done.where(~F.col("__more")).select(*names).unionByName(_moved(again, genome, contig, size, reach * 16))
+    return done.where(~F.col("__more")).select(*names).unionByName(_moved(again, genome, contig, size, min(reach * 16, 1 << 20)))

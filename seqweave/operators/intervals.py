@@ -16,8 +16,8 @@ BIN = 1 << 14
 def merged(intervals: DataFrame, by: tuple[str, ...] = ("contig",), width: int = BIN) -> DataFrame:
     """Overlapping and touching intervals as one; empty ones go.
 
-    Merged first among those that start in one bin, then over the contig: what overlaps much is small before the few
-    contigs' own tasks see it.
+    Merged first among those that start in one bin, then over the contig. What a contig's task sees is disjoint within
+    each bin, so its length, and not the number of intervals, bounds it.
     """
     some = intervals.where(F.col("end") > F.col("start")).select(*by, "start", "end")
     local = _islands(some.withColumn("__bin", F.floor(F.col("start") / width)), (*by, "__bin"))

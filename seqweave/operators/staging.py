@@ -8,21 +8,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
+
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of our own only where it is unset."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder of our own in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     known = sc._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='seqweave-')}")
         known = sc._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str = "stage") -> str:
+    """The path of a new folder below the shared one."""
+    _MADE.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
 def staged(df: DataFrame) -> DataFrame:
-    path = f"{shared_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the stage outputs that this process has made. For when results are written: frames that were made from
+    them can't be read after it."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -349,11 +349,11 @@ def discover_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", "chrom", "pos", "ref", "alt", F.col("bam_alt_support").alias("support"), F.col("bam_alt_forward_reads").alias("forward"), F.col("bam_alt_reverse_reads").alias("backward"), F.round("bam_alt_mapq_mean", 6).alias("mapq_mean"), F.col("bam_alt_mapq_median").alias("mapq_median"))
 
 
-@query(f"""WITH RECURSIVE {_EV}, sup AS (SELECT run, count(*) AS support FROM al GROUP BY run, chrom, pos, ref, alt), a AS (SELECT run, sum(support) AS raw, count(*) AS before, count(*) FILTER (support >= 2) AS kept FROM sup GROUP BY run),
-f AS (SELECT run, count(*) AS fetched, count(*) FILTER ({_OK}) AS usable, count(*) FILTER ({_OK} AND mapq < 20) AS poor FROM rd JOIN contigs USING (contig) WHERE ref_start < length(g) GROUP BY run),
-w AS (SELECT run, CAST(6 AS BIGINT) AS target_intervals, CAST(1 AS BIGINT) AS unresolved_target_intervals, fetched AS reads_fetched, usable AS reads_usable, poor AS reads_mapq_filtered, CAST(coalesce(raw, 0) AS BIGINT) AS raw_indel_observations, coalesce(before, 0) AS alleles_before_support_filter,
-  coalesce(kept, 0) AS alleles_after_support_before_hp_filter, CAST(0 AS BIGINT) AS alleles_fraction_filtered, CAST(0 AS BIGINT) AS alleles_non_hp_filtered, CAST(0 AS BIGINT) AS alleles_short_hp_filtered, coalesce(kept, 0) AS alleles_after_support_filter FROM f LEFT JOIN a USING (run))
-SELECT run, metric, value FROM w UNPIVOT (value FOR metric IN (COLUMNS(* EXCLUDE (run))))""")
+@query(f"""WITH RECURSIVE {_EV}, sup AS (SELECT run, count(*) AS support FROM al GROUP BY run, chrom, pos, ref, alt), acc AS (SELECT run, sum(support) AS raw, count(*) AS before, count(*) FILTER (support >= 2) AS kept FROM sup GROUP BY run),
+fet AS (SELECT run, count(*) AS fetched, count(*) FILTER ({_OK}) AS usable, count(*) FILTER ({_OK} AND mapq < 20) AS poor FROM rd JOIN contigs USING (contig) WHERE ref_start < length(g) GROUP BY run),
+wide AS (SELECT run, CAST(6 AS BIGINT) AS target_intervals, CAST(1 AS BIGINT) AS unresolved_target_intervals, fetched AS reads_fetched, usable AS reads_usable, poor AS reads_mapq_filtered, CAST(coalesce(raw, 0) AS BIGINT) AS raw_indel_observations, coalesce(before, 0) AS alleles_before_support_filter,
+  coalesce(kept, 0) AS alleles_after_support_before_hp_filter, CAST(0 AS BIGINT) AS alleles_fraction_filtered, CAST(0 AS BIGINT) AS alleles_non_hp_filtered, CAST(0 AS BIGINT) AS alleles_short_hp_filtered, coalesce(kept, 0) AS alleles_after_support_filter FROM fet LEFT JOIN acc USING (run))
+SELECT run, metric, value FROM wide UNPIVOT (value FOR metric IN (COLUMNS(* EXCLUDE (run))))""")
 def discovery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six targets, one of them on a contig that the reference lacks."""
     chunks = genome(spark, sf_dir)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.functions import alleles as A
 from seqweave.operators import calls as C
 from seqweave.operators import intervals as I
-from seqweave.operators.staging import shared_root
+from seqweave.operators.staging import new_folder
 from seqweave.sources import alignments, tables, vcf
 
 from .sequence_queries import _MERGED, _ITV, _intervals, table
@@ -30,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    return new_folder(spark, "files")
 
 
 @query("SELECT p_partkey AS k, CASE p_size % 3 WHEN 1 THEN p_brand WHEN 2 THEN p_brand || ',' || p_type END AS plain, CASE p_size % 3 WHEN 1 THEN p_brand WHEN 2 THEN CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE p_brand || ',' || p_type END END AS own FROM part")

@@ -62,6 +62,8 @@ def sanitized_lines(spark: SparkSession, path: str, names: dict[str, str]) -> Da
     header = F.concat(F.lit("##contig=<ID="), renamed(header_id), F.substring(value, F.length(header_id) + 14, F.length(value)))
     f = F.split(value, "\t")
     record = F.concat_ws("\t", renamed(F.get(f, F.lit(0))), F.array_join(F.slice(f, 2, 6), "\t"), A.sanitized_info(F.get(f, F.lit(7))), F.when(F.size(f) > 8, F.array_join(F.slice(f, F.lit(9), F.size(f)), "\t")))
+    short = F.raise_error(F.concat(F.lit("a record of fewer than eight columns: "), F.substring(value, 1, 80)))
+    record = F.when(F.size(f) < 8, short.cast("string")).otherwise(record)
     has_gt = not lines.where(value.startswith("##FORMAT=<ID=GT,")).isEmpty()
     gt = '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'
     out = F.when(value.startswith("##contig=<ID="), F.array(header)).when(value.startswith("#CHROM") & F.lit(not has_gt), F.array(F.lit(gt), value)).when(value.startswith("#"), F.array(value)).otherwise(F.array(record))
