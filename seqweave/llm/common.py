@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqweave.operators.staging import new_folder
+
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 CHUNK_BYTES = 2 << 20
 
@@ -28,18 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which executors and driver share. Where it is unset, a temporary one in
-    local mode, and an error on a cluster."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        set_dir = sc._jsc.sc().getCheckpointDir()
-        if not set_dir.isDefined() and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = set_dir.get() if set_dir.isDefined() else f"file://{tempfile.mkdtemp(prefix='seqweave-')}"
-        if not set_dir.isDefined():
-            sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/seqweave-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which executors and driver share; `staging.clear` deletes it."""
+    return new_folder(spark, "seqweave")
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
