@@ -383,6 +383,76 @@ def test_license_notices_may_be_wrapped():
     assert licenses.scan(pa.array(texts), ordered)[5].to_pylist() == ["mit-notice", ""]
 
 
+def test_window_features():
+    """Every window compressed by itself, counted text by text."""
+    import zstandard
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9)))
+    common, bad = [word() for _ in range(60)], ["wretched", "vile", "rotten", "foul"]
+    text = lambda share: ", ".join(rng.choice(bad) if rng.random() < share else rng.choice(common) for _ in range(rng.randint(1, 60)))
+    rows = [(text(0.3), 1) for _ in range(150)] + [(text(0), 0) for _ in range(300)]
+    model = toxicity.Model.learned(rows, {1: 300, 0: 3000})
+    assert b"wretched" in model.toxic and b"wretched" not in model.ordinary and b"\x37\xa4\x30\xec" not in model.ordinary + model.toxic
+    ordinary, both = (toxicity._compressor(x) for x in (model.ordinary, model.ordinary + model.toxic))
+    texts = [t for t, _ in rows[::9]] + ["", None, "?!"]
+    got = model.features(pa.array(texts, pa.string()))
+    for t, row in zip(texts, got, strict=True):
+        words = "".join(c.lower() if c.isalnum() else " " for c in t or "").encode().split()
+        data = b"  " + b"".join(w + b"  " for w in words) if words else b""
+        starts = range(0, max(len(data) - (toxicity.WINDOW - toxicity.STRIDE), 1), toxicity.STRIDE) if words else []
+        saved = [len(ordinary.compress(data[k : k + toxicity.WINDOW])) - len(both.compress(data[k : k + toxicity.WINDOW])) for k in starts]
+        n = max(len(saved), 1)
+        counts = [sum(x >= q for x in saved) for q in toxicity.SAVED]
+        want = [*np.log1p(counts), *np.sqrt(np.array(counts) / n), sum(saved) / n, max([*saved, 0]) / 10, np.log1p(sum(max(x, 0) for x in saved))]
+        assert np.allclose(row, want), t
+    scores = model.scores(pa.array([t for t, _ in rows]))
+    assert sum((x >= 0.5) == y for x, (_, y) in zip(scores, rows, strict=True)) > 0.9 * len(rows)
+    assert zstandard.ZstdError and toxicity.Model.learned(rows[148:153], {1: 1, 0: 3}).scores(pa.array(["any"])).tolist() == [0.25]
+
+
+def test_regression_is_plain_ftrl():
+    rng = random.Random(15)
+    text = lambda y: " ".join(rng.choice(["Good", "fine", "text"] if y else ["BUY!!", "now", "now"]) + rng.choice(["", "x", "."]) for _ in range(rng.randint(0, 12)))
+    rows = [(text(k % 3 > 0), int(k % 3 > 0)) for k in range(60)]
+    how = quality_classifier.Ftrl(epochs=2)
+    model = quality_classifier.Model.learned(rows, {0: 200, 1: 100}, how)
+    size, mask = 1 << quality_classifier.BITS, (1 << 64) - 1
+
+    def features(t):
+        out, before, shape_before, last = Counter(), 0, 0, None
+        words = t.encode().split()
+        for k, w in enumerate(words):
+            h, s = xxhash.xxh64_intdigest(w), quality_classifier._shape(w) * 2 + (k > 0 and w == last)
+            pair = lambda a, b, c: (a * b + c) & mask if k else c & mask
+            for x in (h, pair(before, 3, h + 1), s + (1 << 40), pair(shape_before, 64, s + (1 << 50))):
+                out[(((x ^ (x >> 29)) * 0x9E3779B97F4A7C15) & mask) >> (64 - quality_classifier.BITS)] += 1
+            before, shape_before, last = h, s, w
+        return {**{i: how.scale * c / (4 * len(words)) for i, c in out.items()}, size: 1.0}
+
+    z, n = Counter(), Counter()
+    sampled = Counter(y for _, y in rows)
+    weight = {0: 200 / sampled[0], 1: 100 / sampled[1]}
+    mean = 300 / len(rows)
+
+    def at(i):
+        return 0.0 if abs(z[i]) <= how.l1 else (np.sign(z[i]) * how.l1 - z[i]) / ((how.beta + n[i] ** 0.5) / how.alpha + how.l2)
+
+    order = np.random.default_rng(17)
+    for _ in range(how.epochs):
+        for d in order.permutation(len(rows)).tolist():
+            x = features(rows[d][0])
+            w = {i: at(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - rows[d][1]) * v * weight[rows[d][1]] / mean
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / how.alpha * w[i]
+                n[i] += g * g
+    texts = [t for t, _ in rows] + ["", "new words Now"]
+    want = [1 / (1 + np.exp(-sum(at(i) * v for i, v in features(t).items()))) for t in texts]
+    assert np.allclose(model.scores(pa.array(texts)), want)
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     path = "/root/testdata/sf0.01"
@@ -404,6 +474,72 @@ def test_samples_leave_held_out_rows(spark):
     assert {t for t, y in rows if y == 0} == {f"text {k}" for k in free if k % 2 == 0} and sum(y for _, y in rows) == 3 and sum(counts.values()) == len(free)
 
 
+def test_pipeline_is_its_stages_by_hand(spark, tmp_path):
+    """Each stage again in plain Python, over texts with copies, drifting copies, common lines and leaks."""
+    rng = random.Random(16)
+    words = [f"w{k}" for k in range(300)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [prose(40) for _ in range(4)]
+    base = [prose(120) for _ in range(12)]
+    docs = {}
+    for k in range(150):
+        w = list(rng.choice(base)) if k % 3 == 0 else prose(rng.randint(10, 90))
+        for _ in range(rng.choice([0, 0, 1, 2, 5]) if k % 3 == 0 else 0):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        if k % 7 == 0:
+            piece = rng.choice(items)[5 : 5 + rng.choice([12, 13, 20])]
+            for at in rng.sample(range(len(piece)), rng.choice([0, 2, 4])):
+                piece[at] = "other"
+            w[8:8] = piece
+        if k % 11 == 0:
+            w = w + w[:40]
+        docs[k] = " ".join(w) + rng.choice(["", "\nshared line", "\n  Shared LINE \nown " + str(k)])
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want, frames, left = docs, {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, left, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        left = spark.read.parquet(f"{tmp_path}/{name}")
+        frames[name] = {r["doc_id"]: r["text"] for r in left.collect()}
+
+    def good(t):
+        w = t.split()
+        covered, longest = plain_repeats(w, 8)
+        return len(w) >= 20 and 100 * covered <= 30 * len(w) and longest <= 60 and 100 * longest <= 25 * len(w)
+
+    want = {k: t for k, t in want.items() if good(t)}
+    assert frames["quality_rules"] == want and len(want) < len(docs)
+    key = lambda x: x.strip().lower()
+    held = Counter(x for t in want.values() for x in {key(y) for y in t.split("\n")} if x)
+    want = {k: "\n".join(x for x in t.split("\n") if held[key(x)] < 10) for k, t in want.items()}
+    assert frames["line_dedup"] == want and held["shared line"] >= 10
+    prints = dict(zip(want, simhash.fingerprints_of(pa.array(list(want.values())), corpus_pipeline.SHINGLE).tolist(), strict=True))
+    ids = list(want)
+    near = [(i, j) for i in range(len(ids)) for j in range(i) if (prints[ids[i]] ^ prints[ids[j]]).bit_count() <= corpus_pipeline.RADIUS]
+    roots = simhash._roots(len(ids), np.array([p[0] for p in near], np.int64), np.array([p[1] for p in near], np.int64))
+    shingles = {k: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for k, t in want.items()}
+    stay: dict = {}
+    for k, root in sorted(zip(ids, roots.tolist(), strict=True)):
+        if all(r != root or len(shingles[k] & shingles[o]) < 0.8 * len(shingles[k] | shingles[o]) for o, r in stay.items()):
+            stay[k] = root
+    want = {k: t for k, t in want.items() if k in stay}
+    assert frames["simhash_near_dedup"] == want and len(stay) < len(ids)
+    leaks = lambda w: any(sum(a == b for a, b in zip(w[i : i + 13], v[j : j + 13], strict=True)) >= 11 for v in items for i in range(len(w) - 12) for j in range(len(v) - 12))
+    kept = {k: t for k, t in want.items() if not leaks(t.split())}
+    assert frames["decontamination"] == kept and len(kept) < len(want)
+    from tokenizers import Tokenizer
+
+    tokenizer, sequences = Tokenizer.from_file(packing.tokenizer_path()), {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        ids = [*tokenizer.encode(kept[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (r["piece"], r["start"], r["length"], r["ids_crc32"]) == (0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["doc_id"]))
+    assert sorted(x[2] for v in sequences.values() for x in v) == sorted(kept)
+    for v in sequences.values():
+        v.sort()
+        assert v[0][0] == 0 and v[-1][0] + v[-1][1] <= 2048 and all(a[0] + a[1] == b[0] for a, b in pairwise(v))
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(7)
     words = [f"word{k}" for k in range(500)]
