@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweave.operators.intervals import merged
+from seqweave.operators.intervals import candidate_regions, merged
 from seqweave.operators.metrics import inconsistent_loci
 from seqweave.operators.staging import clear, staged
 from seqweave.plans import builders, models
@@ -29,9 +29,14 @@ def inputs_of(spark: SparkSession, args: argparse.Namespace) -> builders.Inputs:
     orders = union([own(alignments.flow_orders(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else no_orders, r) for r in rows])
     truth = lambda p, gt: vcf.truth_keys(vcf.read_records(spark, p), genome, gt)
     genome = staged(genome)
+    records = staged(union([vcf.read_records(spark, r["vcf"], r["sample"], r["run"]) for r in rows]))
+    giab = vcf.read_records(spark, args.giab_truth)
+    if getattr(args, "truth_flank", None) is not None:
+        # Labels need the truth around candidates only.
+        giab = vcf.in_regions(staged(giab), staged(candidate_regions(vcf.truth_keys(records, genome), args.truth_flank)))
     return builders.Inputs(
-        manifest, staged(union([vcf.read_records(spark, r["vcf"], r["sample"], r["run"]) for r in rows])), staged(reads.withColumn("contig", tables.canonical_chrom(F.col("contig")))), orders,
-        staged(truth(args.aohc_truth, False)), staged(truth(args.giab_truth, True)), merged(tables.load_intervals(spark, args.giab_bed)), merged(tables.load_intervals(spark, args.target_bed)), genome,
+        manifest, records, staged(reads.withColumn("contig", tables.canonical_chrom(F.col("contig")))), orders,
+        staged(truth(args.aohc_truth, False)), staged(vcf.truth_keys(giab, genome, True)), merged(tables.load_intervals(spark, args.giab_bed)), merged(tables.load_intervals(spark, args.target_bed)), genome,
     )
 
 
@@ -69,7 +74,7 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, type=type(v), default=v)
 
     six = ("manifest", "aohc-truth", "giab-truth", "giab-bed", "target-bed", "fasta")
-    program("build-caller", six, output_dir="output", flow_window=5, max_reads_per_candidate=int, max_candidates=0, no_flow=False)
+    program("build-caller", six, output_dir="output", flow_window=5, truth_flank=200, max_reads_per_candidate=int, max_candidates=0, no_flow=False)
     program("build-rescue", six, output_dir="output/rescue", min_mapq=20, min_support=2, min_alt_fraction=0.10, min_hp_length=4, max_indel_length=50, flow_window=5, max_reads_per_candidate=30, no_flow=False, pileups=str)
     program("build-hotspot", six, output_dir="output/hotspot", min_hp_length=4, min_mapq=20, flow_window=5, max_reads_per_candidate=50, no_flow=False)
     program("train-caller", ("dataset",), output_dir="output/models", test_size=0.25, random_state=17, threshold=0.5, matched_recall=float, min_hp_length=2, include_context=False, trees=300)
@@ -107,7 +112,9 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> None:
             tables.write_frame(made[name], f"{out}/{name if name != 'qc' else 'qc_summary'}")
         _checked(spark, made["checks"], f"{out}/VALIDATION_PASSED.json", given, True)
     elif args.program == "train-caller":
-        results, scored = models.train_ablation(_gated(spark, args.dataset, "VALIDATION_PASSED.json"), args.test_size, args.random_state, args.threshold, args.matched_recall, args.min_hp_length, args.include_context, args.trees)
+        results, scored = models.train_ablation(_gated(spark, args.dataset, "VALIDATION_PASSED.json"), args.test_size, args.random_state, args.threshold, args.matched_recall, args.min_hp_length, args.include_context, args.trees, out)
+        tables.write_frame(models.split_of(spark.read.parquet(f"{args.dataset}/features.parquet"), args.test_size, args.random_state, args.min_hp_length), f"{out}/split_assignments")
+        tables.write_marker(spark, f"{out}/feature_sets.json", models.feature_sets(scored.columns, "caller", args.include_context))
         tables.write_frame(results, f"{out}/ablation_results")
         tables.write_frame(scored, f"{out}/predictions")
         tables.write_marker(spark, f"{out}/EXPERIMENT_COMPLETE.json", {"complete": True, "parameters": given})

@@ -97,6 +97,8 @@ def hotspot_dataset(inputs: Inputs, min_hp_length: int = 4, min_mapq: int = 20,
     kept = kept.select(*(F.coalesce(c, F.lit(True)).alias(c) for c in kept.columns))
     one = lambda a, b: a.join(b, F.lit(True))  # noqa: E731  of one row each
     checks = one(one(one(M.checks(features, IDENTITY), loci), runs), kept).withColumn("truth_observations_complete", (F.col("l") > 0) & (F.col("n") == F.col("l") * F.col("r"))).drop("l", "n", "r")
+    order = ["sample", "run", *KEY]
+    features, truth, baseline = features.orderBy(*order), truth.orderBy(*order), baseline.orderBy(*order)
     return {"features": features, "truth": truth, "baseline_fp": baseline.select(*IDENTITY, "truth_profile", *KEY, "label", "evaluation_stratum"), "checks": checks, "qc": M.quality_counts(features, list(BY), {"targeted_hp_positive": F.col("label") == 1, "targeted_hp_reference": F.col("label") == 0, "targeted_hp_unknown": F.col("label").isNull()})}
 
 
@@ -140,4 +142,6 @@ def rescue_dataset(inputs: Inputs, min_mapq: int = 20, min_support: int = 2, min
     due = runs.join(by_profile.groupBy("truth_profile").agg(F.count(F.lit(1)).alias("c")), "truth_profile").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("due"))
     checks = M.checks(features, IDENTITY).join(told, F.lit(True)).join(due, F.lit(True))  # of one row each
     checks = checks.withColumn("truth_loci_complete", (F.col("n") == F.col("due")) & (F.col("seen") == F.col("n"))).drop("n", "seen", "due")
+    order = ["sample", "run", *KEY]
+    features, truth, callers = features.orderBy(*order), truth.orderBy(*order), callers.orderBy(*order)
     return {"features": features, "truth": truth, "baseline_fp": callers.select(*IDENTITY, "truth_profile", *KEY, "label").withColumn("evaluation_stratum", F.lit("HP")), "checks": checks, "qc": qc}

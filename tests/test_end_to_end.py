@@ -139,6 +139,12 @@ def test_samples_may_share_a_run_name(spark, files, tmp_path):
         assert shared.count() == apart.count() > 0 and shared.select(*apart.columns).exceptAll(apart).isEmpty()
 
 
+def test_truth_in_regions(spark, files):
+    regions = spark.createDataFrame([("1", 35, 45)], "contig string, start long, end long")
+    records = vcf.read_records(spark, f"{files}/giab.vcf")
+    assert [r["pos"] for r in vcf.in_regions(records, regions).collect()] == [40]
+
+
 def test_rescue_from_pileups(spark, files):
     for sample, r in (("S1", "R1"), ("S2", "R2")):
         (files / f"{sample}.{r}.vcf").write_text(HEADER + "chr1\t7\t.\tA\tAC,<*>\t.\t.\t.\tGT:AD:ADF:ADR:DP\t0/1:98,2,0:49,1,0:49,1,0:100\nchr1\t8\t.\tC\tCC\t.\t.\t.\tGT:AD:ADF:ADR:DP\t0/1:99,1:50,1:49,0:100\n")
