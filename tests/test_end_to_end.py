@@ -131,7 +131,7 @@ def test_samples_may_share_a_run_name(spark, files, tmp_path):
     manifest = tmp_path / "m.tsv"
     rows = (files / "m.tsv").read_text().replace("x.bam", f"{files}/x.bam").replace("calls.vcf", f"{files}/calls.vcf")
     manifest.write_text(rows.replace("\tR2\t", "\tR1\t"))
-    for program in ("build-caller", "build-hotspot", "build-rescue"):
+    for program in ("build-hotspot", "build-rescue"):
         if not (files / program / "features.parquet").exists():
             run(files, program)
         run(files, program, "--manifest", str(manifest), "--output-dir", f"{tmp_path}/{program}")
@@ -193,3 +193,17 @@ def test_addon_reports(spark):
     assert (r["TP"], r["FN"], r["baseline_FP"], r["additional_FP"], r["rescued_original_fn"], r["meets_predefined_gate"]) == (4, 1, 1, 1, 3, True)
     assert out["ORIGINAL", "ALL"]["TP"] == 1 and out["ORIGINAL", "HP"]["truth_total"] == 3 and not out["A", "HP"]["meets_predefined_gate"]
     assert [x["system"] for x in reports.ordered_systems(spark.createDataFrame([("b",), ("a",), ("c",)], "system string"), ["a", "b"]).collect()] == ["a", "b"]
+
+
+def test_train_commands(spark, tmp_path):
+    rows = [("s", f"r{k % 2}", f"l{k}", int(k < 12), "AOHC_SYNTHETIC", "AOHC", "HP", k == 0, float(k < 12) + (k * 37 % 11) / 9, "x") for k in range(30)]
+    names = "sample string, run string, locus_id string, label int, truth_source string, truth_profile string, evaluation_stratum string, original_called boolean, bam_alt_support double, vcf_TYPE string"
+    df = spark.createDataFrame(rows, names).withColumns({"flow_x": F.col("bam_alt_support") + 1, "paired_delta__x": F.col("bam_alt_support") * 2})
+    data = f"{tmp_path}/data"
+    df.write.parquet(f"{data}/features.parquet")
+    df.where("label = 1").select("sample", "run", "locus_id", "truth_source", "truth_profile", "evaluation_stratum", "original_called").write.parquet(f"{data}/truth.parquet")
+    df.where("locus_id = 'l20'").select("sample", "run", "locus_id", "truth_profile", "evaluation_stratum").write.parquet(f"{data}/baseline_fp.parquet")
+    tables.write_marker(spark, f"{data}/VALIDATION_PASSED.json", {"validation_passed": True})
+    cli.main(["train-rescue", "--dataset", data, "--output-dir", f"{tmp_path}/rescue", "--folds", "2", "--trees", "1", "--bootstrap-iterations", "5", "--positive-source", "SYNTHETIC"])
+    assert spark.read.parquet(f"{tmp_path}/rescue/end_to_end_metrics.parquet").count() == 4 and spark.read.parquet(f"{tmp_path}/rescue/locus_fold_assignments.parquet").count() == 30
+    assert tables.read_marker(spark, f"{tmp_path}/rescue/EXPERIMENT_COMPLETE.json")["complete"] and set(tables.read_marker(spark, f"{tmp_path}/rescue/feature_sets.json")) == {"R0_DISCOVERY", "R1_BAM", "R2_BAM_FLOW"}
