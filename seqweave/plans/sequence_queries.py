@@ -207,10 +207,13 @@ _CHG = f"""{_GEN}, p0 AS ({selected(_CHANGES, 'part')}), ch AS (SELECT k, contig
 
 @query(f"""WITH {_CHG}, r AS (SELECT *, left(unit, 1) AS b, replace(unit, left(unit, 1), '') = '' AS uniform, substr(g, greatest(1, pos - 100), least(pos, 101)) AS before, substr(g, pos + 1 + CASE WHEN ins THEN 0 ELSE n END, 100 + CASE WHEN ins THEN 0 ELSE 0 END) AS after FROM ch),
 l AS (SELECT *, length(before) - length(rtrim(before, b)) AS nb, length(after) - length(ltrim(after, b)) AS na FROM r), z AS (SELECT *, CASE WHEN uniform THEN nb + na + CASE WHEN ins THEN 0 ELSE n END END AS rl, CASE WHEN uniform THEN nb + na + CASE WHEN ins THEN n ELSE 0 END END AS al FROM l)
-SELECT k, CASE WHEN ins THEN 'insertion' ELSE 'deletion' END AS indel_type, n AS indel_length, CASE WHEN uniform THEN b END AS hp_base, CAST(rl AS INT) AS hp_ref_len, CAST(al AS INT) AS hp_alt_len, CAST(al - rl AS INT) AS hp_delta, coalesce(rl > 0 AND al > 0, false) AS is_homopolymer_indel FROM z""")
+SELECT k, CASE WHEN ins THEN 'insertion' ELSE 'deletion' END AS indel_type, n AS indel_length, CASE WHEN uniform THEN b END AS hp_base, CAST(rl AS INT) AS hp_ref_len, CAST(al AS INT) AS hp_alt_len, CAST(al - rl AS INT) AS hp_delta, coalesce(rl > 0 AND al > 0, false) AS is_homopolymer_indel,
+  true AS reference_match, CAST(CASE WHEN uniform THEN pos - nb ELSE pos - 1 END AS INT) AS hp_start0, CAST(CASE WHEN uniform THEN pos - nb + rl ELSE pos - 1 + length(ref) END AS INT) AS hp_end0, round(CAST({_CNT['G']} + {_CNT['C']} AS DOUBLE) / ({_SUM}), 9) AS local_gc,
+  round({' + '.join(f"CASE WHEN {c} > 0 THEN -(CAST({c} AS DOUBLE) / ({_SUM})) * log2(CAST({c} AS DOUBLE) / ({_SUM})) ELSE 0 END" for c in _CNT.values())}, 9) AS local_entropy FROM (SELECT *, substr(g, pos - 25, 50 + length(ref)) AS s FROM z)""")
 def hp_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = G.with_context(changes(spark, sf_dir), genome(spark, sf_dir), size=CHUNK)
-    return out.select("k", "indel_type", "indel_length", "hp_base", "hp_ref_len", "hp_alt_len", "hp_delta", "is_homopolymer_indel")
+    shown = ["k", "indel_type", "indel_length", "hp_base", "hp_ref_len", "hp_alt_len", "hp_delta", "is_homopolymer_indel", "reference_match", "hp_start0", "hp_end0"]
+    return out.select(*shown, *(F.round(c, 9).alias(c) for c in ("local_gc", "local_entropy")))
 
 
 @query(f"""WITH RECURSIVE {_CHG}, w AS (SELECT k, g, pos, unit, ins FROM ch UNION ALL SELECT k, g, pos - 1, right(unit, 1) || left(unit, length(unit) - 1), ins FROM w WHERE pos > 1 AND substr(g, pos, 1) = right(unit, 1)),
