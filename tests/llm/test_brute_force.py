@@ -52,6 +52,11 @@ def test_suffix_array_repeats(texts):
         assert (found["n_repeat_words"][d], found["longest_repeat"][d]) == plain_repeats(t, 4)
 
 
+def test_very_long_repetitive_texts():
+    found = quality_rules.measures(pa.array(["a b c " * 60_000, "one two", "x " * 100_000]), quality_rules.Rules())
+    assert found["n_repeat_words"].tolist() == [180_000, 0, 100_000] and found["longest_repeat"].tolist() == [179_997, 0, 99_999] and not found["kept"].any()
+
+
 def test_line_runs_levels_and_batches(spark, tmp_path):
     runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", fan_in=2)
     frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "text string")
