@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, hmm, licenses, line_dedup, packing, quality_classifier, quality_rules, quotation, simhash, toxicity
+from . import decontamination, hmm, licenses, line_dedup, packing, piecewise_hash, quality_classifier, quality_rules, quotation, simhash, toxicity, turn_repair
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_lm_scoring": hmm.op9_lm_scoring,
     "op10_license_scans": licenses.op10_license_scans,
+    "op11_piecewise_hash": piecewise_hash.op11_piecewise_hash,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +28,5 @@ ORACLES = {
     "op4_quotation": quotation.OP4_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op10_license_scans": licenses.OP10_SQL,
+    "op12_turn_repair": turn_repair.OP12_SQL,
 }

@@ -5,7 +5,7 @@ import pytest
 from seqweave.llm import queries
 from seqweave.llm.queries import QUERIES
 
-PER_ROW = ["op1_toxicity", "op2_quality_rules", "op3_line_dedup", "op7_quality_classifier", "op8_simhash", "op9_lm_scoring", "op10_license_scans"]
+PER_ROW = ["op1_toxicity", "op2_quality_rules", "op3_line_dedup", "op7_quality_classifier", "op8_simhash", "op9_lm_scoring", "op10_license_scans", "op11_piecewise_hash"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __text string, __id long"
 LONG = "\n".join(f"line {i} of a long text with words {i * 7919 % 1009}" for i in range(20_000))
 ROWS = [
@@ -62,15 +62,20 @@ def test_defined_values(spark, edges):
     assert prints[1]["fingerprint"] == "0" * 16 and prints[3]["component_id"] == 1 and prints[7]["component_id"] == 7
     scores = {r["doc_id"]: r for r in QUERIES["op9_lm_scoring"](spark, edges).collect()}
     assert scores[1]["n_tokens"] == 1 and scores[1]["score"] <= 0
-    found = {r["doc_id"]: r for r in QUERIES["op10_license_scans"](spark, edges).collect()}
+    found = {r["doc_id"]: r for r in QUERIES["op10_license_scans", "op11_piecewise_hash"](spark, edges).collect()}
     assert found[8]["base_labels"] == "reserved" and found[1]["labels"] == "" and found[1]["first_word"] is None
 
 
+def test_repairs_of_edge_rows(spark, edges):
+    got = {r["conv_id"]: r for r in QUERIES["op12_turn_repair"](spark, edges).collect()}
+    assert set(got) == {1, None} and got[1]["cost"] >= 0 and got[None]["gaps"] == 0
+
+
 def test_pipeline_on_edges(spark, edges):
     got = QUERIES["pipeline"](spark, edges).collect()
     assert all(r["length"] <= 2048 for r in got)
 
 
 def test_every_operator_has_one_query():
-    assert sorted(QUERIES) == sorted([*(n for n in QUERIES if n.startswith("op")), "pipeline"]) and len(QUERIES) == 11
+    assert sorted(QUERIES) == sorted([*(n for n in QUERIES if n.startswith("op")), "pipeline"]) and len(QUERIES) == 13
     assert set(queries.ORACLES) <= set(QUERIES)
