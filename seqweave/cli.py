@@ -12,7 +12,7 @@ from seqweave.operators.intervals import candidate_regions, merged
 from seqweave.operators.metrics import inconsistent_loci
 from seqweave.operators.staging import clear, staged
 from seqweave.plans import builders, models
-from seqweave.sources import alignments, tables, vcf
+from seqweave.sources import alignments, reference, tables, vcf
 
 
 def inputs_of(spark: SparkSession, args: argparse.Namespace) -> builders.Inputs:
@@ -21,7 +21,7 @@ def inputs_of(spark: SparkSession, args: argparse.Namespace) -> builders.Inputs:
     if not rows:
         raise ValueError("the manifest is empty")
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    genome = alignments.read_genome(spark, args.fasta).withColumn("contig", tables.canonical_chrom(F.col("contig")))
+    genome = reference.read_genome(spark, args.fasta).withColumn("contig", tables.canonical_chrom(F.col("contig")))
     is_bam = lambda p: p.endswith(".bam")
     own = lambda df, r: df.withColumns({"sample": F.lit(r["sample"]), "run": F.lit(r["run"])})
     no_orders = spark.createDataFrame([], "run string, rg string, fo string")

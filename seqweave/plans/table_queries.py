@@ -9,7 +9,7 @@ from seqweave.functions import alleles as A
 from seqweave.operators import calls as C
 from seqweave.operators import intervals as I
 from seqweave.operators.staging import new_folder
-from seqweave.sources import alignments, tables, vcf
+from seqweave.sources import reference, tables, vcf
 
 from .sequence_queries import _MERGED, _ITV, _intervals, table
 
@@ -108,7 +108,7 @@ def reference_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     rows = table(spark, sf_dir, "supplier").selectExpr("concat('>c', s_suppkey, ' a>b >c\\n', substr(md5(CAST(s_suppkey AS STRING)), 1, 20), '\\n', substr(md5(CAST(s_suppkey AS STRING)), 21, 12)) AS value")
     rows.write.text(path)
-    return alignments.read_genome(spark, path, 10)
+    return reference.read_genome(spark, path, 10)
 
 
 _ALLELES = "SELECT CAST(p_partkey % 5 AS VARCHAR) AS chrom, CAST(p_partkey % 300 AS INT) AS pos, 'A' AS ref, 'AC' AS alt FROM part"

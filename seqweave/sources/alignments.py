@@ -1,4 +1,4 @@
-"""Alignment files and reference sequences.
+"""Alignment files.
 
 BAM files are read by a Python data source, one partition a file, as a stream of records: `spark.read.format("bam")
 .option("path", ...)`. Written once as Parquet (`write_reads`), clustered by run, contig and start, they are what the
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from seqweave.operators.genome import CHUNK
 
 READ = (
     "run string, read_id long, qname string, flag int, contig string, ref_start int, ref_end int, mapq int, cigar array<struct<op:int,len:int>>, seq string, rg string, zf int, "
@@ -123,15 +122,3 @@ def flow_orders(spark: SparkSession, path: str, run: str = "") -> DataFrame:
             if "ID" in tags and "FO" in tags:
                 rows.append((run, tags["ID"], tags["FO"]))
     return spark.createDataFrame(rows, "run string, rg string, fo string")
-
-
-def read_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
-    """contig, chunk and seq of a FASTA file: each record as one text, cut into chunks of `size` bases."""
-    # A record begins with > at a line's start; further ones in its header are text.
-    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
-    name = F.regexp_extract("value", r"^>?(\S+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
-    held = records.select(F.inline(F.array(F.struct(name.alias("contig"), seq.alias("whole")))))
-    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("whole") / size).cast("int") - 1, F.lit(0)))
-    out = held.select("contig", "whole", F.explode(places.cast("array<long>")).alias("chunk"))
-    return out.select("contig", "chunk", F.substring("whole", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seqweave import cli
 from seqweave.operators import metrics as M
 from seqweave.plans import models, reports
-from seqweave.sources import alignments, tables, vcf
+from seqweave.sources import alignments, reference, tables, vcf
 
 SEQ = "GATTACA" + "CCCC" + "GTCAGT" + "AAAAA" + "GCTGCATGCTAGCTAGGATCCATG" * 3
 ORDER = "TACG" * 60
@@ -71,13 +71,13 @@ def test_bam_and_fasta(spark, files):
     got = alignments.read_bam(spark, f"{files}/x.bam", "R1").collect()
     assert len(got) == 18 and got[0]["seq"] == SEQ[:7] + "C" + SEQ[7:60] and got[0]["ref_end"] == 60 and got[0]["zf"] == 0 and len(got[0]["zm"]) == 200 and [tuple(c) for c in got[2]["cigar"]] == [(0, 17), (2, 1), (0, 42)]
     assert alignments.flow_orders(spark, f"{files}/x.bam", "R1").first()["fo"] == ORDER
-    chunks = alignments.read_genome(spark, f"{files}/g.fa", 16).orderBy("chunk").collect()
+    chunks = reference.read_genome(spark, f"{files}/g.fa", 16).orderBy("chunk").collect()
     assert "".join(r["seq"] for r in chunks) == SEQ
 
 
 def test_fasta_headers_hold_marks(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr1 c.76A>C patch\nACGT\nAC\n>chr2 >x\nGG\n")
-    rows = alignments.read_genome(spark, f"{tmp_path}/g.fa", 4).orderBy("contig", "chunk").collect()
+    rows = reference.read_genome(spark, f"{tmp_path}/g.fa", 4).orderBy("contig", "chunk").collect()
     assert [tuple(r) for r in rows] == [("chr1", 0, "ACGT"), ("chr1", 1, "AC"), ("chr2", 0, "GG")]
 
 
