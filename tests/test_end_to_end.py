@@ -1,7 +1,7 @@
 """Sources and the dataset builders on small files."""
 
-import gzip
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,8 +23,17 @@ def bam(path, reads):
         tags = b"RGZg\0" + b"ZFi" + struct.pack("<i", 0) + b"ZMBs" + struct.pack("<i", 200) + struct.pack("<200h", *([256] * 200)) + b"ZPBf" + struct.pack("<i", 3) + struct.pack("<3f", 0.1, 0.2, 0.3)
         body = struct.pack("<iiBBHHHiiii", 0, pos, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | op) for op, n in cigar) + packed + b"\xff" * len(seq) + tags
         out.append(struct.pack("<i", len(body)) + body)
-    with gzip.open(path, "wb") as f:
-        f.write(b"".join(out))
+    path.write_bytes(blocks(b"".join(out)))
+
+
+def blocks(data, size=60_000, level=6):
+    """data as a file of blocks, the last one empty."""
+    out = []
+    for k in [*range(0, len(data), size), len(data)]:
+        packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+        body = packer.compress(data[k : k + size]) + packer.flush()
+        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data[k : k + size]), len(data[k : k + size])))
+    return b"".join(out)
 
 
 HEADER = "##fileformat=VCFv4.2\n##contig=<ID=chr1>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\n"
