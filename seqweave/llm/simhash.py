@@ -53,13 +53,16 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
 
 def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     """A bit is 1 if it is set in over half the hashes of the text's shingles."""
-    h, bounds = shingle_hashes(texts, shingle)
+    return _prints(*shingle_hashes(texts, shingle))
+
+
+def _prints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n_shingles = np.diff(bounds)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(n_shingles), np.uint64)
     if not len(h):
         return out
     # Byte counters: eight bits of a hash are summed at once, over at most 255 hashes.
-    doc = np.repeat(np.arange(len(texts)), n_shingles)
+    doc = np.repeat(np.arange(len(n_shingles)), n_shingles)
     place = np.arange(len(h)) - bounds[doc]
     cut = np.flatnonzero((place % 255 == 0))
     of = doc[cut]
@@ -73,17 +76,34 @@ def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 4) -> DataFrame:
-    """The columns `keep` of each row and its fingerprint __fp, as a signed long."""
+def band_keys(h: np.ndarray, bounds: np.ndarray, bands: int, least: int) -> pa.ListArray:
+    """For each text a key a band, made of the least of its shingles' hashes under so many permutations. Two texts of
+    Jaccard similarity J share a band with probability J to the power of `least`. Texts without words have none."""
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    keys = np.zeros((len(full), bands), np.uint64)
+    for k in range(bands * least):
+        factor = np.uint64(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 7) | 1)
+        low = np.minimum.reduceat(h * factor, bounds[:-1][full]) if len(full) else np.zeros(0, np.uint64)
+        keys[:, k // least] = (keys[:, k // least] ^ low) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, k // least] ^= keys[:, k // least] >> np.uint64(29)
+    sizes = np.zeros(len(bounds) - 1, np.int64)
+    sizes[full] = bands
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+
+
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 4, bands: int = 0, least: int = 5) -> DataFrame:
+    """The columns `keep` of each row and its fingerprint __fp, as a signed long; with bands, also __bands, their keys."""
     schema = docs.select(*keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
-            fp = fingerprints_of(b.column("__text"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], [*keep, "__fp"])
+            h, bounds = shingle_hashes(b.column("__text"), shingle)
+            more = [band_keys(h, bounds, bands, least)] if bands else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(_prints(h, bounds).view(np.int64)), *more], names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, f"{fields}, __fp long")
+    names = [*keep, "__fp", *(["__bands"] if bands else [])]
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, f"{fields}, __fp long" + (", __bands array<long>" if bands else ""))
 
 
 def bit_planes(fp: np.ndarray) -> np.ndarray:
@@ -290,20 +310,28 @@ def components(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, parts: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, parts: int = 6, keep: tuple[str, ...] = (), bands: int = 0, least: int = 5) -> DataFrame:
     """doc_id, the columns `keep`, __fp and __component of every row: the smallest id among those that links of at most
-    radius bits reach."""
+    radius bits reach. With bands, fingerprints of texts that share a band's key are linked as well."""
     path = shared_dir(docs.sparkSession)
-    prints = stored(fingerprints(docs.select(docs[doc_id].alias("__id"), docs[text].alias("text"), *keep), ["__id", *keep], "text", shingle), f"{path}/prints")
+    made = fingerprints(docs.select(docs[doc_id].alias("__id"), docs[text].alias("text"), *keep), ["__id", *keep], "text", shingle, bands, least)
+    prints = stored(made, f"{path}/prints")
     distinct = stored(prints.groupBy("__fp").agg(F.min("__id").alias("least")).withColumnRenamed("__fp", "fp"), f"{path}/distinct")
     found = links(distinct.select("fp"), radius, parts, path)
-    roots = components(found, path)
+    roots = components(found.unionByName(_banded(prints, path)) if bands else found, path)
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(of.groupBy("root").agg(F.min("least").alias("__component")), f"{path}/named")
     of = stored(of.join(named, "root").select(F.col("fp").alias("__fp"), "__component"), f"{path}/components")
     return prints.join(of, "__fp").select(F.col("__id").alias(doc_id), *keep, "__fp", "__component")
 
 
+def _banded(prints: DataFrame, path: str) -> DataFrame:
+    """Links from the fingerprints that share a band's key to the smallest of them: a row a member, never a pair."""
+    rows = stored(prints.select("__fp", F.posexplode("__bands").alias("t", "key")).distinct(), f"{path}/bands")
+    low = stored(rows.groupBy("t", "key").agg(F.min("__fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), f"{path}/band-heads")
+    return rows.join(low, ["t", "key"]).where(F.col("__fp") != F.col("b")).select(F.col("__fp").alias("a"), "b")
+
+
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The different shingles of each text, as hashes, and where each text's begin; without words one of its own kind."""
     h, bounds = shingle_hashes(texts, shingle)
@@ -393,10 +421,11 @@ def _judged(shingle: int, similarity: float):
     return run
 
 
-def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, parts: int, similarity: float, most: int = 512) -> DataFrame:
+def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, parts: int, similarity: float, bands: int = 0, least: int = 5, most: int = 512) -> DataFrame:
     """The distinct ids (column doc_id) of documents of which no text stays.
 
-    Components nominate; the shingles themselves decide. Equal texts are one, under their smallest id. Within a
+    Components nominate; the shingles themselves decide. A fingerprint alone finds a pair at the least similarity seldom
+    (its bits differ in about ten places at 0.8), so texts that share a band's key are nominated, too. Equal texts are one, under their smallest id. Within a
     component texts are taken by rising id: one stays unless it is at least so similar to one that stays before it. So a
     chain of links drops no text that differs from all that stay, and no two that stay in a component are similar.
 
@@ -410,7 +439,7 @@ def verified_copies(docs: DataFrame, doc_id: str, text: str, shingle: int, radiu
     rows = rows.select("*", F.xxhash64("__a").alias("__t1"), F.xxhash64(F.lit(1), "__a").alias("__t2"))
     key, unit = ["__t1", "__t2"], ["__component", "__t1", "__t2"]
     rows = rows.withColumn("__chars", F.length("__a"))
-    groups = stored(near_duplicates(rows, "__id", "__a", shingle, radius, parts, (*key, "__chars")).drop("__fp"), f"{path}/groups")
+    groups = stored(near_duplicates(rows, "__id", "__a", shingle, radius, parts, (*key, "__chars"), bands, least).drop("__fp", "__bands"), f"{path}/groups")
     units = stored(groups.groupBy(*unit, "__chars").agg(F.min("__id").alias("__id")), f"{path}/units")
     sizes = units.groupBy("__component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("__chars") / SALT_CHARS).cast("int").alias("__salts"))
     several = stored(sizes.where("n > 1").select("__component", F.greatest("__salts", F.lit(1)).alias("__salts")), f"{path}/several")
