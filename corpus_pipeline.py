@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from seqweave.llm import decontamination, line_dedup, packing, quality_rules, simhash
 from seqweave.llm.common import documents, shared_dir, stored, table
 
-#: Near-duplicates: fingerprints of five-word shingles within seven bits nominate, a Jaccard similarity of 0.8 decides.
-SHINGLE, RADIUS, PARTS, SIMILARITY = 5, 7, 9, 0.8
+#: Near-duplicates: fingerprints of five-word shingles within seven bits, and a common key of twelve bands of five least
+#: hashes, nominate (0.99 of the pairs at the least similarity); a Jaccard similarity of 0.8 decides.
+SHINGLE, RADIUS, PARTS, SIMILARITY, BANDS, LEAST = 5, 7, 9, 0.8, 12, 5
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -43,7 +44,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents but for those as similar as SIMILARITY to the one of the smallest id of their group, which stays; rows
     that share an id stay or go together."""
     rows, doc_id, text = _numbered(docs)
-    copies = simhash.verified_copies(rows, doc_id, text, SHINGLE, RADIUS, PARTS, SIMILARITY)
+    copies = simhash.verified_copies(rows, doc_id, text, SHINGLE, RADIUS, PARTS, SIMILARITY, BANDS, LEAST)
     return _named(rows.join(copies, doc_id, "left_anti"), docs)
 
 
