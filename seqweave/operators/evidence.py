@@ -45,7 +45,8 @@ def _blake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(pairs: DataFrame, key: list[str], most: int | None, hashed: Column | None = None) -> DataFrame:
-    """At most `most` reads of each candidate, by an 8-byte BLAKE2b of name, flag and start unless `hashed` is given."""
+    """At most `most` reads of each candidate, by an 8-byte BLAKE2b of name, flag and start unless `hashed` is given. Spark
+    limits groups by rank before it shuffles them."""
     if most is None:
         return pairs
     if hashed is None:
@@ -63,10 +64,15 @@ def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, fl
     """A row for each candidate (key, `by`, chrom, start0, end0, hp_base, hp_ref_len, hp_alt_len) with the BAM and flow
     summaries; without reads the counts are 0 and the rest null."""
     candidates = staged(candidates)
-    pairs = staged(spanning(candidates, reads, key, by=by))
+    # With a bound on reads, pairs carry no bases or signals: those are fetched for the reads that are chosen.
+    light = reads if most is None else reads.select(*by, "read_id", "qname", "flag", "contig", "ref_start", "ref_end")
+    pairs = staged(spanning(candidates, light, key, by=by))
     back = R.is_reverse(F.col("flag"))
     totals = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("bam_coverage"), F.count_if(~back).alias("bam_forward_reads"), F.count_if(back).alias("bam_reverse_reads"))
-    used = sampled(pairs, key, most)
+    used = pairs
+    if most is not None:
+        chosen = staged(sampled(pairs, key, most).select(*dict.fromkeys([*candidates.columns, *by, "read_id"])))
+        used = chosen.join(reads, [*by, "read_id"])
     near = windows(used, genome, F.col("start0") - 10, F.col("end0") + 10, "chrom", size)
     near = computed(near, __ops=R.placed(F.col("cigar"), F.col("ref_start")), __back=back)
     n = F.length(F.coalesce("seq", F.lit("")))

@@ -72,12 +72,27 @@ def candidate_regions(keys: DataFrame, flank: int = 50) -> DataFrame:
     return merged(keys.select("chrom", "pos", "ref").distinct().select(F.col("chrom").alias("contig"), start.alias("start"), end.alias("end")))
 
 
-def coverage_at(reads: DataFrame, points: DataFrame, width: int = 1 << 10) -> DataFrame:
-    """points (contig, p) with the number of reads (contig, start, end) that cover them; each point once."""
-    distinct = points.select("contig", "p").distinct()
-    hits = joined(distinct.withColumn("__p1", F.col("p") + 1), reads, "inner", True, "p", "__p1", width=width)
-    counts = hits.groupBy("contig", "p").agg(F.count(F.lit(1)).alias("depth"))
-    return distinct.join(counts, ["contig", "p"], "left").select("contig", "p", F.coalesce("depth", F.lit(0)).alias("depth"))
+def coverage_at(reads: DataFrame, points: DataFrame, width: int = BIN) -> DataFrame:
+    """points (contig, p) with the number of reads (contig, start, end) that cover them; each point once.
+
+    A sweep: reads are steps up and down, points steps of 0, and the depth at a point is the sum of the steps up to it,
+    within its bin, on top of what the bins before add up to. So rows are as many as reads and points, never as their
+    matches.
+    """
+    steps = _steps(reads).withColumn("__point", F.lit(False))
+    steps = steps.unionByName(points.select("contig", "p").distinct().select("contig", "p", F.lit(0).cast("long").alias("d"), F.lit(True).alias("__point")))
+    steps = steps.groupBy("contig", "p").agg(F.sum("d").alias("d"), F.max("__point").alias("__point")).withColumn("__bin", F.floor(F.col("p") / width))
+    bins = steps.groupBy("contig", "__bin").agg(F.sum("d").alias("__d"))
+    before = F.coalesce(F.sum("__d").over(Window.partitionBy("contig").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = steps.join(bins.select("contig", "__bin", before.alias("__before")), ["contig", "__bin"])
+    within = F.sum("d").over(Window.partitionBy("contig", "__bin").orderBy("p"))
+    return rows.select("contig", "p", "__point", (within + F.col("__before")).alias("depth")).where("__point").drop("__point")
+
+
+def _steps(reads: DataFrame) -> DataFrame:
+    """contig, p and d: how much the depth changes at p."""
+    ends = F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))
+    return reads.where(F.col("end") > F.col("start")).select("contig", F.inline(ends)).groupBy("contig", "p").agg(F.sum("d").alias("d"))
 
 
 def depth_profile(reads: DataFrame, width: int = BIN) -> DataFrame:
@@ -85,8 +100,7 @@ def depth_profile(reads: DataFrame, width: int = BIN) -> DataFrame:
 
     The sum runs within bins; a row a bin carries the depth over from those before it and where the next one starts.
     """
-    steps = reads.where(F.col("end") > F.col("start")).select("contig", F.inline(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))))
-    steps = steps.groupBy("contig", "p").agg(F.sum("d").alias("d")).withColumn("__bin", F.floor(F.col("p") / width))
+    steps = _steps(reads).withColumn("__bin", F.floor(F.col("p") / width))
     order = Window.partitionBy("contig").orderBy("__bin")
     bins = steps.groupBy("contig", "__bin").agg(F.sum("d").alias("__d"), F.min("p").alias("__p"))
     before = F.coalesce(F.sum("__d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
