@@ -341,29 +341,38 @@ e1 AS (SELECT run, read_id, flag, mapq, contig, pos, CASE WHEN ins THEN unit ELS
 w AS (SELECT DISTINCT contig, pos, unit, ins, pos AS p0, unit AS u0 FROM e1 UNION ALL SELECT w.contig, w.pos - 1, right(unit, 1) || left(unit, length(unit) - 1), ins, p0, u0 FROM w JOIN contigs USING (contig) WHERE w.pos > 1 AND substr(g, w.pos, 1) = right(unit, 1)),
 n AS (SELECT contig, ins, p0, u0, min(pos) AS pos, arg_min(unit, pos) AS unit FROM w GROUP BY contig, ins, p0, u0),
 ev AS (SELECT e1.*, n.pos AS npos, n.unit AS nunit, substr(g, n.pos, 1) AS a FROM e1 JOIN n ON n.contig = e1.contig AND n.ins = e1.ins AND n.p0 = e1.pos AND n.u0 = e1.unit JOIN contigs ON contigs.contig = e1.contig),
-al AS (SELECT run, read_id, flag, mapq, contig AS chrom, npos AS pos, CASE WHEN ins THEN a ELSE a || nunit END AS ref, CASE WHEN ins THEN a || nunit ELSE a END AS alt FROM ev)"""
+al AS (SELECT run, read_id, flag, mapq, contig AS chrom, npos AS pos, CASE WHEN ins THEN a ELSE a || nunit END AS ref, CASE WHEN ins THEN a || nunit ELSE a END AS alt, pos AS shown, nunit FROM ev),
+dp AS (SELECT p.run, p.contig, p.pos, count(good.read_id) AS depth FROM (SELECT DISTINCT run, contig, pos FROM e1) p LEFT JOIN good ON good.run = p.run AND good.contig = p.contig AND good.ref_start < p.pos AND good.ref_end >= p.pos GROUP BY ALL),
+ad AS (SELECT al.*, depth FROM al JOIN dp ON dp.run = al.run AND dp.contig = al.chrom AND dp.pos = al.shown)"""
+#: Shares of the depth and lengths of runs that discovery asks for.
+_SHARE, _RUN = 0.2, 3
 
 
-@query(f"""WITH RECURSIVE {_EV} SELECT run, chrom, CAST(pos AS INT) AS pos, ref, alt, count(*) AS support, count(*) FILTER (flag & 16 = 0) AS forward, count(*) FILTER (flag & 16 <> 0) AS backward, round(avg(mapq), 6) AS mapq_mean, quantile_cont(mapq, 0.5) AS mapq_median
-  FROM al GROUP BY run, chrom, pos, ref, alt HAVING count(*) >= 2""")
+@query(f"""WITH RECURSIVE {_EV} SELECT run, chrom, CAST(pos AS INT) AS pos, ref, alt, count(*) AS support, count(*) FILTER (flag & 16 = 0) AS forward, count(*) FILTER (flag & 16 <> 0) AS backward, max(depth) AS depth, round(count(*) / max(depth), 9) AS fraction, round(avg(mapq), 6) AS mapq_mean, quantile_cont(mapq, 0.5) AS mapq_median
+  FROM ad GROUP BY run, chrom, pos, ref, alt HAVING count(*) >= 2 AND count(*) / max(depth) >= {_SHARE}""")
 def discover_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame([(str(k), 0, 1 << 28) for k in range(5)], "contig string, start long, end long")
     # One interval holds each contig whole, so its bins are wide.
-    out = EV.discovered(reads(spark, sf_dir), genome(spark, sf_dir), _clipped(targets, genome(spark, sf_dir)), size=CHUNK, by=("run",))
-    return out.select("run", "chrom", "pos", "ref", "alt", F.col("bam_alt_support").alias("support"), F.col("bam_alt_forward_reads").alias("forward"), F.col("bam_alt_reverse_reads").alias("backward"), F.round("bam_alt_mapq_mean", 6).alias("mapq_mean"), F.col("bam_alt_mapq_median").alias("mapq_median"))
+    out = EV.discovered(reads(spark, sf_dir), genome(spark, sf_dir), _clipped(targets, genome(spark, sf_dir)), min_alt_fraction=_SHARE, size=CHUNK, by=("run",))
+    names = {"bam_alt_support": "support", "bam_alt_forward_reads": "forward", "bam_alt_reverse_reads": "backward", "bam_discovery_depth": "depth", "bam_alt_mapq_median": "mapq_median"}
+    return out.select("run", "chrom", "pos", "ref", "alt", *(F.col(c).alias(n) for c, n in names.items()), F.round("bam_alt_fraction", 9).alias("fraction"), F.round("bam_alt_mapq_mean", 6).alias("mapq_mean"))
 
 
-@query(f"""WITH RECURSIVE {_EV}, sup AS (SELECT run, count(*) AS support FROM al GROUP BY run, chrom, pos, ref, alt), acc AS (SELECT run, sum(support) AS raw, count(*) AS before, count(*) FILTER (support >= 2) AS kept FROM sup GROUP BY run),
+@query(f"""WITH RECURSIVE {_EV}, hp AS (SELECT ad.*, left(nunit, 1) AS b, length(regexp_extract(substr(g, CAST(pos AS BIGINT) + 1, 101), '^' || left(nunit, 1) || '*')) + CASE WHEN pos = 1 AND left(g, 1) = left(nunit, 1) THEN 1 ELSE 0 END AS r, length(alt) - length(ref) AS more
+  FROM ad JOIN contigs ON contigs.contig = ad.chrom WHERE replace(nunit, left(nunit, 1), '') = ''),
+sup AS (SELECT run, count(*) AS support, count(*) >= 2 AS enough, count(*) / max(depth) >= {_SHARE} AS shared, any_value(r > 0 AND r + more > 0) AS run_of, any_value(greatest(r, r + more) >= {_RUN}) AS long_of FROM hp GROUP BY run, chrom, pos, ref, alt),
+acc AS (SELECT run, sum(support) AS raw, count(*) AS before, count(*) FILTER (enough) AS kept, count(*) FILTER (enough AND NOT shared) AS rare, count(*) FILTER (enough AND shared AND NOT run_of) AS other, count(*) FILTER (enough AND shared AND run_of AND NOT long_of) AS short,
+  count(*) FILTER (enough AND shared AND run_of AND long_of) AS last FROM sup GROUP BY run),
 fet AS (SELECT run, count(*) AS fetched, count(*) FILTER ({_OK}) AS usable, count(*) FILTER ({_OK} AND mapq < 20) AS poor FROM rd JOIN contigs USING (contig) WHERE ref_start < length(g) GROUP BY run),
 wide AS (SELECT run, CAST(6 AS BIGINT) AS target_intervals, CAST(1 AS BIGINT) AS unresolved_target_intervals, fetched AS reads_fetched, usable AS reads_usable, poor AS reads_mapq_filtered, CAST(coalesce(raw, 0) AS BIGINT) AS raw_indel_observations, coalesce(before, 0) AS alleles_before_support_filter,
-  coalesce(kept, 0) AS alleles_after_support_before_hp_filter, CAST(0 AS BIGINT) AS alleles_fraction_filtered, CAST(0 AS BIGINT) AS alleles_non_hp_filtered, CAST(0 AS BIGINT) AS alleles_short_hp_filtered, coalesce(kept, 0) AS alleles_after_support_filter FROM fet LEFT JOIN acc USING (run))
+  coalesce(kept, 0) AS alleles_after_support_before_hp_filter, coalesce(rare, 0) AS alleles_fraction_filtered, coalesce(other, 0) AS alleles_non_hp_filtered, coalesce(short, 0) AS alleles_short_hp_filtered, coalesce(last, 0) AS alleles_after_support_filter FROM fet LEFT JOIN acc USING (run))
 SELECT run, metric, value FROM wide UNPIVOT (value FOR metric IN (COLUMNS(* EXCLUDE (run))))""")
 def discovery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six targets, one of them on a contig that the reference lacks."""
+    """Six targets, one of them on a contig that the reference lacks; of runs of one base only."""
     chunks = genome(spark, sf_dir)
     targets = _clipped(spark.createDataFrame([(str(k), 0, 1 << 28) for k in range(5)], "contig string, start long, end long"), chunks)
     targets = targets.unionByName(spark.createDataFrame([("none", 0, 9)], "contig string, start long, end long"))
-    return EV.discovery_counts(reads(spark, sf_dir), chunks, targets, size=CHUNK)
+    return EV.discovery_counts(reads(spark, sf_dir), chunks, targets, min_alt_fraction=_SHARE, min_hp_length=_RUN, size=CHUNK)
 
 
 def _clipped(targets: DataFrame, chunks: DataFrame) -> DataFrame:
