@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 NAN = float("nan")
 
 
@@ -117,9 +119,31 @@ def bootstrap_draws(loci: int, iterations: int, seed: int) -> np.ndarray:
     return np.stack([rng.integers(0, loci, loci) for _ in range(iterations)]) if loci and iterations else np.zeros((0, loci), np.int64)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their place from 0 in the order, which no two share. Sorted by ranges; a row a range tells how many stand
+    before it."""
+    some = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    some = staged(some)
+    parts = some.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = some.join(F.broadcast(parts.select("__part", "__first", before.alias("__before"))), "__part")  # a row a partition
+    return out.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
+
+
+def counted_draws(spark: SparkSession, loci: int, iterations: int, seed: int) -> DataFrame:
+    """iteration, place and times: in each iteration as many places as there are, drawn with replacement. Each draw is the
+    hash of its own number, so tasks need no list and a task that runs again draws the same."""
+    numbers = spark.range(loci * iterations).select(F.floor(F.col("id") / loci).alias("iteration"), (F.col("id") % loci).alias("k"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("iteration").cast("string"), F.col("k").cast("string")))
+    place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % loci
+    return numbers.select("iteration", place.alias("place")).groupBy("iteration", "place").agg(F.count(F.lit(1)).alias("times"))
+
+
 def bootstrap_interval(sums: DataFrame, draws: DataFrame, value: str = "s", weight: str = "n") -> DataFrame:
-    """2.5 and 97.5 % quantiles of resampled ratios. sums: place, value and weight of a locus; draws: iteration, place."""
-    again = draws.join(sums, "place").groupBy("iteration").agg((F.sum(value).cast("double") / F.sum(weight)).alias("rate"))
+    """2.5 and 97.5 % quantiles of resampled ratios. sums: place, value and weight of a locus; draws: iteration, place and
+    how many times it is drawn, once without that column."""
+    times = F.col("times") if "times" in draws.columns else F.lit(1)
+    again = draws.join(sums, "place").groupBy("iteration").agg((F.sum(F.col(value) * times).cast("double") / F.sum(F.col(weight) * times)).alias("rate"))
     return again.agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"))
 
 

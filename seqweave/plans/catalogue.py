@@ -6,5 +6,10 @@ from . import metric_queries, model_queries, report_queries, sequence_queries, t
 
 _MODULES = (metric_queries, sequence_queries, model_queries, report_queries, table_queries)
 
-QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-ORACLES: dict = {k: v for m in _MODULES for k, v in m.SQL.items()}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _m in _MODULES:
+    if twice := sorted(set(QUERIES) & set(_m.QUERIES)):
+        raise ValueError(f"queries of one name: {twice}")
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.SQL

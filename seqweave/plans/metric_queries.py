@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqweave.operators import calls as C
 from seqweave.operators import evidence, folds
 from seqweave.operators import metrics as M
+from seqweave.operators.staging import staged
 
 from .derived import CALLS, relation, selected
 
@@ -46,7 +47,7 @@ def callset_metrics_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{CTE}, {_LONG} SELECT system, run, {_SUMS} FROM l GROUP BY system, run")
-def per_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def callset_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.strata_metrics(calls(spark, sf_dir, "run", "is_truth", "original_called", "final_called"), SYSTEMS, by="run", everything=None)
 
 
@@ -186,17 +187,14 @@ def label_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.inconsistent_loci(calls(spark, sf_dir, "locus_id", "original_called"), label="original_called")
 
 
-@query(f"""{CTE}, s AS (SELECT locus_id % 200 AS place, count(*) FILTER (original_called) AS s, count(*) AS n FROM c WHERE is_truth GROUP BY 1), p AS (SELECT row_number() OVER (ORDER BY place) - 1 AS place, s, n FROM s),
-d AS (SELECT it AS iteration, (it * 31 + k * 17 + k * k * it) % (SELECT count(*) FROM p) AS place FROM (SELECT unnest(range(0, 200)) AS it), (SELECT unnest(range(0, 40)) AS k)),
+@query(f"""{CTE}, s AS (SELECT locus_id, count(*) FILTER (original_called) AS s, count(*) AS n FROM c WHERE is_truth GROUP BY 1), p AS (SELECT row_number() OVER (ORDER BY locus_id) - 1 AS place, s, n FROM s), m AS (SELECT count(*) AS loci FROM p),
+d AS (SELECT i // loci AS iteration, CAST('0x' || left(md5('17:' || (i // loci) || ':' || (i % loci)), 12) AS BIGINT) % loci AS place FROM m, unnest(range(loci * 2000)) AS u(i)),
 r AS (SELECT iteration, sum(s) / sum(n) AS rate FROM d JOIN p USING (place) GROUP BY iteration) SELECT round(quantile_cont(rate, 0.025), 9) AS low, round(quantile_cont(rate, 0.975), 9) AS high FROM r""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = calls(spark, sf_dir, "locus_id", "is_truth", "original_called").where("is_truth").groupBy((F.col("locus_id") % 200).alias("l")).agg(F.count_if("original_called").alias("s"), F.count(F.lit(1)).alias("n"))
-    # A row a locus group, 200 at most.
-    sums = sums.select((F.row_number().over(Window.orderBy("l")) - 1).cast("long").alias("place"), "s", "n")
-    draws = spark.range(200).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("k"))
-    loci = sums.agg(F.count(F.lit(1)).alias("loci"))
-    draws = draws.join(F.broadcast(loci), F.lit(True)).selectExpr("iteration", "(iteration * 31 + k * 17 + k * k * iteration) % loci AS place")
-    out = M.bootstrap_interval(sums, draws)
+    """Of the sensitivity, by locus: 2,000 draws of as many loci as there are."""
+    sums = calls(spark, sf_dir, "locus_id", "is_truth", "original_called").where("is_truth").groupBy("locus_id").agg(F.count_if("original_called").alias("s"), F.count(F.lit(1)).alias("n"))
+    placed = staged(M.numbered(sums, ["locus_id"]))
+    out = M.bootstrap_interval(placed, M.counted_draws(spark, placed.count(), 2000, 17))
     return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 

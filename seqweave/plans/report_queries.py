@@ -9,6 +9,7 @@ from seqweave.operators import folds as FO
 from seqweave.operators import metrics as M
 
 from . import reports as P
+from .derived import relation
 from .metric_queries import CTE, calls
 from .models import feature_sets
 
@@ -122,7 +123,7 @@ def locus_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_LOCI} SELECT 5 AS folds, (SELECT count(*) FROM l) AS loci, (SELECT sum(n) FROM l) AS rows, 1 AS folds_of_a_locus, true AS even")
 def stratified_fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every locus in one fold, and no class further than one locus' rows from an even share."""
+    """Every locus in one fold; the greedy rule keeps the folds of a class within two of the largest loci of each other."""
     rows = FO.stratified_group_folds(calls(spark, sf_dir, "run", "locus_id", "ord", "label"))
     loci = rows.groupBy("locus_id").agg(F.max("label").alias("y"), F.count(F.lit(1)).alias("r"), F.min("fold").alias("fold"), F.count_distinct("fold").cast("int").alias("n"))
     most = loci.agg(F.max("r").alias("most"))
@@ -138,7 +139,6 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_distinct("locus_id").alias("loci"), F.count_distinct("run").alias("runs")).crossJoin(mixed)  # of one row each
 
 
-_COLUMNS = ["bam_alt_support", "bam_coverage", "flow_reads", "gc", "hp_base", "indel_type", "paired_delta__x", "sample", "vcf_AF", "vcf_HS", "vcf_TYPE"]
 _SETS = {
     "caller": {"M1_VCF": "vcf_AF vcf_HS vcf_TYPE hp_base indel_type", "M2_VCF_BAM": "vcf_AF vcf_HS vcf_TYPE bam_alt_support bam_coverage hp_base indel_type", "M3_VCF_BAM_FLOW": "vcf_AF vcf_HS vcf_TYPE bam_alt_support bam_coverage flow_reads hp_base indel_type"},
     "rescue": {"R0_DISCOVERY": "bam_alt_support hp_base indel_type", "R1_BAM": "bam_alt_support bam_coverage hp_base indel_type", "R2_BAM_FLOW": "bam_alt_support bam_coverage flow_reads hp_base indel_type"},
@@ -146,7 +146,16 @@ _SETS = {
 }
 
 
-@query("SELECT kind, model, unnest(string_split(cols, ' ')) AS feature FROM (VALUES " + ", ".join(f"('{k}', '{m}', '{c}')" for k, v in _SETS.items() for m, c in v.items()) + ") AS v(kind, model, cols)")
+_HELD = {
+    "bam_alt_support": "CAST(l_quantity AS DOUBLE)", "bam_coverage": "CASE WHEN l_linenumber > 1 THEN l_linenumber END", "flow_reads": "l_suppkey % 9", "gc": "l_discount", "hp_base": "substr('ACGT', CAST(l_partkey % 4 AS INT) + 1, 1)", "indel_type": "l_linestatus",
+    "paired_delta__x": "CASE WHEN l_tax > 0.03 THEN l_tax END", "sample": "l_linestatus", "vcf_AF": "CASE WHEN l_discount > 0 THEN l_discount END", "vcf_HS": "1", "vcf_TYPE": "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END",
+}
+
+
+@query("WITH f AS (SELECT kind, model, unnest(string_split(cols, ' ')) AS feature FROM (VALUES " + ", ".join(f"('{k}', '{m}', '{c}')" for k, v in _SETS.items() for m, c in v.items()) + ") AS v(kind, model, cols)), h AS (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, count({v}) AS held FROM lineitem" for k, v in _HELD.items()) + ") SELECT kind, model, feature, held FROM f JOIN h USING (feature)")
 def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(kind, model, f) for kind in _SETS for model, names in feature_sets(_COLUMNS, kind).items() for f in names]
-    return spark.createDataFrame(rows, "kind string, model string, feature string")
+    """The columns of a candidate table that each model uses, with the rows that hold a value."""
+    rows = relation(spark, sf_dir, _HELD, "lineitem")
+    held = rows.agg(*(F.count(c).alias(c) for c in rows.columns)).select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("held")) for c in rows.columns))))
+    names = [(kind, model, f) for kind in _SETS for model, features in feature_sets(rows.columns, kind).items() for f in features]
+    return spark.createDataFrame(names, "kind string, model string, feature string").join(held, "feature").select("kind", "model", "feature", "held")

@@ -11,7 +11,7 @@ from seqweave.operators import intervals as I
 from seqweave.operators.staging import new_folder
 from seqweave.sources import reference, tables, vcf
 
-from .sequence_queries import _MERGED, _ITV, _intervals, table
+from .sequence_queries import _BARE, _ITV, _MERGED, _NAMES, _intervals, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -60,12 +60,10 @@ def variant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *A.variant_key(name, F.col("p_size"), F.lower("p_type"), F.lower("p_brand")))
 
 
-_NAMES = ["chr1", "1", "chrM", "MT", "X", "chrX", "chrUn_1", "GL000.1"]
-
-
-@query("SELECT * FROM (VALUES ('1', 'chr1'), ('MT', 'chrM'), ('X', 'X'), ('Un_1', 'chrUn_1'), ('GL000.1', 'GL000.1')) AS v(canonical, name)")
+@query(f"SELECT canonical, arg_min(name, c_custkey) AS name FROM (SELECT c_custkey, {_NAMES} AS name, CASE WHEN upper({_BARE}) IN ('M', 'MT') THEN 'MT' WHEN upper({_BARE}) IN ('X', 'Y') THEN upper({_BARE}) ELSE {_BARE} END AS canonical FROM customer) GROUP BY canonical")
 def contig_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.resolver(_NAMES, spark)
+    """The first of the names that mean one contig."""
+    return tables.resolved(table(spark, sf_dir, "customer").selectExpr("c_custkey AS ord", f"{_NAMES} AS name"))
 
 
 @query(f'WITH {_ITV}, {_MERGED} SELECT contig, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end" FROM m')

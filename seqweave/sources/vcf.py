@@ -123,8 +123,9 @@ def truth_keys(records: DataFrame, genome: DataFrame | None = None, in_genotype:
 def in_regions(records: DataFrame, regions: DataFrame) -> DataFrame:
     """The records that overlap merged regions (canonical contigs), once each."""
     spans = records.withColumns({"__chrom": A.canonical_chrom(F.col("contig")), "__a": F.col("pos") - 1, "__b": A.end0(F.col("pos"), F.col("ref"))})
-    hits = joined(spans.select("ord", "__chrom", "__a", "__b"), regions, "inner", False, "__a", "__b", "__chrom").select("ord").distinct()
-    return records.join(hits, "ord", "left_semi")
+    key = [c for c in ("sample", "run", "ord") if c in records.columns]  # a record's number is its file's
+    hits = joined(spans.select(*key, "__chrom", "__a", "__b"), regions, "inner", False, "__a", "__b", "__chrom").select(*key).distinct()
+    return records.join(hits, key, "left_semi")
 
 
 def pileup_candidates(records: DataFrame, genome: DataFrame, targets: DataFrame, min_support: int = 2, min_hp_length: int = 4, size: int | None = None) -> DataFrame:
