@@ -479,6 +479,15 @@ def test_samples_leave_held_out_rows(spark):
     assert {t for t, y in rows if y == 0} == {f"text {k}" for k in free if k % 2 == 0} and sum(y for _, y in rows) == 3 and sum(counts.values()) == len(free)
 
 
+def plain_bands(text):
+    """Each band's number with the least hashes of the shingles that make its key."""
+    words = text.encode().translate(LOWER).split()
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + corpus_pipeline.SHINGLE]), 42) for i in range(max(1, len(words) - corpus_pipeline.SHINGLE + 1))]
+    factors = [xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 7) | 1 for k in range(corpus_pipeline.BANDS * corpus_pipeline.LEAST)]
+    lows = [min(x * f % (1 << 64) for x in h) for f in factors]
+    return {(k, *lows[k * corpus_pipeline.LEAST : (k + 1) * corpus_pipeline.LEAST]) for k in range(corpus_pipeline.BANDS)}
+
+
 def test_pipeline_is_its_stages_by_hand(spark, tmp_path):
     """Each stage again in plain Python, over texts with copies, drifting copies, common lines and leaks."""
     rng = random.Random(16)
@@ -520,7 +529,8 @@ def test_pipeline_is_its_stages_by_hand(spark, tmp_path):
     assert frames["line_dedup"] == want and held["shared line"] >= 10
     prints = dict(zip(want, simhash.fingerprints_of(pa.array(list(want.values())), corpus_pipeline.SHINGLE).tolist(), strict=True))
     ids = list(want)
-    near = [(i, j) for i in range(len(ids)) for j in range(i) if (prints[ids[i]] ^ prints[ids[j]]).bit_count() <= corpus_pipeline.RADIUS]
+    bands = [plain_bands(want[k]) for k in ids]
+    near = [(i, j) for i in range(len(ids)) for j in range(i) if (prints[ids[i]] ^ prints[ids[j]]).bit_count() <= corpus_pipeline.RADIUS or bands[i] & bands[j]]
     roots = simhash._roots(len(ids), np.array([p[0] for p in near], np.int64), np.array([p[1] for p in near], np.int64))
     shingles = {k: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for k, t in want.items()}
     stay: dict = {}
