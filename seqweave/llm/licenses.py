@@ -85,54 +85,79 @@ def _listed(texts: pa.Array, vocabulary: list[bytes]) -> tuple[Words, np.ndarray
 
 
 class Templates:
-    """Templates over words in the corpus's order, rarest first."""
+    """Templates over words in the corpus's order, rarest first, with an index from prefix words to templates."""
 
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], contained: float = CONTAINED, slack: float = SLACK):
         self.order = sorted(counts, key=lambda w: (counts[w], w))
         rank = {w: k for k, w in enumerate(self.order)}
-        self.labels = sorted(templates)
-        self.sets = [np.array(sorted({rank[w] for w in words_of(templates[k])}), np.int64) for k in self.labels]
+        said = {k: words_of(t) for k, t in templates.items()}
+        self.labels = sorted(k for k, v in said.items() if v)
+        self.sets = [np.array(sorted({rank[w] for w in said[k]}), np.int64) for k in self.labels]
         self.need = [ceil(contained * len(s) - 1e-9) for s in self.sets]
-        self.width = [ceil(slack * len(words_of(templates[k])) - 1e-9) for k in self.labels]
+        self.width = [ceil(slack * len(said[k]) - 1e-9) for k in self.labels]
+        prefixes = [s[: len(s) - n + 1] for s, n in zip(self.sets, self.need, strict=True)]
+        self.asked = np.concatenate([np.zeros(0, np.int64), *prefixes])
+        self.asking = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
 
     def met(self, words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, template, share) of every text that meets a template, with the largest share of its blocks. words: for
-        each word of all texts its place in the order, or -1; docs: its text."""
+        each word of all texts its place in the order, or -1; docs: its text.
+
+        Only templates that share a prefix word with the texts are looked at; memory is a few numbers a word, whatever
+        a template's length.
+        """
         at = np.flatnonzero(words >= 0)
+        there = np.zeros(len(self.order), bool)
+        there[words[at]] = True
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k, (own, need, width) in enumerate(zip(self.sets, self.need, self.width, strict=True)):
-            place = np.full(len(self.order) + 1, -1)
-            place[own] = np.arange(len(own))
-            q = place[words[at]]
-            q, here = q[q >= 0], at[q >= 0]
+        for k in np.unique(self.asking[there[self.asked]]).tolist():
+            own, need, width = self.sets[k], self.need[k], self.width[k]
+            q = np.minimum(np.searchsorted(own, words[at]), len(own) - 1)
+            same = own[q] == words[at]
+            q, here = q[same], at[same]
             doc = docs[here]
             v = here + doc * width  # no block spans two texts
             rare = v[q <= len(own) - need]
-            if not len(rare):
-                continue
             # What has a word of the prefix within a block's width, before or after it.
             after = np.searchsorted(rare, v)
             near = (rare[np.minimum(after, len(rare) - 1)] - v < width) & (after < len(rare)) | (after > 0) & (v - rare[np.maximum(after - 1, 0)] < width)
             v, q, doc = v[near], q[near], doc[near]
+            place = np.arange(len(v))
             until = np.searchsorted(v, v + width)
-            start = np.flatnonzero(until - np.arange(len(v)) >= need)
-            by = np.argsort(q, kind="stable")
-            before = np.full(len(v), -1)  # the same word's place before this one
-            before[by[1:]] = np.where(q[by[1:]] == q[by[:-1]], by[:-1], -1)
-            for s in range(0, len(start), 1 << 14):
-                first = start[s : s + (1 << 14), None]
-                block = first + np.arange(width)[None, :]
-                inside = block < until[first]
-                block = np.minimum(block, len(v) - 1)
-                least = np.where(inside, q[block], len(own)).min(axis=1)
-                shared = (inside & (before[block] < first)).sum(axis=1)
-                good = (len(own) - least >= need) & (shared >= need)
-                found.append((doc[first[good, 0]], np.full(good.sum(), k), shared[good] / len(own)))
+            able = (until - place >= need) & (len(own) - _least(q, until) >= need)
+            if able.any():
+                shared = _different(q, until)
+                start = np.flatnonzero(able & (shared >= need))
+                found.append((doc[start], np.full(len(start), k), shared[start] / len(own)))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _least(q: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """The least of q[i : until[i]] for each i: two overlapping spans of a power of two cover it."""
+    length = until - np.arange(len(q))
+    out, spans, span = q.copy(), q, 1
+    while span * 2 <= (length.max() if len(q) else 0):
+        spans = np.minimum(spans[: len(spans) - span], spans[span:])
+        span *= 2
+        fit = np.flatnonzero((length >= span) & (length < 2 * span))
+        out[fit] = np.minimum(spans[fit], spans[until[fit] - span])
+    return out
+
+
+def _different(q: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """How many different values q[i : until[i]] holds, for each i. A place is the first of its value for starts behind the
+    value's last place, as far back as blocks reach it: one step up and one down a place, summed."""
+    n = len(q)
+    by = np.argsort(q, kind="stable")
+    before = np.full(n, -1)
+    before[by[1:]] = np.where(q[by[1:]] == q[by[:-1]], by[:-1], -1)
+    begin = np.maximum(before + 1, np.searchsorted(until, np.arange(n), side="right"))
+    steps = np.bincount(begin, minlength=n + 1) - np.bincount(np.arange(1, n + 1), minlength=n + 1)
+    return np.cumsum(steps)[:n]
+
+
 def scan(texts: pa.Array, templates: Templates) -> list[pa.Array]:
     n = len(texts)
     words, listed, codes, names = _listed(texts, templates.order)
@@ -184,6 +209,13 @@ def scanned(docs: DataFrame, keep: list[str], text: str = "text", templates: dic
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, f"{fields}, {SCHEMA}")
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Licence texts of a folder on any file system, by file name: a catalogue of whole texts for `scanned`, as bounded as
+    the number of licences."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.txt)?$", 1).alias("label"), "value").collect()
+    return {r["label"]: r["value"] for r in rows}
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(documents(spark, sf_dir), ["doc_id"])
 
