@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqweave.functions.alleles import end0, label_columns
 
 from .intervals import joined
+from .ranges import quantiles, running
 from .staging import staged
 
 KEY = ["chrom", "pos", "ref", "alt"]
@@ -42,9 +43,15 @@ def labelled(candidates: DataFrame, synthetic: DataFrame, giab: DataFrame, bench
 def with_control_deltas(frame: DataFrame, evidence: list[str], locus: str = "locus_id", control: Column | None = None) -> DataFrame:
     """For each evidence column its median over the control rows of the locus, and the difference from that."""
     control = F.col("truth_profile") == "HG002" if control is None else control
-    medians = frame.where(control).groupBy(locus).agg(*(F.percentile(F.col(c).try_cast("double"), F.lit(0.5)).alias(f"na_median__{c}") for c in evidence))
+    number = lambda c: F.col(c).try_cast("double")
+    if not evidence:
+        return frame
+    entries = F.array(*(F.struct(F.lit(k).alias("__column"), number(c).alias("__value")) for k, c in enumerate(evidence)))
+    long = frame.where(control).select(locus, F.inline(entries))
+    middle = quantiles(long, [locus, "__column"], "__value", {"__median": 0.5})
+    medians = middle.groupBy(locus).agg(*(F.max(F.when(F.col("__column") == k, F.col("__median"))).alias(f"na_median__{c}") for k, c in enumerate(evidence)))
     out = frame.join(medians, locus, "left")
-    return out.withColumns({f"paired_delta__{c}": F.col(c).try_cast("double") - F.col(f"na_median__{c}") for c in evidence})
+    return out.withColumns({f"paired_delta__{c}": number(c) - F.col(f"na_median__{c}") for c in evidence})
 
 
 def evidence_columns(frame: DataFrame, prefixes: tuple[str, ...] = ("vcf_", "bam_", "flow_"), without: tuple[str, ...] = ("vcf_FILTER", "vcf_GT", "vcf_TYPE")) -> list[str]:
@@ -61,10 +68,9 @@ def evenly(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataF
     there are no more than `most`, or most is 0."""
     if most <= 0:
         return rows
-    w = Window.partitionBy(*by).orderBy(*order)
-    ranked = rows.withColumns({"__k": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    step = F.bround((F.col("__i") * (F.col("__n") - 1)).cast("double") / max(most - 1, 1), 0).cast("long")
-    chosen = ranked.select(*by, "__n").distinct().select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("__i"))
-    chosen = chosen.where(F.col("__n") > most).select(*by, step.alias("__k")).distinct().withColumn("__hit", F.lit(True))
-    out = ranked.join(chosen, [*by, "__k"], "left").where((F.col("__n") <= most) | F.col("__hit"))
-    return out.select(*rows.columns)
+    ranked = running(rows.withColumn("__one", F.lit(1)), by, [F.col(c) for c in order], {"__k": "__one"}, {"__n": "__one"})
+    last, place = F.col("__n") - 1, F.col("__k") - 1
+    # A row is chosen by one of the numbers around its share of the way.
+    about = F.floor(place * (most - 1) / F.greatest(last, F.lit(1)))
+    picks = lambda i: (i >= 0) & (i < most) & (F.bround((i * last).cast("double") / max(most - 1, 1), 0) == place)
+    return ranked.where((F.col("__n") <= most) | picks(about - 1) | picks(about) | picks(about + 1)).select(*rows.columns)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
 from .staging import staged
 
 NAN = float("nan")
@@ -47,20 +48,18 @@ def gain_over_first(metrics: DataFrame, value: str, by: str, order: str, out: st
 
 
 def _by_score(scored: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """A row for each distinct score of a group, with positives and negatives at it or above.
+    """A row for each distinct score of a group, with positives and negatives at it or above and all its positives.
 
-    The counts at a score are aggregated first, so the window sees distinct scores and not rows.
+    The counts at a score are aggregated first; the sums run over ranges of scores, so a group is never one task's.
     """
     counts = scored.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w)})
+    return running(counts, by, [F.col("s").desc()], {"cp": "p", "cn": "n"}, {"positives": "p"})
 
 
 def average_precision(scored: DataFrame, by: list[str], label: str = "label", score: str = "probability") -> DataFrame:
     """Sum over distinct scores of the recall gained times the precision there."""
     steps = _by_score(scored, by, label, score)
-    total = F.sum("p").over(Window.partitionBy(*by))
-    part = F.try_divide(F.col("p").cast("double"), total) * (F.col("cp") / (F.col("cp") + F.col("cn")))
+    part = F.try_divide(F.col("p").cast("double"), F.col("positives")) * (F.col("cp") / (F.col("cp") + F.col("cn")))
     return steps.withColumn("__part", part).groupBy(*by).agg(F.sum("__part").alias("average_precision"))
 
 
@@ -75,8 +74,7 @@ def end_to_end_average_precision(scored: DataFrame, truth: DataFrame, key: list[
 def precision_at_recall(scored: DataFrame, by: list[str], recall: float, label: str = "label", score: str = "probability") -> DataFrame:
     """The greatest precision at a threshold whose recall is at least the given; with 0, the empty set's 1."""
     steps = _by_score(scored, by, label, score)
-    total = F.sum("p").over(Window.partitionBy(*by))
-    ok = F.try_divide(F.col("cp").cast("double"), total) >= recall
+    ok = F.try_divide(F.col("cp").cast("double"), F.col("positives")) >= recall
     best = F.max(F.when(F.col("__ok"), F.col("cp") / (F.col("cp") + F.col("cn"))))
     out = steps.withColumn("__ok", ok).groupBy(*by).agg(best.alias("precision"))
     return out.withColumn("precision", F.lit(1.0)) if recall <= 0 else out
