@@ -121,6 +121,15 @@ def moves_left(left: Column, ref: Column, unit: Column) -> Column:
     return F.aggregate(powers, F.lit(0), step)
 
 
+def moves_right(right: Column, unit: Column) -> Column:
+    """How many bases of `right`, the reference after an indel's anchor, follow the unit repeated. An insertion moves right so
+    far, a deletion by the unit's length less."""
+    n, room = F.length(unit), F.length(right)
+    repeated = F.repeat(unit, (room / F.greatest(n, F.lit(1)) + 1).cast("int"))
+    step = lambda s, w: F.when((s + w <= room) & (F.substring(right, F.lit(1), s + w) == F.substring(repeated, F.lit(1), s + w)), s + w).otherwise(s)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), step)
+
+
 def moved_left(left: Column, pos: Column, ref: Column, alt: Column, unit: Column, moves: Column) -> Column:
     """struct(pos, ref, alt) of the indel `moves` bases to the left."""
     n = F.length(unit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from seqweave.functions import reads as R
 from seqweave.functions.alleles import reverse_complement
 
-from .genome import CHUNK, computed, normalized, windows, with_context
-from .intervals import BIN, coverage_at, joined
+from .genome import CHUNK, computed, normalized, shown_regions, windows, with_context
+from .intervals import BIN, bins, coverage_at, joined
 from .staging import staged
 
 #: Names of the three phase parameters.
@@ -120,11 +120,15 @@ def read_features(candidates: DataFrame, reads: DataFrame, genome: DataFrame, fl
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
 
 
-def read_events(reads: DataFrame, genome: DataFrame, most: int | None = 50, uniform: bool = False, size: int = CHUNK) -> DataFrame:
-    """Each read's insertions and deletions as raw alleles: the read's columns, then chrom, pos, ref and alt."""
+def read_events(reads: DataFrame, genome: DataFrame, most: int | None = 50, uniform: bool = False, size: int = CHUNK, within: DataFrame | None = None) -> DataFrame:
+    """Each read's insertions and deletions as raw alleles: the read's columns, then chrom, pos, ref and alt. within: merged
+    intervals that the anchor lies in."""
     ops = R.placed(F.col("cigar"), F.col("ref_start"))
     found = computed(reads, __ops=ops)
     found = found.select(*reads.columns, F.inline(R.indel_events(F.col("__ops"), F.col("seq"), most)))
+    if within is not None:
+        anchors = found.withColumns({"__a": F.col("pos") - 1, "__b": F.col("pos")}).withColumnRenamed("contig", "__contig")
+        found = joined(anchors, within, "left_semi", True, "__a", "__b", "__contig").withColumnRenamed("__contig", "contig").drop("__a", "__b")
     near = windows(found, genome, F.col("pos") - 1, F.col("pos") + F.coalesce("deleted", F.lit(0)), "contig", size)
     near = near.where(F.length("__seq") == 1 + F.coalesce("deleted", F.lit(0))).where(F.col("__seq").rlike("^[ACGTN]+$"))
     anchor = F.substring("__seq", 1, 1)
@@ -203,15 +207,42 @@ def discovery_counts(reads: DataFrame, genome: DataFrame, targets: DataFrame, mi
     return wide.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias("value")) for c in names))))
 
 
+#: More contigs than these in one scan's filter: only the regions' ends over all contigs.
+FILTERED_CONTIGS = 64
+
+
+def near_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
+    """The reads that touch merged regions; a read over several bins may stay several times.
+
+    A scan skips what lies outside the regions of each contig, by its statistics of ref_start and contig; the rest meets
+    the regions bin by bin.
+    """
+    ends = regions.groupBy("contig").agg(F.min("start").alias("a"), F.max("end").alias("b")).limit(FILTERED_CONTIGS + 1).collect()
+    if not ends:
+        return reads.where(F.lit(False))
+    spans = lambda a, b: (F.col("ref_start") < b) & (F.col("ref_end") >= a)
+    if len(ends) <= FILTERED_CONTIGS:
+        reads = reads.where(reduce(or_, ((F.col("contig") == r["contig"]) & spans(r["a"], r["b"]) for r in ends)))
+    sides = regions.select(F.col("contig").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e")).withColumn("__rbin", F.explode(bins(F.col("__s"), F.col("__e"), BIN)))
+    binned = reads.withColumn("__bin", F.explode(bins(F.col("ref_start"), F.col("ref_end") + 1, BIN)))
+    on = (F.col("contig") == F.col("__c")) & (F.col("__bin") == F.col("__rbin")) & spans(F.col("__s"), F.col("__e"))
+    return binned.join(sides, on, "left_semi").drop("__bin")
+
+
 def forced_counts(keys: DataFrame, reads: DataFrame, genome: DataFrame, min_mapq: int = 20, size: int = CHUNK, by: tuple[str, ...] = ("run",)) -> DataFrame:
     """Coverage by spanning reads and support by reads that show the normalised allele, for each key (`by`, chrom, pos,
-    ref, alt). The fraction may pass 1, as support does not ask for spanning."""
+    ref, alt). The fraction may pass 1, as support does not ask for spanning.
+
+    Only reads near the keys are walked, and only events where a key's copies may lie are moved left.
+    """
     names = [*by, "chrom", "pos", "ref", "alt"]
     good = reads.where(R.usable(F.col("flag")) & (F.col("mapq") >= min_mapq))
     wanted = keys.select(*names).distinct().withColumns({"start0": F.col("pos") - 1, "end0": F.col("pos") - 1 + F.greatest(F.length("ref"), F.lit(1))})
     coverage = spanning(wanted, good, names, by=by).groupBy(*names).agg(F.count(F.lit(1)).alias("coverage"))
     longest = keys.agg(F.max(F.greatest(F.length("ref"), F.length("alt")))).first()[0] or 0
-    events = read_events(good.select(*by, "read_id", "flag", "contig", "ref_start", "cigar", "seq"), genome, max(50, longest), False, size)
+    regions = shown_regions(keys, genome, size)
+    close = near_regions(good.select(*by, "read_id", "flag", "contig", "ref_start", "ref_end", "cigar", "seq"), regions)
+    events = read_events(close, genome, max(50, longest), False, size, regions)
     events = events.where(F.greatest(F.length("ref"), F.length("alt")) - 1 <= max(50, longest))
     moved = normalized(events.withColumn("pos", F.col("pos").cast("int")), genome, "chrom", size).dropDuplicates([*by, "read_id", "chrom", "pos", "ref", "alt"])
     back = R.is_reverse(F.col("flag"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions.alleles import minimal_difference
-from seqweave.functions.context import RUN_FLANK, changed_part, context_columns, moved_left, moves_left, rotation, runs, uniform_base, without_prefix, without_suffix
+from seqweave.functions.context import RUN_FLANK, changed_part, context_columns, moved_left, moves_left, moves_right, rotation, runs, uniform_base, without_prefix, without_suffix
 
+from .intervals import merged
 from .staging import staged
 
 CHUNK = 4096
@@ -78,3 +79,26 @@ def _moved(plain: DataFrame, genome: DataFrame, contig: str, size: int, reach: i
     if again.isEmpty():
         return done.select(*names)
     return done.where(~F.col("__more")).select(*names).unionByName(_moved(again, genome, contig, size, min(reach * 16, 1 << 20)))
+
+
+def shown_regions(keys: DataFrame, genome: DataFrame, size: int = CHUNK, reach: int = 256) -> DataFrame:
+    """Where reads may show the indels (chrom, pos, ref, alt), which lie as far left as they go: merged intervals (contig,
+    start, end) from the anchor to where the last of their copies further right has its own, and a base on either side.
+
+    Windows of `reach` bases are fetched; where an indel's repeat fills one, the next one is 16 times as long, a million
+    bases at most, and goes on from there.
+    """
+    plain = keys.select("chrom", F.col("pos").cast("long").alias("pos"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt")).distinct()
+    some, out = computed(plain, __r=rotation(F.col("ref"), F.col("alt"))).select("chrom", "pos", F.length("ref").alias("n"), F.when(F.col("__r.simple"), F.col("__r.unit")).alias("unit"), F.lit(0).cast("long").alias("far")), None
+    while True:
+        right = windows(some, genome, F.col("pos") + F.col("far"), F.col("pos") + F.col("far") + reach, "chrom", size)
+        right = computed(right, __k=F.when(F.col("unit").isNotNull(), moves_right(F.col("__seq"), F.col("unit"))).otherwise(0))
+        turn = F.col("__k") % F.length("unit")
+        turned = F.concat(F.substring("unit", turn + 1, F.length("unit")), F.substring("unit", F.lit(1), turn))
+        found = staged(right.select("chrom", "pos", "n", turned.alias("unit"), (F.col("far") + F.col("__k")).alias("far"), (F.col("__k") >= reach).alias("__more")))
+        ends = found.where(~F.col("__more")).select(F.col("chrom").alias("contig"), (F.col("pos") - 2).alias("start"), (F.col("pos") + F.greatest("far", "n") + 1).alias("end"))
+        out = ends if out is None else out.unionByName(ends)
+        some = found.where("__more").drop("__more")
+        if some.isEmpty():
+            return staged(merged(out))
+        reach = min(reach * 16, 1 << 20)

@@ -39,7 +39,7 @@ def in_order(intervals: DataFrame) -> DataFrame:
     return intervals.orderBy(~numeric, F.when(numeric, number), "contig", "start")
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
+def bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width))
 
 
@@ -50,14 +50,14 @@ def joined(queries: DataFrame, intervals: DataFrame, how: str, contained: bool,
     containment. Intervals need not be merged; with merged ones a query is contained in one at most.
     """
     q_end = F.greatest(F.col(end), F.col(start) + 1) if contained else F.col(end)
-    sides = intervals.select(F.col("contig").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e")).withColumn("__bin", F.explode(_bins(F.col("__s"), F.col("__e"), width)))
+    sides = intervals.select(F.col("contig").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e")).withColumn("__bin", F.explode(bins(F.col("__s"), F.col("__e"), width)))
     if contained:
         # Whatever contains the query covers the bin of its start.
         binned = queries.withColumn("__qbin", F.floor(F.col(start) / width))
         on = (F.col(contig) == F.col("__c")) & (F.col("__qbin") == F.col("__bin")) & (F.col("__s") <= F.col(start)) & (F.col("__e") >= q_end)
         out = binned.join(sides, on, how)
     elif how == "inner":
-        binned = queries.withColumn("__qbin", F.explode(_bins(F.col(start), F.col(end), width)))
+        binned = queries.withColumn("__qbin", F.explode(bins(F.col(start), F.col(end), width)))
         on = (F.col(contig) == F.col("__c")) & (F.col("__qbin") == F.col("__bin")) & (F.col("__s") < q_end) & (F.col("__e") > F.col(start))
         out = binned.join(sides, on, how).where(F.col("__bin") == F.greatest(F.floor(F.col(start) / width), F.floor(F.col("__s") / width)))
     else:
