@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +22,43 @@ def inputs_of(spark: SparkSession, args: argparse.Namespace) -> builders.Inputs:
     if not rows:
         raise ValueError("the manifest is empty")
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    genome = reference.read_genome(spark, args.fasta).withColumn("contig", tables.canonical_chrom(F.col("contig")))
+    canonical = lambda df: df.withColumn("contig", tables.canonical_chrom(F.col("contig")))
     is_bam = lambda p: p.endswith(".bam")
     own = lambda df, r: df.withColumns({"sample": F.lit(r["sample"]), "run": F.lit(r["run"])})
+    names = [[r["sample"], r["run"]] for r in rows]
+
+    def stage(name: str, files: list[str], make: Callable[[], DataFrame], **parameters) -> DataFrame:
+        return tables.kept(spark, args.cache, name, files, parameters, make, args.force) if args.cache else staged(make())
+
     no_orders = spark.createDataFrame([], "run string, rg string, fo string")
-    reads = union([own(alignments.read_bam(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else spark.read.parquet(r["bam"]), r) for r in rows])
     orders = union([own(alignments.flow_orders(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else no_orders, r) for r in rows])
-    truth = lambda p, gt: vcf.truth_keys(vcf.read_records(spark, p), genome, gt)
-    genome = staged(genome)
-    records = staged(union([vcf.read_records(spark, r["vcf"], r["sample"], r["run"]) for r in rows]))
-    giab = vcf.read_records(spark, args.giab_truth)
-    if getattr(args, "truth_flank", None) is not None:
-        # Labels need the truth around candidates only.
-        giab = vcf.in_regions(staged(giab), staged(candidate_regions(vcf.truth_keys(records, genome), args.truth_flank)))
+    genome = stage("genome", [args.fasta], lambda: canonical(reference.read_genome(spark, args.fasta)))
+    calls = [r["vcf"] for r in rows]
+    records = stage("records", calls, lambda: union([vcf.read_records(spark, r["vcf"], r["sample"], r["run"]) for r in rows]), runs=names, paths=calls)
+    reads = stage("reads", [r["bam"] for r in rows], lambda: canonical(union([own(alignments.read_bam(spark, r["bam"], r["run"]) if is_bam(r["bam"]) else spark.read.parquet(r["bam"]), r) for r in rows])), runs=names, paths=[r["bam"] for r in rows])
+    flank = getattr(args, "truth_flank", None)
+
+    def giab() -> DataFrame:
+        given = vcf.read_records(spark, args.giab_truth)
+        if flank is not None:
+            # Labels need the truth around candidates only.
+            given = vcf.in_regions(staged(given), staged(candidate_regions(vcf.truth_keys(records, genome), flank)))
+        return vcf.truth_keys(given, genome, True)
+
     return builders.Inputs(
-        manifest, records, staged(reads.withColumn("contig", tables.canonical_chrom(F.col("contig")))), orders,
-        staged(truth(args.aohc_truth, False)), staged(vcf.truth_keys(giab, genome, True)), merged(tables.load_intervals(spark, args.giab_bed)), merged(tables.load_intervals(spark, args.target_bed)), genome,
+        manifest, records, reads, orders, stage("synthetic", [args.aohc_truth, args.fasta], lambda: vcf.truth_keys(vcf.read_records(spark, args.aohc_truth), genome)),
+        stage("giab", [args.giab_truth, args.fasta, *([] if flank is None else calls)], giab, flank=flank),
+        merged(tables.load_intervals(spark, args.giab_bed)), merged(tables.load_intervals(spark, args.target_bed)), genome,
     )
 
 
+def call_counts(spark: SparkSession, inputs: builders.Inputs) -> DataFrame:
+    """What is odd about each run's call file."""
+    files = inputs.manifest.select("sample", "run", "vcf").collect()  # a row a run
+    lines = [spark.read.text(r["vcf"]).select(F.lit(r["sample"]).alias("sample"), F.lit(r["run"]).alias("run"), "value") for r in files]
+    return vcf.file_counts(reduce(DataFrame.unionByName, lines), inputs.genome, ["sample", "run"], inputs.size)
+
+
 def _checked(spark: SparkSession, checks: DataFrame, path: str, parameters: dict, raise_first: bool) -> None:
     row = checks.first().asDict()
     failed = sorted(k for k, ok in row.items() if not ok)
@@ -74,9 +93,9 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, type=type(v), default=v)
 
     six = ("manifest", "aohc-truth", "giab-truth", "giab-bed", "target-bed", "fasta")
-    program("build-caller", six, output_dir="output", flow_window=5, truth_flank=200, max_reads_per_candidate=int, max_candidates=0, no_flow=False)
-    program("build-rescue", six, output_dir="output/rescue", min_mapq=20, min_support=2, min_alt_fraction=0.10, min_hp_length=4, max_indel_length=50, flow_window=5, max_reads_per_candidate=30, no_flow=False, pileups=str)
-    program("build-hotspot", six, output_dir="output/hotspot", min_hp_length=4, min_mapq=20, flow_window=5, max_reads_per_candidate=50, no_flow=False)
+    program("build-caller", six, output_dir="output", flow_window=5, truth_flank=200, max_reads_per_candidate=int, max_candidates=0, no_flow=False, cache=str, force=False)
+    program("build-rescue", six, output_dir="output/rescue", min_mapq=20, min_support=2, min_alt_fraction=0.10, min_hp_length=4, max_indel_length=50, flow_window=5, max_reads_per_candidate=30, no_flow=False, pileups=str, cache=str, force=False)
+    program("build-hotspot", six, output_dir="output/hotspot", min_hp_length=4, min_mapq=20, flow_window=5, max_reads_per_candidate=50, no_flow=False, cache=str, force=False)
     program("train-caller", ("dataset",), output_dir="output/models", test_size=0.25, random_state=17, threshold=0.5, matched_recall=float, min_hp_length=2, include_context=False, trees=300)
     program("train-rescue", ("dataset",), output_dir="output/rescue_models", folds=5, threshold=0.5, min_positive_loci=5, positive_source=str, bootstrap_iterations=2000, random_state=17, trees=300)
     program("train-hotspot", ("dataset",), output_dir="output/hotspot_models", folds=5, inner_folds=4, inner_fp_budget=0, required_rescues=8, allowed_additional_fp=1, random_state=17, trees=300)
@@ -95,21 +114,24 @@ def main(argv: list[str] | None = None) -> None:
 def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     given, out = vars(args), args.output_dir
     if args.program == "build-caller":
-        rows, counts, checks = builders.caller_dataset(inputs_of(spark, args), args.flow_window, args.max_reads_per_candidate, args.max_candidates, not args.no_flow)
+        inputs = inputs_of(spark, args)
+        rows, counts, checks = builders.caller_dataset(inputs, args.flow_window, args.max_reads_per_candidate, args.max_candidates, not args.no_flow)
         tables.write_frame(rows, f"{out}/features")
         tables.write_frame(counts, f"{out}/qc_summary")
+        tables.write_frame(call_counts(spark, inputs), f"{out}/call_file_counts")
         _checked(spark, checks, f"{out}/VALIDATION_PASSED.json", given, False)
     elif args.program in ("build-rescue", "build-hotspot"):
+        inputs = inputs_of(spark, args)
         if args.program == "build-rescue":
-            inputs = inputs_of(spark, args)
             # Where given, candidates are read from a pileup caller's files: a path with {sample} and {run}.
             files = [vcf.read_records(spark, args.pileups.format(sample=r["sample"], run=r["run"]), r["sample"], r["run"]) for r in inputs.manifest.collect()] if args.pileups else []  # a row a run
             pileups = reduce(DataFrame.unionByName, files) if files else None
             made = builders.rescue_dataset(inputs, args.min_mapq, args.min_support, args.min_alt_fraction, args.min_hp_length, args.max_indel_length, args.flow_window, args.max_reads_per_candidate, not args.no_flow, pileups)
         else:
-            made = builders.hotspot_dataset(inputs_of(spark, args), args.min_hp_length, args.min_mapq, args.flow_window, args.max_reads_per_candidate, not args.no_flow)
+            made = builders.hotspot_dataset(inputs, args.min_hp_length, args.min_mapq, args.flow_window, args.max_reads_per_candidate, not args.no_flow)
         for name in ("features", "truth", "baseline_fp", "qc"):
             tables.write_frame(made[name], f"{out}/{name if name != 'qc' else 'qc_summary'}")
+        tables.write_frame(call_counts(spark, inputs), f"{out}/call_file_counts")
         _checked(spark, made["checks"], f"{out}/VALIDATION_PASSED.json", given, True)
     elif args.program == "train-caller":
         results, scored = models.train_ablation(_gated(spark, args.dataset, "VALIDATION_PASSED.json"), args.test_size, args.random_state, args.threshold, args.matched_recall, args.min_hp_length, args.include_context, args.trees, out)

@@ -12,6 +12,7 @@ from seqweave.operators import calls as C
 from seqweave.operators import evidence as EV
 from seqweave.operators import genome as G
 from seqweave.operators import intervals as I
+from seqweave.sources import vcf as V
 
 from .derived import CHUNK, GENOME, INTERVALS, READS, dna, relation, selected
 
@@ -332,6 +333,18 @@ def flow_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_id", F.get("x", F.lit(0)).alias("m2"), F.get("x", F.lit(2)).alias("p0"), F.get("x", F.lit(4)).alias("p2"), F.round("noise", 9).alias("noise"))
 
 
+#: Lines of call files; one contig of nine is not in the reference.
+_LINES = {"run": "l_linenumber", "contig": "CAST(l_suppkey % 9 AS STRING)", "pos": "CAST(l_partkey * 3 AS INT)", "ref": "CASE WHEN l_orderkey % 2 = 0 THEN 'A' ELSE 'AC' END", "info": "CASE WHEN l_partkey % 3 = 0 THEN 'DP=1;FUNC=[a;b]' ELSE 'DP=1' END"}
+
+
+@query(f"""WITH {_GEN}, l AS ({selected(_LINES, 'lineitem')})
+SELECT run, count(*) AS records, count(*) FILTER (contains(info, 'FUNC=')) AS func_removed, count(*) FILTER (g IS NULL) AS unresolved_contigs, count(*) FILTER (g IS NOT NULL AND substr(g, pos, length(ref)) <> ref) AS reference_mismatches FROM l LEFT JOIN contigs USING (contig) GROUP BY run""")
+def call_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relation(spark, sf_dir, _LINES, "lineitem")
+    value = F.concat_ws("\t", F.concat(F.lit("chr"), "contig"), F.col("pos").cast("string"), F.lit("."), "ref", F.lit("G"), F.lit("."), F.lit("PASS"), "info")
+    return V.file_counts(rows.select("run", value.alias("value")), genome(spark, sf_dir), ["run"], CHUNK)
+
+
 # Discovery and forced counts
 
 _EV = f"""{_GEN}, {_RD}, good AS (SELECT * FROM rd WHERE {_OK} AND mapq >= 20),

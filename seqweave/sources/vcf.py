@@ -70,6 +70,22 @@ def sanitized_lines(spark: SparkSession, path: str, names: dict[str, str]) -> Da
     return lines.select("ord", F.posexplode(out).alias("k", "value")).orderBy("ord", "k").select("value")
 
 
+def file_counts(lines: DataFrame, genome: DataFrame, by: list[str], size: int | None = None) -> DataFrame:
+    """by, records, func_removed, unresolved_contigs and reference_mismatches: what sanitising and moving left meet in the
+    lines (by, value) of call files. A record mismatches if its contig is known and does not hold ref at pos."""
+    from seqweave.operators.genome import CHUNK, windows
+
+    f = F.split("value", "\t")
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).where(F.size(f) >= 8)
+    rows = rows.select(*by, A.canonical_chrom(F.get(f, F.lit(0))).alias("chrom"), F.get(f, F.lit(1)).try_cast("int").alias("pos"), F.upper(F.get(f, F.lit(3))).alias("ref"), F.get(f, F.lit(7)).contains("FUNC=").alias("__func"))
+    rows = windows(rows, genome, F.col("pos") - 1, F.col("pos") - 1 + F.length("ref"), "chrom", size or CHUNK)
+    known = genome.select(F.col("contig").alias("chrom")).distinct().withColumn("__known", F.lit(True))
+    return rows.join(known, "chrom", "left").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("__func").alias("func_removed"), F.count_if(F.col("__known").isNull()).alias("unresolved_contigs"),
+        F.count_if(F.col("__known") & ~F.col("__seq").eqNullSafe(F.col("ref"))).alias("reference_mismatches"),
+    )
+
+
 def sequence_alleles(records: DataFrame) -> DataFrame:
     """A row for each alternative that is a sequence over one: alt, alt_index (from 0) and the record's columns."""
     rows = records.select("*", F.posexplode("alts").alias("alt_index", "alt")).drop("alts")

@@ -100,12 +100,50 @@ def test_records(spark, files):
     assert {(r["pos"], r["alt"]) for r in vcf.truth_keys(vcf.read_records(spark, f"{files}/giab.vcf"), None, True).collect()} == {(30, "T"), (40, "G")}
 
 
+def test_file_counts(spark):
+    """Headers, empty lines and short records don't count; a contig that the reference lacks can't mismatch."""
+    chunks = spark.createDataFrame([("1", 0, "GATTACA")], "contig string, chunk long, seq string")
+    lines = ["##x", "", "chr1\t5", *(f"{c}\t{p}\t.\t{r}\tC\t.\t.\t{i}" for c, p, r, i in [("chr1", 2, "at", "FUNC=a"), ("1", 7, "AC", "DP=1"), ("9", 1, "T", "A=1;FUNC=b;c"), ("1", "?", "A", ".")])]
+    got = vcf.file_counts(spark.createDataFrame([("f", v) for v in lines], "file string, value string"), chunks, ["file"], 32).collect()
+    assert [tuple(r) for r in got] == [("f", 4, 2, 1, 2)]
+
+
+def test_kept_tables(spark, tmp_path):
+    """A table is made again if a file or a parameter changes, if its marker is missing, or by force."""
+    (tmp_path / "in.txt").write_text("a\nb\n")
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.text(f"{tmp_path}/in.txt").withColumn("n", F.lit(len(made)))
+
+    def kept(force=False, **parameters):
+        out = tables.kept(spark, f"file://{tmp_path}/cache", "lines", [f"file://{tmp_path}/in.txt"], parameters, make, force)
+        return sorted((r["value"], r["n"]) for r in out.collect())
+
+    assert kept(k=1) == kept(k=1) == [("a", 1), ("b", 1)] and kept(k=2) == [("a", 2), ("b", 2)]
+    assert kept(k=1, force=True) == kept(k=1) == [("a", 3), ("b", 3)]
+    for marker in tmp_path.glob("cache/lines-*/*/marker"):
+        marker.rename(marker.parent / "was")
+    assert kept(k=1) == [("a", 4), ("b", 4)]
+    (tmp_path / "in.txt").write_text("a\nb\nc\n")
+    assert [v for v, _ in kept(k=1)] == ["a", "b", "c"] and len(made) == 5
+
+
 def run(files, program, *more):
     cli.main([program, "--manifest", f"{files}/m.tsv", "--aohc-truth", f"{files}/aohc.vcf", "--giab-truth", f"{files}/giab.vcf", "--giab-bed", f"{files}/b.bed", "--target-bed", f"{files}/t.bed", "--fasta", f"{files}/g.fa", "--output-dir", f"{files}/{program}", *more])
 
 
 def test_caller_dataset(spark, files):
-    run(files, "build-caller")
+    cache = f"file://{files}/cache"
+    run(files, "build-caller", "--cache", cache)
+    first = spark.read.parquet(f"{files}/build-caller/features.parquet").toJSON().collect()
+    stages = sorted(p.name for p in files.glob("cache/*/*"))
+    run(files, "build-caller", "--cache", cache)
+    assert sorted(p.name for p in files.glob("cache/*/*")) == stages and len(stages) == 5
+    assert sorted(spark.read.parquet(f"{files}/build-caller/features.parquet").toJSON().collect()) == sorted(first)
+    counts = {r["run"]: r for r in spark.read.parquet(f"{files}/build-caller/call_file_counts.parquet").collect()}
+    assert counts["R1"]["records"] == 4 and counts["R1"]["func_removed"] == 1 and counts["R1"]["unresolved_contigs"] == 0
     rows = {(r["run"], r["pos"], r["alt"]): r for r in spark.read.parquet(f"{files}/build-caller/features.parquet").collect()}
     # The two insertions of C are one allele at the run's start; the greater FAO stays.
     assert {k for k in rows if k[0] == "R1"} == {("R1", 7, "AC"), ("R1", 17, "T"), ("R1", 12, "GT")}
