@@ -11,7 +11,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per
     """At most per_class[k] texts of each label k, none of more than most_chars characters and none held out, and how
     many rows of each label there are to learn from in all.
 
-    The rows with the smallest hash of the id are taken, so the sample is the same at every run; sum(per_class) times
+    The rows with the smallest hash of the id are taken, and of several texts of one id that with the smallest hash, so the
+    sample is the same at every run; sum(per_class) times
     most_chars bounds what reaches the driver. held_out is a condition on labels.
     """
     rows = labels.where(~held_out & F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label"))
@@ -20,7 +21,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per
     found: list[tuple[str, int]] = []
     for k, n in sorted(per_class.items()):
         ids = rows.where(F.col("__label") == k).select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(n)
-        picked = texts.join(F.broadcast(ids), "__id").dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(n)
+        one = F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text")
+        picked = texts.join(F.broadcast(ids), "__id").groupBy("__id").agg(one).orderBy(F.xxhash64("__id"), "__id")
         found += [(r[0], k) for r in picked.select("__text").collect()]
     return found, counts
 

@@ -191,11 +191,12 @@ def deduplicated(docs: DataFrame, at_least: int = 10, batches: int = 4, fan_in:
     path = shared_dir(spark)
     lines = stored(hashed_lines(docs, text, batches), f"{path}/lines")
     runs = LineRuns(spark, path, fan_in)
-    for b in range(batches):
-        runs.add(LineRuns.counts_of(lines.where(F.col("__batch") == b)))
-    out = runs.cleaned(docs, lines, None, at_least, text)
-    runs.close()
-    return out
+    try:
+        for b in range(batches):
+            runs.add(LineRuns.counts_of(lines.where(F.col("__batch") == b)))
+        return runs.cleaned(docs, lines, None, at_least, text)
+    finally:
+        runs.close()
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

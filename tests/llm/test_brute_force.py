@@ -458,13 +458,41 @@ def test_regression_is_plain_ftrl():
     assert np.allclose(model.scores(pa.array(texts)), want)
 
 
-@pytest.mark.parametrize("kind", ["toxic", "quality"])
+#: Least precision and recall of label 1 among held-out rows.
+FOUND = {"toxic": (0.8, 0.6), "quality": (0.9, 0.9)}
+
+
+@pytest.mark.parametrize("kind", sorted(FOUND))
 def test_held_out_accuracy(spark, kind):
     path = "/root/testdata/sf0.01"
     name = {"toxic": toxicity.op1_toxicity, "quality": quality_classifier.op7_quality_classifier}[kind]
     labels = {r["doc_id"]: r[kind] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     rows = [(r["predicted"], labels[r["doc_id"]]) for r in name(spark, path).collect() if r["held_out"] and r["doc_id"] in labels]
-    assert rows and sum(p == y for p, y in rows) / len(rows) > {"toxic": 0.85, "quality": 0.95}[kind]
+    # Of label 1, as most labels are 0 and a constant answer would be right often.
+    hits, said, there = sum(p * y for p, y in rows), sum(p for p, _ in rows), sum(y for _, y in rows)
+    print(kind, len(rows), hits, said, there)
+    assert said and there and hits / said >= FOUND[kind][0] and hits / there >= FOUND[kind][1]
+
+
+def test_samples_of_repeated_ids_are_stable(spark):
+    """Of several texts of one id always the same is learned from, however the table is split."""
+    from pyspark.sql import functions as F
+
+    rows = [(k % 10, f"text {k}") for k in range(60)]
+    marks = spark.createDataFrame([(k, 1) for k in range(10)], "doc_id long, toxic int")
+    found = []
+    for order, parts in ((rows, 1), (rows[::-1], 7), (sorted(rows, key=lambda r: r[1][::-1]), 3)):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        found.append(labelled.sample(docs, marks, "toxic", F.lit(False), {1: 100}, 100)[0])
+    assert found[0] == found[1] == found[2] and len(found[0]) == 10
+
+
+def test_runs_leave_the_catalogue_on_failure(spark, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(line_dedup.LineRuns, "cleaned", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.deduplicated(spark.createDataFrame([(1, "a\nb"), (2, "a")], "doc_id long, text string"), 2)
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_samples_leave_held_out_rows(spark):
