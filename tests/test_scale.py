@@ -5,6 +5,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from seqweave.operators import evidence as EV
+from seqweave.operators import genome as G
 from seqweave.operators.staging import spread
 from seqweave.plans import sequence_queries as Q
 
@@ -35,3 +37,26 @@ def test_signals_are_as_described(spark):
     rows = spark.createDataFrame([(0,), (511,), (512,), (9_223_372_036_854_775_000,)], "read_id long")
     for r in rows.select("read_id", F.expr(Q._SIGNALS).alias("z")).collect():
         assert list(r["z"]) == [(i * 37 + r["read_id"]) % 512 for i in range(160)]
+
+
+def test_spanning_reads_of_all_lengths(spark):
+    lengths = [1, 32, 64, 65, 512, 513, 5000, 40_000, 600_000, 9_000_000]
+    spans = [(k, "1", "a", start, start + n, 0) for k, (start, n) in enumerate((s, n) for s in (0, 63, 64, 1000, 32_767) for n in lengths)]
+    wanted = [(k, "1", "a", at, at + n) for k, (at, n) in enumerate((a, n) for a in (0, 63, 64, 127, 1000, 1063, 33_000, 500_000) for n in (1, 2, 40, 3000))]
+    reads = spark.createDataFrame(spans, "read_id long, run string, contig string, ref_start int, ref_end int, flag int")
+    candidates = spark.createDataFrame(wanted, "k long, run string, chrom string, start0 int, end0 int")
+    got = sorted((r["k"], r["read_id"]) for r in EV.spanning(candidates, reads, ["k"]).select("k", "read_id").collect())
+    assert got == sorted((c[0], r[0]) for c in wanted for r in spans if r[3] <= c[3] and r[4] >= c[4])
+    assert EV.WIDTHS[0] == 64  # short reads meet only what is near
+
+
+def test_events_carry_no_bases(spark, monkeypatch):
+    """What is staged for the windows of discovered alleles has neither the reads' bases nor their operations."""
+    seen, write = [], G.staged
+    monkeypatch.setattr(G, "staged", lambda df: seen.append(df.columns) or write(df))
+    cigar = "array<struct<op:int,len:int>>"
+    reads = spark.createDataFrame([(k, 0, 60, "a", 0, 8, [(0, 4), (1, 2), (0, 4)], "ACGTTTACGT") for k in range(3)], f"read_id long, flag int, mapq int, contig string, ref_start int, ref_end int, cigar {cigar}, seq string")
+    genome = spark.createDataFrame([("a", 0, "ACGTACGTACGTACGTACGTACGTACGTACGT")], "contig string, chunk long, seq string")
+    targets = spark.createDataFrame([("a", 0, 32)], "contig string, start long, end long")
+    assert EV.discovered(reads, genome, targets, size=32).first()["bam_alt_support"] == 3
+    assert seen and not any({"seq", "cigar"} & set(c) for c in seen)
