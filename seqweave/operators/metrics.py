@@ -87,11 +87,12 @@ def at_threshold(scored: DataFrame, by: list[str], threshold: float, label: str
     return scored.groupBy(*by).agg(rate(F.count_if(hit & pos), F.count_if(hit)).alias("precision"), rate(F.count_if(hit & pos), F.count_if(pos)).alias("recall"))
 
 
-def fp_budget_threshold(scored: DataFrame, by: list[str], budget: int = 0, label: str = "label", score: str = "probability", called: str | None = None) -> DataFrame:
+def fp_budget_threshold(scored: DataFrame, by: list[str], budget: int = 0, label: str = "label", score: str = "probability", called: str | None = None, reached: bool = False) -> DataFrame:
     """The threshold that finds most positives with at most `budget` negatives: of equal ones the fewest negatives, then
     the highest. With `called`, only rows not called already count.
 
-    Where no score keeps the budget it lies just above the highest; a group without rows to choose from gets infinity.
+    Where no score keeps the budget it lies just above the highest; a group without rows to choose from gets infinity. With
+    `reached` both have none (null): only a score that rows have is a threshold then.
     """
     rows = scored if called is None else scored.where(~F.coalesce(F.col(called), F.lit(False)))
     steps = _by_score(rows, by, label, score)
@@ -99,8 +100,10 @@ def fp_budget_threshold(scored: DataFrame, by: list[str], budget: int = 0, label
     best = steps.groupBy(*by).agg(F.max(eligible)["s"].alias("best"), F.max("s").alias("top"))
     # Just over half a unit in the last place rounds to the next number.
     above = F.col("top") + F.greatest(F.abs("top") * (2.0**-53 * (1 + 2.0**-52)), F.lit(5e-324))
-    chosen = best.withColumn("threshold", F.coalesce("best", above)).drop("best", "top")
+    chosen = best.withColumn("threshold", F.col("best") if reached else F.coalesce("best", above)).drop("best", "top")
     groups = scored.select(*by).distinct()
+    if reached:
+        return groups.join(chosen, by, "left")
     return groups.join(chosen, by, "left").withColumn("threshold", F.coalesce("threshold", F.lit(math.inf)))
 
 

@@ -93,3 +93,20 @@ def test_one_to_one(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 5), (1, 6)], "k int, v int")
     with pytest.raises(ValueError):
         M.one_to_one(a, b, ["k"])
+
+
+def test_thresholds_that_no_score_reaches_are_null_in_the_queries(spark, tmp_path):
+    """More negatives at the highest score than the budget: the SQL has no threshold there."""
+    import duckdb
+
+    from seqweave.plans import metric_queries as Q
+
+    # One order and line, so one score, of 60 loci; a second run keeps its budget.
+    rows = [(1, k, 1, "N", "O", 0.0) for k in range(60)] + [(k, 5 * k, 2, "N", "O", 0.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_tax double").withColumn("l_shipdate", F.lit("1994-01-01").cast("timestamp"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    for name in ("fp_budget_threshold", "addon_threshold"):
+        got = {r["run"]: r["threshold"] for r in Q.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == dict(duck.sql(Q.SQL[name]).fetchall()) and got[1] is None and got[2] is not None
