@@ -27,11 +27,14 @@ import json
 import logging
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.context import gc_fraction
+from seqweave.operators.staging import spread
 
 log = logging.getLogger("homopolymer_targets")
 CONFIG = Path(__file__).with_suffix(".json")
@@ -48,13 +51,28 @@ def config_of(path: str | Path = CONFIG) -> dict:
     return config
 
 
-def _runs(piece: Column) -> Column:
-    """Runs of one base in a piece, as structs of base, start and length; one pass over its letters."""
-    letters = F.split(piece, "")
-    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    ends = lambda s, at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
-    made = F.transform(F.array(letters), lambda s: F.transform(F.array(starts(s)), lambda at: F.zip_with(at, ends(s, at), lambda a, b: F.struct(F.get(s, a).alias("base"), a.alias("start"), (b - a).alias("length")))))
-    return F.filter(F.flatten(F.flatten(made)), lambda r: r["base"].isin(*BASES))
+def _runs(piece: Column, least: int) -> Column:
+    """Runs of one base in a piece, as structs of base, start and length: those of at least so many bases, and the ones at
+    the piece's ends. A helper over batches of pieces, as lambdas would be called for every letter."""
+
+    @F.arrow_udf("array<struct<base:string,start:int,length:int>>")
+    def found(pieces: pa.Array) -> pa.Array:
+        texts = pieces.fill_null("").to_pylist()
+        ends = np.cumsum([0, *map(len, texts)])
+        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        first = np.concatenate((np.ones(min(1, len(letters)), bool), letters[1:] != letters[:-1]))
+        first[ends[:-1][ends[:-1] < len(letters)]] = True
+        start = np.flatnonzero(first)
+        length, of = np.diff(np.append(start, len(letters))), np.searchsorted(ends, start, "right") - 1
+        edge = (start == ends[of]) | (start + length == ends[of + 1])
+        kept = np.isin(letters[start], [ord(b) for b in BASES]) & (edge | (length >= least))
+        start, length, of = start[kept], length[kept], of[kept]
+        small = lambda x: pa.array(x.astype(np.int32))
+        base = pa.array(np.array(list(BASES), object)[np.searchsorted([ord(b) for b in BASES], letters[start])], pa.string())
+        values = pa.StructArray.from_arrays([base, small(start - ends[of]), small(length)], ["base", "start", "length"])
+        return pa.ListArray.from_arrays(small(np.searchsorted(of, np.arange(len(texts) + 1))), values)
+
+    return found(piece)
 
 
 def targets_of(rows: DataFrame, config: dict) -> DataFrame:
@@ -63,7 +81,7 @@ def targets_of(rows: DataFrame, config: dict) -> DataFrame:
     upper = F.translate(F.col(config["sequence"]), "acgt", "ACGT")
     numbered = rows.withColumn("__row", F.monotonically_increasing_id())
     pieces = numbered.select("__row", F.col(config["id"]).cast("string").alias("contig"), F.col(config["group"]).cast("string").alias("grp"), F.posexplode(F.regexp_extract_all(upper, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("__k", "__piece"))
-    found = pieces.select("contig", "grp", "__row", "__k", F.length("__piece").alias("__n"), gc_fraction(F.col("__piece")).alias("gc"), F.inline(_runs(F.col("__piece"))))
+    found = pieces.select("contig", "grp", "__row", "__k", F.length("__piece").alias("__n"), gc_fraction(F.col("__piece")).alias("gc"), F.inline(_runs(F.col("__piece"), config["min_run"])))
     # A part that touches a piece's end may go on in the next one.
     edge = ((F.col("start") == 0) & (F.col("__k") > 0)) | ((F.col("start") + F.col("length") == F.col("__n")) & (F.col("__n") == size))
     found = found.select("contig", "grp", "__row", "base", (F.col("__k").cast("long") * size + F.col("start")).alias("start0"), F.col("length").cast("long").alias("length"), "gc", edge.alias("__edge"))
@@ -83,6 +101,7 @@ def update(spark: SparkSession, source: str, output: str, config: dict) -> None:
     columns = [config["id"], config["sequence"], config["group"]]
 
     def add(rows: DataFrame, batch: int) -> None:
+        rows = spread(rows, config["id"], config["sequence"], few=500)  # texts may be long
         made = targets_of(rows, config).withColumn("batch", F.lit(batch)).persist(StorageLevel.DISK_ONLY)
         save(made, "targets", ("base", "batch"))
         counts = made.groupBy("grp", "base", "length", "batch").agg(F.count(F.lit(1)).alias("runs"), F.sum("length").alias("bases"))
