@@ -131,13 +131,14 @@ def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFram
     return out.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
 
 
-def counted_draws(spark: SparkSession, loci: int, iterations: int, seed: int) -> DataFrame:
-    """iteration, place and times: in each iteration as many places as there are, drawn with replacement. Each draw is the
+def counted_draws(spark: SparkSession, loci: int, iterations: int, seed: int, counted: bool = True) -> DataFrame:
+    """iteration, place and times (a row a draw without it unless `counted`): in each iteration as many places as there are, drawn with replacement. Each draw is the
     hash of its own number, so tasks need no list and a task that runs again draws the same."""
     numbers = spark.range(loci * iterations).select(F.floor(F.col("id") / loci).alias("iteration"), (F.col("id") % loci).alias("k"))
     digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("iteration").cast("string"), F.col("k").cast("string")))
     place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % loci
-    return numbers.select("iteration", place.alias("place")).groupBy("iteration", "place").agg(F.count(F.lit(1)).alias("times"))
+    drawn = numbers.select("iteration", place.alias("place"))
+    return drawn if not counted else drawn.groupBy("iteration", "place").agg(F.count(F.lit(1)).alias("times"))
 
 
 def bootstrap_interval(sums: DataFrame, draws: DataFrame, value: str = "s", weight: str = "n") -> DataFrame:
