@@ -34,6 +34,8 @@ log = logging.getLogger("callset_release")
 CONFIG = Path(__file__).with_suffix(".json")
 SYSTEMS = {"ORIGINAL": "original_called", "ADDON": "final_called"}
 _NEEDED = ("run", "locus_id", "ord", "probability", "label", "original_called", "stratum", "control")
+#: What decides between rows that share even `ord`, so that reruns keep the same one.
+_REST = ("original_called", "label", "stratum", "control")
 
 
 def config_of(path: str | Path = CONFIG) -> dict:
@@ -48,9 +50,9 @@ def config_of(path: str | Path = CONFIG) -> dict:
 
 def released(rows: DataFrame, budget: int) -> DataFrame:
     """The best row of each run and locus, with its run's threshold and what that makes of it."""
-    best = C.best_calls(rows, ["run", "locus_id"], ["probability"], "ord")
+    best = C.best_calls(rows, ["run", "locus_id"], ["probability"], "ord", _REST)
     known = rows.where(F.col("control") & F.col("label").isNotNull())
-    limits = M.fp_budget_threshold(C.best_calls(known, ["run", "locus_id"], ["probability"], "ord"), ["run"], budget, called="original_called")
+    limits = M.fp_budget_threshold(C.best_calls(known, ["run", "locus_id"], ["probability"], "ord", _REST), ["run"], budget, called="original_called")
     # A run without controls has no threshold: nothing is rescued there. Few rows, one a run.
     return M.addon_calls(best.join(limits, "run", "left"), F.col("threshold"))
 

@@ -20,9 +20,10 @@ def positive_or_minus_one(value: Column) -> Column:
     return F.when(number.isNull() | (number == 0), -1.0).otherwise(number)
 
 
-def best_calls(calls: DataFrame, keys: list[str], scores: list[str], order: str) -> DataFrame:
-    """For each key the row of the greatest scores in turn; the first in `order` of equal ones."""
-    w = Window.partitionBy(*keys).orderBy(*(positive_or_minus_one(F.col(c)).desc() for c in scores), F.col(order))
+def best_calls(calls: DataFrame, keys: list[str], scores: list[str], order: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """For each key the row of the greatest scores in turn; the first in `order` of equal ones, and by `then` where that
+    has ties."""
+    w = Window.partitionBy(*keys).orderBy(*(positive_or_minus_one(F.col(c)).desc() for c in scores), F.col(order), *(F.col(c) for c in then))
     return calls.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
