@@ -40,7 +40,10 @@ def parsed_records(lines: DataFrame, sample: str = "", run: str = "") -> DataFra
     known = lambda c: F.when(c != ".", c)
     info = A.sanitized_info(at(7))
     pairs = F.transform(F.filter(F.split(info, ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, F.length(x))).otherwise(F.lit("1")).alias("v")))
-    as_map = lambda p: F.aggregate(p, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
+    # Keys that repeat keep the last value; where none does, which is the rule, the map is made at once.
+    folded = lambda p: F.aggregate(p, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
+    entries = lambda p: F.when(F.size(F.array_distinct(F.transform(p, lambda x: x["k"]))) == F.size(p), F.map_from_entries(p)).otherwise(folded(p))
+    as_map = lambda p: F.get(F.transform(F.array(p), entries), F.lit(0))
     keys, values = F.split(F.coalesce(at(8), F.lit("")), ":"), F.split(F.coalesce(at(9), F.lit("")), ":")
     form = F.transform(F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda k: (F.get(keys, k) != "") & F.get(values, k).isNotNull()), lambda k: F.struct(F.get(keys, k).alias("k"), F.get(values, k).alias("v")))
     filters = F.when(known(at(6)).isNull(), F.array().cast("array<string>")).otherwise(F.split(at(6), ";"))

@@ -60,3 +60,36 @@ def test_events_carry_no_bases(spark, monkeypatch):
     targets = spark.createDataFrame([("a", 0, 32)], "contig string, start long, end long")
     assert EV.discovered(reads, genome, targets, size=32).first()["bam_alt_support"] == 3
     assert seen and not any({"seq", "cigar"} & set(c) for c in seen)
+
+
+def test_texts_of_one_row_group_are_cut_by_many_tasks(spark, tmp_path, monkeypatch):
+    from jobs import homopolymer_targets as H
+
+    pq.write_table(pa.table({"doc_id": range(2000), "text": ["AACGTT" * 9] * 2000, "lang": ["x"] * 2000}), tmp_path / "documents.parquet", row_group_size=2000)
+    seen, made = [], H.targets_of
+    monkeypatch.setattr(H, "targets_of", lambda rows, config: seen.append(tasks(rows)) or made(rows, config))
+    H.update(spark, f"{tmp_path}/documents.parque[t]", f"{tmp_path}/out", H.config_of())
+    assert seen[0] > 1
+
+
+def test_the_job_keeps_the_same_of_rows_that_share_even_their_order(spark):
+    from jobs import callset_release as J
+
+    row = lambda called: (1, 7, 3, 0.5, 0, called, "HP", called)
+    schema = "run int, locus_id long, ord long, probability double, label int, original_called boolean, stratum string, control boolean"
+    both = [J.released(spark.createDataFrame([row(a), row(not a)], schema).coalesce(1), 2).first()["original_called"] for a in (True, False)]
+    assert both == [False, False]
+
+
+def test_call_lines_of_one_row_group_are_parsed_by_many_tasks(spark, one_group):
+    from seqweave.plans import model_queries as MQ
+
+    assert tasks(MQ._records(spark, one_group)) > 1
+
+
+def test_repeated_info_keys_keep_the_last_value(spark):
+    from seqweave.sources import vcf
+
+    lines = spark.createDataFrame([("1\t5\t.\tA\tC\t.\t.\tDP=1;AO=2;DP=3\tGT:GT\t0/1:1/1", 0), ("1\t5\t.\tA\tC\t.\t.\tHS;AO=2", 1), ("1\t5\t.\tA\tC\t.\t.\t.", 2)], "value string, ord long")
+    got = [(r["info"], r["format"]) for r in vcf.parsed_records(lines).orderBy("ord").collect()]
+    assert got == [({"AO": "2", "DP": "3"}, {"GT": "1/1"}), ({"HS": "1", "AO": "2"}, {}), ({}, {})]
