@@ -93,3 +93,13 @@ def test_repeated_info_keys_keep_the_last_value(spark):
     lines = spark.createDataFrame([("1\t5\t.\tA\tC\t.\t.\tDP=1;AO=2;DP=3\tGT:GT\t0/1:1/1", 0), ("1\t5\t.\tA\tC\t.\t.\tHS;AO=2", 1), ("1\t5\t.\tA\tC\t.\t.\t.", 2)], "value string, ord long")
     got = [(r["info"], r["format"]) for r in vcf.parsed_records(lines).orderBy("ord").collect()]
     assert got == [({"AO": "2", "DP": "3"}, {"GT": "1/1"}), ({"HS": "1", "AO": "2"}, {}), ({}, {})]
+
+
+def test_windows_are_not_sent_through_the_driver(spark):
+    """Places of windows grow with the reads, so they meet the reference by a shuffle however short their file is."""
+    rows = spark.createDataFrame([("a", k) for k in range(40)], "contig string, at long")
+    genome = spark.createDataFrame([("a", k, "ACGT" * 8) for k in range(4)], "contig string, chunk long, seq string")
+    near = G.windows(rows, genome, F.col("at"), F.col("at") + 4, size=32)
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert [line for line in plan.splitlines() if "Join" in line and "__chunk" in line and "SortMergeJoin" not in line] == []
+    assert sorted(r["__seq"] for r in near.collect()) == sorted("ACGTACGT"[k % 4 : k % 4 + 4] for k in range(40))
