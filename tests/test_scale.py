@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqweave.operators import evidence as EV
 from seqweave.operators import genome as G
-from seqweave.operators.staging import spread
+from seqweave.operators.staging import measured, spread, staged
 from seqweave.plans import sequence_queries as Q
 
 
@@ -103,3 +103,31 @@ def test_windows_are_not_sent_through_the_driver(spark):
     plan = near._jdf.queryExecution().sparkPlan().toString()
     assert [line for line in plan.splitlines() if "Join" in line and "__chunk" in line and "SortMergeJoin" not in line] == []
     assert sorted(r["__seq"] for r in near.collect()) == sorted("ACGTACGT"[k % 4 : k % 4 + 4] for k in range(40))
+
+
+def grown(df) -> list[str]:
+    """Joins of the plan that are no merge joins, but for the reference's chunks and what is counted first."""
+    return [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "SortMergeJoin" not in line]
+
+
+def test_candidates_are_not_sent_through_the_driver(spark):
+    """Candidates grow with the reads, a row a width of bins, so they meet the reads by a shuffle however short their file is."""
+    reads = spark.createDataFrame([(k, "1", "a", k, k + 30, 0) for k in range(40)], "read_id long, run string, contig string, ref_start int, ref_end int, flag int")
+    candidates = staged(spark.createDataFrame([(k, "1", "a", k, k + 1) for k in range(40)], "k long, run string, chrom string, start0 int, end0 int"))
+    pairs = EV.spanning(candidates, reads, ["k"])
+    assert grown(pairs) == [] and pairs.count() == sum(r <= c and c + 1 <= r + 30 for c in range(40) for r in range(40))
+
+
+def test_forced_keys_are_not_sent_through_the_driver(spark):
+    cigar = "array<struct<op:int,len:int>>"
+    reads = spark.createDataFrame([("1", k, 0, 60, "a", 0, 8, [(0, 4), (1, 2), (0, 4)], "ACGTTTACGT") for k in range(3)], f"run string, read_id long, flag int, mapq int, contig string, ref_start int, ref_end int, cigar {cigar}, seq string")
+    genome = spark.createDataFrame([("a", 0, "ACGTACGTACGTACGTACGTACGTACGTACGT")], "contig string, chunk long, seq string")
+    keys = spark.createDataFrame([("1", "a", 3, "G", "GTT")], "run string, chrom string, pos int, ref string, alt string")
+    out = EV.forced_counts(keys, reads, genome, size=32)
+    assert grown(out) == [] and (out.first()["coverage"], out.first()["alt_support"]) == (3, 3)
+
+
+def test_regions_are_broadcast_only_if_counted_few(spark):
+    rows = spark.range(10)
+    plan = lambda most: spark.range(10).join(measured(rows, most), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(10) and "SortMergeJoin" in plan(9)
