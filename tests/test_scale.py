@@ -131,3 +131,10 @@ def test_regions_are_broadcast_only_if_counted_few(spark):
     rows = spark.range(10)
     plan = lambda most: spark.range(10).join(measured(rows, most), "id")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan(10) and "SortMergeJoin" in plan(9)
+
+
+@pytest.mark.parametrize("name", ["read_topk", "spanning_reads"])
+def test_queries_of_spanning_reads_broadcast_nothing(spark, one_group, name):
+    pq.write_table(pa.table({"p_partkey": pa.array(range(700)), "p_size": pa.array([1 + k % 50 for k in range(700)], pa.int32())}), f"{one_group}/part.parquet")
+    out = Q.QUERIES[name](spark, one_group)
+    assert grown(out) == [] and out.count() > 0
