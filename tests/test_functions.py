@@ -1,5 +1,7 @@
 """Known answers for column functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,52 @@ def test_flow_tables_of_many_reads():
         got = R._walked(*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))).to_pylist()
         assert [g and [(x["flow_index"], x["flow_base"], x["signal"], x["called"]) for x in g] for g in got] == [plain(*r) for r in rows]
         assert all(x["query_end"] - x["query_start"] == x["called"] for g in got if g for x in g)
+
+
+@pytest.fixture(scope="module")
+def odd_flows(spark):
+    """Reads with missing parts, without bases, with short signals, orders of several kinds and places outside."""
+    rng, rows = random.Random(5), []
+    for k in range(2000):
+        seq = rng.choice([None, "", "ACGTN", "acg"]) if k % 9 == 0 else "".join(b * rng.choice([1, 1, 2, 5]) for b in rng.choices("ACGT", k=rng.randint(1, 12)))
+        order = None if k % 31 == 1 else rng.choice(["TACG" * 8, "tacg" * 8, "TTACGGA" * 5, "A", ""])
+        rows.append((k, seq, order, None if k % 29 == 2 else rng.choice([0, 0, 1, 3, 40, -1]), None if k % 23 == 3 else [rng.randint(-5, 600) for _ in range(rng.choice([0, 1, 6, 32, 40]))], None if k % 19 == 4 else rng.randint(-3, 20), rng.choice(["A", "t", "G", None, "", "AC"])))
+    return spark.createDataFrame(rows, "k long, seq string, fo string, zf int, zm array<short>, p int, b string").repartition(3)
+
+
+def test_the_walk_tells_what_the_table_tells(spark, odd_flows):
+    c, given = F.col, (F.col("seq"), F.col("fo"), F.col("zf"), F.col("zm"))
+    made = odd_flows.withColumn("t", R.flow_table(*given)).localCheckpoint()
+    made = made.withColumns({"place": R.candidate_flow(c("t"), c("p"), c("b"))}).localCheckpoint()
+    said = made.select("k", "place", R.reconstructed(c("t")).alias("rebuilt"), R.offset_signals(c("t"), c("place"), 3).alias("x"), R.neighbour_noise(c("t"), c("place"), 3).alias("noise"), R.offset_signals(c("t"), c("p"), 2).alias("y"), R.neighbour_noise(c("t"), c("p"), 2).alias("other"))
+    own, evidence, near = made.select("*", R.flow_used(*given).alias("used"), R.flow_place(*given, c("p"), c("b")).alias("at")), R.flow_evidence(*given, c("p"), c("b"), 3), R.flow_near(*given, c("p"), 2)
+    own = own.select("k", "at", "used", F.left("seq", c("used")).alias("rebuilt"), evidence.alias("e"), near.alias("n"))
+    told = {r["k"]: r for r in said.collect()}
+    found = 0
+    for r in own.collect():
+        want, e, n = told[r["k"]], r["e"], r["n"]
+        assert (r["at"], r["rebuilt"]) == (want["place"], want["rebuilt"]) and (e["place"], e["used"]) == (want["place"], r["used"])
+        assert (list(e["signals"]), e["noise"]) == (list(want["x"]), want["noise"])
+        assert (list(n["signals"]), n["noise"]) == (list(want["y"]), want["other"])
+        found += want["place"] is not None
+    assert found > 50
+
+
+def test_flow_rows_are_those_of_the_tables(spark, odd_flows):
+    given = (F.col("seq"), F.col("fo"), F.col("zf"), F.col("zm"))
+    rows = odd_flows.select("k", F.inline_outer(R.flow_table(*given))).where("flow_index IS NOT NULL")
+    got = R.flow_rows(odd_flows, "k", *given)
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+@pytest.mark.parametrize("name", ["candidate_flow", "flow_offsets", "flow_reconstruct", "flow_decode"])
+def test_flow_queries_make_no_tables(spark, tmp_path, name):
+    """Flow tables of all reads don't go back to the JVM as arrays, whose lambdas took most of the time; one walk a read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from seqweave.plans import sequence_queries as Q
+
+    pq.write_table(pa.table({"l_orderkey": [1, 2, 3], "l_partkey": [4, 5, 6], "l_suppkey": [7, 8, 9], "l_linenumber": pa.array([1, 2, 3], pa.int32()), "l_quantity": [1.0, 2.0, 3.0], "l_discount": [0.1, 0.2, 0.3]}), tmp_path / "lineitem.parquet")
+    plan = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Generate" not in plan
+    assert len([x for x in plan.splitlines() if "ArrowEvalPython" in x or "MapInArrow" in x]) == 1
