@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqweave.functions import reads as R
 from seqweave.operators import evidence as EV
 
 CIGAR = "array<struct<op:int,len:int>>"
@@ -47,3 +48,22 @@ def test_no_bases_are_kept_and_nothing_is_broadcast(spark, monkeypatch):
     assert (got[1]["bam_coverage"], got[1]["bam_reads_used"], got[1]["bam_reverse_reads"], got[2]["bam_coverage"], got[2]["bam_mapq_mean"]) == (5, 3, 2, 0, None)
     whole = EV.read_features(candidates, df, genome, orders, candidates.columns, most=None, size=32)
     assert {r["k"]: (r["bam_coverage"], r["bam_forward_reads"], r["bam_mapq_mean"], r["bam_mapq_median"]) for r in whole.collect()} == {1: (5, 3, 22.0, 22.0), 2: (0, 0, None, None)}
+
+
+def test_alignments_as_by_columns(spark):
+    """Operations of all kinds and none, reads without bases, places before, in and behind them, references cut short."""
+    rng, rows = random.Random(4), []
+    for k in range(3000):
+        ops = None if k % 41 == 0 else [(rng.randrange(9), rng.choice([0, 1, 1, 2, 3, 8])) for _ in range(rng.randint(0, 6))]
+        n = sum(m for op, m in ops or [] if op in (0, 1, 4, 7, 8))
+        seq = None if k % 37 == 1 else "".join(rng.choices("ACGTac", k=max(0, n + rng.choice([0, 0, 0, -2, 3]))))
+        ref_start, start = rng.randint(0, 30), rng.randint(0, 45)
+        lo, end = max(start - 10, 0), start + rng.randint(1, 5)
+        rows.append((k, ops, ref_start, seq, rng.random() < 0.5, "".join(rng.choices("ACGT", k=rng.choice([end + 10 - lo, end + 10 - lo, 4, 0]))), lo, start, end))
+    df = spark.createDataFrame(rows, f"k long, cigar {CIGAR}, ref_start int, seq string, back boolean, ref string, lo long, s int, e int").repartition(3).localCheckpoint()
+    c = F.col
+    told = df.withColumn("o", R.placed(c("cigar"), c("ref_start"))).localCheckpoint()
+    told = told.select("k", R.softclip_fraction(c("cigar"), c("seq")).alias("clipped"), R.query_position(c("o"), F.length(F.coalesce("seq", F.lit(""))), c("back"), c("s"), c("e")).alias("place"), R.burdens(c("o"), c("seq"), c("ref"), c("lo").cast("int"), c("e") + 10).alias("b"))
+    want = {r["k"]: (r["clipped"], r["place"], r["b"]["mismatch"], r["b"]["indel"]) for r in told.collect()}
+    got = {r["k"]: tuple(r["x"]) for r in df.select("k", R.alignment_evidence(c("cigar"), c("ref_start"), c("seq"), c("back"), c("ref"), c("lo"), c("s"), c("e"), 10).alias("x")).collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
